@@ -14,7 +14,8 @@ def build_session(app: str = "idlespan", cores: str = "*", shuffle_partitions: i
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
                .config("spark.driver.memory", "12g")
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
