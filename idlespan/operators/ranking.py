@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -93,9 +93,3 @@ def smooth_by_n(df: DataFrame, order: Sequence[str], values: Sequence[str], n: i
     return (rows.withColumn("block", F.floor(F.col("_row") / n)).groupBy(*key, "block")
             .agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n")))
 
-
-def labelled_blocks(df: DataFrame, order: Sequence[str], edges: Column, splits=AUTO) -> DataFrame:
-    """Rows with ``_row`` (0-based) and ``_total``, then ``block`` from the given expression of both."""
-    rows = numbered(df, [], list(order), "_row", resolve(splits, df, order[0], []))
-    return (rows.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
-            .withColumn("block", edges).drop("_row", "_total"))
