@@ -1,0 +1,196 @@
+"""The live loop as Structured Streaming: tail the trace, close busy intervals, emit gaps, decide, limit, count.
+
+Order of stages and what each keeps between micro-batches:
+
+    stream_transfers   nothing
+    stream_busy        open sessions per path (JVM state, closed by the watermark)
+    stream_gaps        per path: end of the last interval, last gap lengths, EWMA, count
+    stream_rate_limit  per time window: how many probes it already has
+    stream_counts      per time window: totals
+    stream_alarm       per path: length of the running streak
+
+Closed busy intervals of a path leave ``stream_busy`` in time order, because a later session ends later, so
+the keyed state of ``stream_gaps`` never sees late input.  Python runs only on merged intervals.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .. import constants as K
+from ..functions.columns import gbps
+from ..operators.intervals import merge_sessions
+from ..operators.policies import largest_fit
+from ..sources.trace import EXTENDED, normalise, split_rejects, text_schema
+
+KEY = tuple(K.PATH_KEY)
+TRAIL = 100
+
+
+def event_time(ns: str = "start_ns"):
+    """Event time for watermarks; it holds microseconds, so comparisons stay on the long column."""
+    return F.timestamp_micros(F.floor(F.col(ns) / 1000).cast("long"))
+
+
+def stream_trace(spark: SparkSession, directory: str, layout: str = EXTENDED,
+                 max_files: int | None = None) -> DataFrame:
+    """Tail a directory of trace CSV files as text columns."""
+    reader = spark.readStream.schema(text_schema(layout)).option("header", True)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.csv(directory)
+
+
+def stream_transfers(spark: SparkSession, directory: str, layout: str = EXTENDED,
+                     max_files: int | None = None) -> DataFrame:
+    good, _ = split_rejects(stream_trace(spark, directory, layout, max_files), layout)
+    return normalise(good, layout).withColumn("ts", event_time())
+
+
+def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150, delay: str = "10 seconds",
+                size: str = "size") -> DataFrame:
+    """Closed busy intervals of a transfer stream with ``ts``, ``start_ns``, ``end_ns``."""
+    timed = df.filter("end_ns >= start_ns").withColumn(
+        "_us", F.ceil((F.col("end_ns") - F.col("start_ns")) / 1000).cast("long"))
+    merged = merge_sessions(timed.withWatermark("ts", delay), key, "ts", "_us", tolerance_us, size)
+    return merged.select(*key, "session", (F.col("start_us") * 1000).alias("start_ns"),
+                         (F.col("end_us") * 1000).alias("end_ns"), "bytes_total", "event_count",
+                         gbps(F.col("bytes_total"), (F.col("end_us") - F.col("start_us")) * 1000)
+                         .alias("bandwidth_gbps"))
+
+
+def _gap_step(key: Sequence[str], alpha: float, bound_q: float, bound_min: int, min_samples: int):
+    names = [*key, "gap_idx", "start_ns", "end_ns", "duration_ns", "history", "ewma", "trailing_p10",
+             "g_lower_bound"]
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_end, count, smooth, recent = state.get if state.exists else (None, 0, 0.0, [])
+        recent = list(recent)
+        rows = pd.concat(list(parts), ignore_index=True).sort_values("start_ns")
+        out = []
+        for start, end in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist()):
+            if last_end is not None and start > last_end:
+                past = np.asarray(recent, dtype="float64")
+                n = len(past)
+                out.append((*group, count, last_end, start, start - last_end, n, smooth,
+                            float(np.percentile(past, 10)) if n >= min_samples else 0.0,
+                            float(np.percentile(past, bound_q * 100)) if n >= bound_min else 0.0))
+                gap = float(start - last_end)
+                smooth = gap if count == 0 else alpha * gap + (1 - alpha) * smooth
+                recent = [*recent, gap][-TRAIL:]
+                count += 1
+            last_end = end if last_end is None else max(last_end, end)
+        state.update((last_end, count, smooth, recent))
+        yield pd.DataFrame(out, columns=names)
+    return step
+
+
+def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, key_types: Sequence[str] | None = None,
+                alpha: float = 0.1, bound_q: float = 0.05, bound_min: int = 20,
+                min_samples: int = 10) -> DataFrame:
+    """One row per gap when the next busy interval closes, with what was known before it.
+
+    State per path is bounded: one end, 100 lengths, a mean and a counter.  ``history``, ``ewma``,
+    ``trailing_p10`` and ``g_lower_bound`` describe the gaps before this one.
+    """
+    kinds = dict(busy.dtypes)
+    heads = [f"{k} {t}" for k, t in zip(key, key_types or [kinds[k] for k in key])]
+    output = ", ".join([*heads, "gap_idx long", "start_ns long", "end_ns long", "duration_ns long", "history long",
+                        "ewma double", "trailing_p10 double", "g_lower_bound double"])
+    rows = busy.groupBy(*key).applyInPandasWithState(
+        _gap_step(key, alpha, bound_q, bound_min, min_samples), output,
+        "last_end long, count long, smooth double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("ts", event_time("end_ns"))
+
+
+def stream_trailing(gaps: DataFrame) -> DataFrame:
+    """The trailing columns of ``stream_gaps`` alone."""
+    names = [c for c in gaps.columns if c not in ("end_ns", "ts")]
+    return gaps.select(*names)
+
+
+def stream_decisions(gaps: DataFrame, policy: str = "ewma", margin: int = 200_000, low: int = 500_000,
+                     high: int = 5_000_000, min_history: int = 10, durations: dict[int, int] | None = None) -> DataFrame:
+    """Class per new gap, dropped when it does not fit; every policy here is a column of the gap row."""
+    d = durations or K.PROBE_DURATIONS_NS
+    x = F.col("duration_ns")
+    if policy == "ewma":
+        kind = F.when(F.col("history") >= min_history,
+                      largest_fit(F.greatest("ewma", "trailing_p10") - margin, d)).otherwise(K.PROBE_NONE)
+    elif policy == "threshold":
+        kind = F.when(x >= high, K.PROBE_BANDWIDTH).when(x >= low, K.PROBE_NORMAL).otherwise(K.PROBE_NONE)
+    elif policy == "oracle":
+        kind = largest_fit(x, d)
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    need = F.when(F.col("probe_type") == K.PROBE_BANDWIDTH, d[K.PROBE_BANDWIDTH]) \
+        .when(F.col("probe_type") == K.PROBE_NORMAL, d[K.PROBE_NORMAL]).otherwise(d[K.PROBE_TINY])
+    return (gaps.withColumn("probe_type", kind.cast("int")).filter("probe_type > 0")
+            .withColumn("fits", x >= need))
+
+
+def stream_rate_limit(decisions: DataFrame, n: int = 10, width_ns: int = 1_000_000_000) -> DataFrame:
+    """First ``n`` probes of each time window, over all paths.  State per window: how many it already has.
+
+    Each chunk of a window is cut to its first ``n`` rows before the next is read.
+    """
+    columns = list(decisions.columns)
+    output = ", ".join(f"{c} {t}" for c, t in decisions.dtypes)
+
+    def step(_group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        best = None
+        for part in parts:
+            best = part if best is None else pd.concat([best, part], ignore_index=True)
+            best = best.sort_values(["start_ns", "gap_idx"], kind="stable").head(max(0, n - used))
+        state.update((used + len(best),))
+        yield best[columns]
+    windowed = decisions.withColumn("_window", F.floor(F.col("start_ns") / width_ns))
+    return windowed.groupBy("_window").applyInPandasWithState(step, output, "used long", "append",
+                                                              GroupStateTimeout.NoTimeout)
+
+
+def stream_counts(decisions: DataFrame, width: str = "1 second", delay: str = "10 seconds") -> DataFrame:
+    """Probes and how many of them fitted, per tumbling window."""
+    return (decisions.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"))
+            .agg(F.count(F.lit(1)).alias("probes"), F.count_if("fits").alias("safe"),
+                 F.count_if(~F.col("fits")).alias("unsafe"))
+            .select(F.col("w.start").alias("window_start"), "probes", "safe", "unsafe"))
+
+
+def stream_dedup(gaps: DataFrame, key: Sequence[str] = KEY, delay: str = "10 seconds") -> DataFrame:
+    """Each gap once, although a trace may be delivered again within the delay."""
+    return gaps.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "start_ns", "end_ns"])
+
+
+def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id",)) -> DataFrame:
+    """An alarm row each time the ``n``-th degraded reading in a row of a path arrives."""
+    kinds = dict(readings.dtypes)
+    output = ", ".join([*[f"{k} {kinds[k]}" for k in key], "t double", "streak long"])
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak = state.get[0] if state.exists else 0
+        rows = pd.concat([p[["t", "is_degraded"]] for p in parts], ignore_index=True).sort_values("t", kind="stable")
+        out = []
+        for t, low in zip(rows["t"].tolist(), rows["is_degraded"].tolist()):
+            streak = streak + 1 if low else 0
+            if streak == n:
+                out.append((*group, t, streak))
+        state.update((streak,))
+        yield pd.DataFrame(out, columns=[*key, "t", "streak"])
+    return readings.groupBy(*key).applyInPandasWithState(step, output, "streak long", "append",
+                                                         GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what is there, write it below ``folder`` on shared storage, and read it back."""
+    query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
