@@ -71,10 +71,9 @@ def merge_sessions(df: DataFrame, key: Sequence[str], ts: str, duration_us: str,
     An event keeps the session open for its own length plus the tolerance.  Sessions join when they touch
     at a microsecond, which is the inclusive edge of ``merge_intervals``.
     """
-    hold = F.make_dt_interval(secs=((F.col(duration_us) + tolerance_us + 1) / F.lit(1_000_000))
-                              .cast("decimal(18,6)"))
+    hold = F.concat((F.col(duration_us) + tolerance_us).cast("string"), F.lit(" microseconds"))
     ended = F.unix_micros(ts) + F.col(duration_us)
-    return (df.groupBy(*key, F.session_window(ts, hold.cast("string")).alias("session"))
+    return (df.groupBy(*key, F.session_window(ts, hold).alias("session"))
             .agg(F.min(F.unix_micros(ts)).alias("start_us"), F.max(ended).alias("end_us"),
                  F.sum(size).alias("bytes_total"), F.count(F.lit(1)).alias("event_count")))
 
