@@ -218,6 +218,11 @@ def ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(empty).cast("double"))
 
 
+def fixed_text(value: Column | str, places: int = 2) -> Column:
+    """Number as text with a fixed number of decimals."""
+    return F.format_string(f"%.{places}f", _col(value).cast("double"))
+
+
 # --- column lists -----------------------------------------------------------
 
 def feature_names() -> list[str]:

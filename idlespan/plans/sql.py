@@ -60,3 +60,25 @@ def values(name: str, column: str, items) -> str:
 
 HZ = values("hz", "horizon_ns", [f"CAST({h * SCALE} AS BIGINT)" for h in
                                  (10_000, 25_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_000_000)])
+
+# Trailing survival as a prediction: share of the last 100 earlier gaps that reach the horizon.
+PRED = f"""{HZ}, pred AS (SELECT path, gap_idx, start_ns, end_ns, duration_ns, horizon_ns, history,
+  CASE WHEN history >= 10 THEN s ELSE 0 END AS p, CAST(duration_ns >= horizon_ns AS INTEGER) AS label FROM (
+  SELECT *, count(*) OVER w AS history, avg(CASE WHEN duration_ns >= horizon_ns THEN CAST(1 AS DOUBLE) ELSE 0 END)
+  OVER w AS s FROM gaps, hz WINDOW w AS (PARTITION BY path, horizon_ns ORDER BY gap_idx
+  ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)))"""
+TBGP = f"{TBG}, {PRED}"
+
+CONFUSION = """count(*) FILTER (p >= 0.5 AND label = 1) AS tp, count(*) FILTER (p >= 0.5 AND label = 0) AS fp,
+  count(*) FILTER (p < 0.5 AND label = 1) AS fn, count(*) FILTER (p < 0.5 AND label = 0) AS tn,
+  avg((p - label) * (p - label)) AS brier, count(*) AS n"""
+RATES = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, 6) AS false_safe_rate, round(brier, 6) AS brier"""
+
+
+def edges(n: int = 10) -> str:
+    """Bins of [0, 1] with the same binary edges as the library."""
+    cuts = [i * (1.0 / n) for i in range(n)] + [1.0]
+    rows = ", ".join(f"({i}, CAST('{cuts[i]!r}' AS DOUBLE), CAST('{cuts[i + 1]!r}' AS DOUBLE))" for i in range(n))
+    return f"bins AS (SELECT * FROM (VALUES {rows}) v(bin, lower, upper))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import schemas
-from ..functions.columns import path_label, with_interval_metrics
+from ..functions.columns import fixed_text, path_label, with_interval_metrics
 from .trace import _number, canonical_name
 
 KEY = tuple(K.PATH_KEY)
@@ -27,10 +27,6 @@ def read_busy_csv(spark: SparkSession, path: str) -> DataFrame:
                         else _number(f.name, f.dataType.simpleString())).alias(f.name) for f in schema])
 
 
-def _fixed(value: Column, places: int) -> Column:
-    return F.format_number(value, "0." + "0" * places)
-
-
 def busy_csv_rows(busy: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """15-column windows: MiB, GB/s, ms and count per busy interval; wall time equals interval time."""
     m = with_interval_metrics(busy)
@@ -40,9 +36,9 @@ def busy_csv_rows(busy: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     start, end = F.col("start_ns"), F.col("end_ns")
     values = {
         "window_start_ns": start, "window_end_ns": end, "path_id": path_label(key),
-        "link_bitmap": given("link_bitmap", 0), "bytes_mb": _fixed(F.col("size_mb"), 2),
-        "bw_gbps": _fixed(F.col("bandwidth_gbps"), 2), "wall_start_ns": start, "wall_end_ns": end,
-        "duration_ms": _fixed(F.col("duration_ns") / 1e6, 3), "packet_count": F.col("event_count"),
+        "link_bitmap": given("link_bitmap", 0), "bytes_mb": fixed_text(F.col("size_mb"), 2),
+        "bw_gbps": fixed_text(F.col("bandwidth_gbps"), 2), "wall_start_ns": start, "wall_end_ns": end,
+        "duration_ms": fixed_text(F.col("duration_ns") / 1e6, 3), "packet_count": F.col("event_count"),
         "direction": given("direction", K.H2D), "src_dev": given("src_dev", 0), "dst_dev": given("dst_dev", 0),
         "src_numa": given("src_numa", 0), "dst_numa": given("dst_numa", 0)}
     return m.select(*[values[f.name].alias(f.name) for f in schemas.BUSY_WINDOWS])
@@ -50,7 +46,7 @@ def busy_csv_rows(busy: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 def gap_csv_rows(gaps: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return gaps.select(F.col("start_ns").alias("gap_start_ns"), F.col("end_ns").alias("gap_end_ns"),
-                       _fixed(F.col("duration_ns") / 1000.0, 2).alias("duration_us"),
+                       fixed_text(F.col("duration_ns") / 1000.0, 2).alias("duration_us"),
                        path_label(key).alias("path_id"))
 
 

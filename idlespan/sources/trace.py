@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import constants as K
 from .. import schemas
-from ..functions.columns import flag_unknown_device, infer_direction, parse_endpoint, with_transfer_metrics
+from ..functions.columns import fixed_text, flag_unknown_device, infer_direction, parse_endpoint, with_transfer_metrics
 
 LEGACY, EXTENDED = "legacy", "extended"
 # fixed values: columns that a row must parse to be kept
@@ -128,7 +128,7 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
 def trace_csv_rows(df: DataFrame) -> DataFrame:
     """Extended layout with two-decimal size, latency and bandwidth, as text columns ready to write."""
     m = with_transfer_metrics(df)
-    two = {c: F.format_number(c, "0.00").alias(c) for c in ("size_mb", "latency_us", "bw_gbps")}
+    two = {c: fixed_text(c).alias(c) for c in ("size_mb", "latency_us", "bw_gbps")}
     start = F.col("wall_start_ns")
     return m.select(*[two.get(f.name, start.alias(f.name) if f.name == "wall_end_ns" else F.col(f.name))
                       for f in schemas.EXTENDED_TRACE])
