@@ -108,23 +108,26 @@ def timeline_counts(busy: DataFrame, gaps: DataFrame, key: Sequence[str] = KEY)
 
 # --- probes against busy intervals -----------------------------------------
 
-def _points(probes: DataFrame, busy: DataFrame, key: list[str], at: Sequence[tuple[str, Column]],
+def _points(probes: DataFrame, busy: DataFrame, key: list[str], at: Sequence[tuple[str, int]],
             edges: Sequence[tuple[str, int]]) -> DataFrame:
-    """One time-ordered frame of busy edges and probe positions; a probe sorts after the edges of its time."""
-    nothing = F.lit(None)
-    payload = F.struct(*[F.col(c) for c in probes.columns])
-    kind = probes.select(payload.alias("p")).schema["p"].dataType
-    marks = [busy.select(*key, F.col(t).alias("t"), F.lit(0).alias("rank"), F.lit(step).alias("step"),
-                         F.col("start_ns").alias("b0"), F.col("end_ns").alias("b1"),
-                         nothing.cast(kind).alias("probe"), nothing.cast("int").alias("side"))
-             for t, step in edges]
-    asks = [probes.select(*key, F.col(t).alias("t"), F.lit(1).alias("rank"), F.lit(0).alias("step"),
-                          nothing.cast("long").alias("b0"), nothing.cast("long").alias("b1"),
-                          payload.alias("probe"), side.cast("int").alias("side")) for t, side in at]
-    frame = marks[0]
-    for more in [*marks[1:], *asks]:
-        frame = frame.unionByName(more)
-    return frame
+    """One frame of busy edges and probe positions; a probe sorts after the edges of its time.
+
+    Several edges or positions of a row come from one explode, so both inputs are computed once.
+    """
+    probe = F.struct(*[F.col(c) for c in probes.columns])
+    payload = probes.select(probe.alias("p")).schema["p"].dataType
+
+    def moments(times: Sequence[tuple[str, int]]) -> Column:
+        pairs = [F.struct(F.col(t).cast("long").alias("t"), F.lit(sign).alias("sign")) for t, sign in times]
+        return F.explode(F.array(*pairs))
+    marks = busy.select(*key, F.lit(0).alias("rank"), F.col("start_ns").alias("b0"), F.col("end_ns").alias("b1"),
+                        F.lit(None).cast(payload).alias("probe"), moments(edges).alias("m"))
+    asks = probes.select(*key, F.lit(1).alias("rank"), F.lit(None).cast("long").alias("b0"),
+                         F.lit(None).cast("long").alias("b1"), probe.alias("probe"), moments(at).alias("m"))
+    both = marks.unionByName(asks)
+    return both.select(*key, "m.t", "rank", "b0", "b1", "probe",
+                       F.when(F.col("rank") == 0, F.col("m.sign")).otherwise(0).alias("step"),
+                       F.when(F.col("rank") == 1, F.col("m.sign")).alias("side"))
 
 
 def first_overlap(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame:
@@ -135,7 +138,7 @@ def first_overlap(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY,
     """
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(probes, busy, key, [("start_ns", F.lit(0))], [("start_ns", 0)])
+    frame = _points(probes, busy, key, [("start_ns", 0)], [("start_ns", 0)])
     frame = running(frame, key, ["t", "rank"], {"_prev_end": ("max", F.col("b1"))}, splits=splits)
     frame = running(frame, key, ["t", "rank"], {"_next": ("last", F.col("b0"))}, reverse=True, splits=splits)
     inside = F.col("_prev_end") > F.col("t")
@@ -157,7 +160,7 @@ def overlap_amount(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY,
     """
     key = [] if scope == "all" else list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(probes, busy, key, [("start_ns", F.lit(-1)), ("end_ns", F.lit(1))],
+    frame = _points(probes, busy, key, [("start_ns", -1), ("end_ns", 1)],
                     [("start_ns", 1), ("end_ns", -1)])
     exact = F.col("t").cast("decimal(20,0)")
     frame = running(frame, key, ["t", "rank"], {
@@ -217,7 +220,7 @@ def idle_age(points: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, at: s
     """Time since the last busy interval ended, at arbitrary moments; 0 inside an interval or before any."""
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(points, busy, key, [(at, F.lit(0))], [("start_ns", 0)])
+    frame = _points(points, busy, key, [(at, 0)], [("start_ns", 0)])
     frame = running(frame, key, ["t", "rank"], {"_end": ("max", F.col("b1"))}, splits=splits)
     age = F.greatest(F.lit(0).cast("long"), F.col("t") - F.col("_end"))
     return (frame.filter(F.col("probe").isNotNull())

@@ -1,7 +1,8 @@
 """Placement policies: which probe class for which gap, was it safe, what did it cost.
 
-A policy takes gaps and returns the gaps it probes with ``probe_type``.  User policies are plain functions of
-the same shape, registered by name.
+A policy takes gaps and adds ``probe_type`` (0 = no probe).  User policies are plain functions of the same
+shape, registered by name.  Several policies are chained over one pass of the gaps and unfolded at the end, so
+the timeline is computed once however many are compared.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ KEY = tuple(K.PATH_KEY)
 Durations = dict[int, int]
 
 
-def _chosen(gaps: DataFrame, kind: Column) -> DataFrame:
-    return gaps.withColumn("probe_type", kind.cast("int")).filter(F.col("probe_type") > K.PROBE_NONE)
+def _kind(gaps: DataFrame, kind: Column) -> DataFrame:
+    return gaps.withColumn("probe_type", kind.cast("int"))
 
 
 def largest_fit(room: Column, durations: Durations | None = None) -> Column:
@@ -33,18 +34,17 @@ def largest_fit(room: Column, durations: Durations | None = None) -> Column:
 
 
 def policy_none(gaps: DataFrame) -> DataFrame:
-    return _chosen(gaps, F.lit(K.PROBE_NONE))
+    return _kind(gaps, F.lit(K.PROBE_NONE))
 
 
 def policy_fixed_interval(gaps: DataFrame, key: Sequence[str] = KEY, period: int = 100_000_000) -> DataFrame:
     """One tiny probe per path and period, in the first gap that starts in it.
 
-    A minimum per (path, period) combines map-side and spreads over the periods.
+    The window holds the gaps of one period of one path; gaps are longer than the merge tolerance, so their
+    number is bounded by period / tolerance.
     """
-    names = gaps.columns
-    first = (gaps.withColumn("_bucket", F.floor(F.col("start_ns") / period)).groupBy(*key, "_bucket")
-             .agg(F.min_by(F.struct(*names), F.struct("start_ns", "gap_idx")).alias("g")))
-    return _chosen(first.select("g.*"), F.lit(K.PROBE_TINY))
+    order = Window.partitionBy(*key, F.floor(F.col("start_ns") / period)).orderBy("start_ns")
+    return _kind(gaps, F.when(F.row_number().over(order) == 1, K.PROBE_TINY).otherwise(K.PROBE_NONE))
 
 
 def policy_random(gaps: DataFrame, key: Sequence[str] = KEY, probability: float = 0.01, seed: int = 42) -> DataFrame:
@@ -52,12 +52,12 @@ def policy_random(gaps: DataFrame, key: Sequence[str] = KEY, probability: float
     def draw(salt: int, n: int) -> Column:
         return F.pmod(F.xxhash64(*key, "gap_idx", F.lit(seed + salt)), F.lit(n))
     kind = draw(1, 3) + K.PROBE_TINY
-    return _chosen(gaps, F.when(draw(0, 1_000_000) < int(probability * 1_000_000), kind).otherwise(K.PROBE_NONE))
+    return _kind(gaps, F.when(draw(0, 1_000_000) < int(probability * 1_000_000), kind).otherwise(K.PROBE_NONE))
 
 
 def policy_threshold(gaps: DataFrame, low: int = 500_000, high: int = 5_000_000) -> DataFrame:
     x = F.col("duration_ns")
-    return _chosen(gaps, F.when(x >= high, K.PROBE_BANDWIDTH).when(x >= low, K.PROBE_NORMAL).otherwise(K.PROBE_NONE))
+    return _kind(gaps, F.when(x >= high, K.PROBE_BANDWIDTH).when(x >= low, K.PROBE_NORMAL).otherwise(K.PROBE_NONE))
 
 
 def policy_ewma(gaps: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, margin: int = 200_000,
@@ -75,32 +75,36 @@ def policy_ewma(gaps: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, m
     rows = trailing(smooth, key, "gap_idx", win, columns, splits)
     room = F.greatest("_e", "_q") - margin
     kind = F.when(F.col("_n") >= min_history, largest_fit(room, durations)).otherwise(K.PROBE_NONE)
-    return _chosen(rows, kind).select(*gaps.columns, "probe_type")
+    return _kind(rows, kind).select(*gaps.columns, "probe_type")
 
 
 def policy_predictive(gaps: DataFrame, key: Sequence[str] = KEY, predictions: DataFrame | None = None,
                       eta_bandwidth: float = 0.95, eta_normal: float = 0.90, durations: Durations | None = None,
                       causal: bool = True, splits=AUTO, **ewma_options) -> DataFrame:
-    """Class by P(gap >= 500 us).  ``predictions`` has key, gap_idx and p; without it the EWMA policy decides.
+    """Class by P(gap >= 500 us), from a ``p`` column of the gaps or from ``predictions`` (key, gap_idx, p).
 
-    ``causal=False`` reproduces the published mode, which also tested the real length of the gap.
+    Without either the EWMA policy decides.  A gap without a prediction is not probed.  ``causal=False``
+    reproduces the published mode, which also tested the real length of the gap.
     """
-    if predictions is None:
+    if predictions is None and "p" not in gaps.columns:
         return policy_ewma(gaps, key, durations=durations, causal=causal, splits=splits, **ewma_options)
     d = durations or K.PROBE_DURATIONS_NS
+    rows = gaps
+    if predictions is not None:
+        rows = gaps.drop("p").join(predictions.select(*key, "gap_idx", "p"), [*key, "gap_idx"], "left")
     x, p = F.col("duration_ns"), F.col("p")
 
     def room(kind: int) -> Column:
         return F.lit(True) if causal else x >= d[kind]
-    kind = (F.when((p >= eta_bandwidth) & room(K.PROBE_BANDWIDTH), K.PROBE_BANDWIDTH)
+    kind = (F.when(p.isNull(), K.PROBE_NONE)
+            .when((p >= eta_bandwidth) & room(K.PROBE_BANDWIDTH), K.PROBE_BANDWIDTH)
             .when((p >= eta_normal) & room(K.PROBE_NORMAL), K.PROBE_NORMAL)
             .when(room(K.PROBE_TINY), K.PROBE_TINY).otherwise(K.PROBE_NONE))
-    rows = gaps.join(predictions.select(*key, "gap_idx", "p"), [*key, "gap_idx"])
-    return _chosen(rows, kind).select(*gaps.columns, "probe_type")
+    return _kind(rows, kind).select(*gaps.columns, "probe_type")
 
 
 def policy_oracle(gaps: DataFrame, durations: Durations | None = None) -> DataFrame:
-    return _chosen(gaps, largest_fit(F.col("duration_ns"), durations))
+    return _kind(gaps, largest_fit(F.col("duration_ns"), durations))
 
 
 POLICIES: dict[str, Callable[..., DataFrame]] = {
@@ -112,19 +116,27 @@ def register_policy(name: str, policy: Callable[..., DataFrame]) -> None:
     POLICIES[name] = policy
 
 
-def apply_policy(name: str, gaps: DataFrame, **options) -> DataFrame:
+def make_policy(name: str) -> Callable[..., DataFrame]:
     if name not in POLICIES:
         raise ValueError(f"unknown policy {name!r}; known: {', '.join(sorted(POLICIES))}")
-    return POLICIES[name](gaps, **options).withColumn("policy", F.lit(name))
+    return POLICIES[name]
+
+
+def apply_policy(name: str, gaps: DataFrame, **options) -> DataFrame:
+    """The gaps that one policy probes."""
+    return (make_policy(name)(gaps, **options).withColumn("policy", F.lit(name))
+            .filter(F.col("probe_type") > K.PROBE_NONE))
 
 
 def apply_policies(gaps: DataFrame, options: dict[str, dict]) -> DataFrame:
-    """Decisions of several policies in long form."""
-    runs = [apply_policy(name, gaps, **kw) for name, kw in options.items()]
-    out = runs[0]
-    for more in runs[1:]:
-        out = out.unionByName(more)
-    return out
+    """Decisions of several policies in long form, from one pass over the gaps."""
+    rows = gaps
+    for i, (name, kw) in enumerate(options.items()):
+        rows = make_policy(name)(rows, **kw).withColumnRenamed("probe_type", f"_k{i}")
+    kinds = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(f"_k{i}").alias("probe_type"))
+                      for i, n in enumerate(options)])
+    chosen = F.filter(kinds, lambda k: k["probe_type"] > K.PROBE_NONE)
+    return rows.withColumn("_d", F.explode(chosen)).select(*gaps.columns, "_d.policy", "_d.probe_type")
 
 
 # --- from decisions to outcomes --------------------------------------------

@@ -33,7 +33,7 @@ def match_probe_window(probes: DataFrame, busy: DataFrame, key: Sequence[str], b
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
     known = busy.select(*key, "start_ns", "end_ns", "bandwidth_gbps")
-    frame = _points(probes, known, key, [("start_ns", F.lit(0))], [("start_ns", 0)])
+    frame = _points(probes, known, key, [("start_ns", 0)], [("start_ns", 0)])
     opened = known.select(*key, F.col("start_ns").alias("b0"), F.col("bandwidth_gbps").alias("window_gbps"))
     frame = running(frame, key, ["t", "rank"], {"_w": ("last", F.when(
         F.col("rank") == 0, F.struct("b0", "b1")))}, splits=splits)
