@@ -16,6 +16,7 @@ the keyed state of ``stream_gaps`` never sees late input.  Python runs only on m
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -135,25 +136,32 @@ def stream_decisions(gaps: DataFrame, policy: str = "ewma", margin: int = 200_00
             .withColumn("fits", x >= need))
 
 
-def stream_rate_limit(decisions: DataFrame, n: int = 10, width_ns: int = 1_000_000_000) -> DataFrame:
+def stream_rate_limit(decisions: DataFrame, n: int = 10, width_ns: int = 1_000_000_000,
+                      tie: Sequence[str] = (), delay: str = "10 seconds") -> DataFrame:
     """First ``n`` probes of each time window, over all paths.  State per window: how many it already has.
 
-    Each chunk of a window is cut to its first ``n`` rows before the next is read.
+    Each chunk of a window is cut to its first ``n`` rows before the next is read, and a window behind the
+    watermark is forgotten.
     """
     columns = list(decisions.columns)
     output = ", ".join(f"{c} {t}" for c, t in decisions.dtypes)
 
-    def step(_group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
         best = None
         for part in parts:
             best = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = best.sort_values(["start_ns", "gap_idx"], kind="stable").head(max(0, n - used))
+            best = best.sort_values(["start_ns", "gap_idx", *tie], kind="stable").head(max(0, n - used))
         state.update((used + len(best),))
+        end_ms = (int(group[0]) + 1) * width_ns // 1_000_000
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
         yield best[columns]
-    windowed = decisions.withColumn("_window", F.floor(F.col("start_ns") / width_ns))
+    windowed = decisions.withWatermark("ts", delay).withColumn("_window", F.floor(F.col("start_ns") / width_ns))
     return windowed.groupBy("_window").applyInPandasWithState(step, output, "used long", "append",
-                                                              GroupStateTimeout.NoTimeout)
+                                                              GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_counts(decisions: DataFrame, width: str = "1 second", delay: str = "10 seconds") -> DataFrame:
@@ -188,9 +196,23 @@ def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id
                                                          GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Process what is there, write it below ``folder`` on shared storage, and read it back."""
+class StreamTable(NamedTuple):
+    """A Parquet folder that one query appends to and others read, as a batch or as a stream."""
+    folder: str
+    rows: DataFrame
+
+    def follow(self, max_files: int = 64) -> DataFrame:
+        spark = self.rows.sparkSession
+        return (spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", max_files)
+                .parquet(f"{self.folder}/out"))
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> StreamTable:
+    """Process what is there and append it below ``folder`` on shared storage.
+
+    The table is the boundary between two stages: each query keeps one kind of state and restarts on its own.
+    """
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
              .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    return StreamTable(folder, stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out"))
