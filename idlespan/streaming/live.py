@@ -72,23 +72,29 @@ def _gap_step(key: Sequence[str], alpha: float, bound_q: float, bound_min: int,
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_end, count, smooth, recent = state.get if state.exists else (None, 0, 0.0, [])
-        recent = list(recent)
         rows = pd.concat(list(parts), ignore_index=True).sort_values("start_ns")
-        out = []
-        for start, end in zip(rows["start_ns"].tolist(), rows["end_ns"].tolist()):
-            if last_end is not None and start > last_end:
-                past = np.asarray(recent, dtype="float64")
-                n = len(past)
-                out.append((*group, count, last_end, start, start - last_end, n, smooth,
-                            float(np.percentile(past, 10)) if n >= min_samples else 0.0,
-                            float(np.percentile(past, bound_q * 100)) if n >= bound_min else 0.0))
-                gap = float(start - last_end)
-                smooth = gap if count == 0 else alpha * gap + (1 - alpha) * smooth
-                recent = [*recent, gap][-TRAIL:]
-                count += 1
-            last_end = end if last_end is None else max(last_end, end)
-        state.update((last_end, count, smooth, recent))
-        yield pd.DataFrame(out, columns=names)
+        start, end = rows["start_ns"].to_numpy(), rows["end_ns"].to_numpy()
+        reach = np.maximum.accumulate(np.r_[start[0] if last_end is None else last_end, end])
+        before = reach[:-1]
+        found = start > before
+        gap = (start - before)[found].astype("float64")
+        known = pd.Series(np.r_[np.asarray(recent, dtype="float64"), gap])
+        smoothed = pd.Series(np.r_[smooth, gap] if count else gap).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+        def trailing(q: float, least: int) -> np.ndarray:
+            seen = known.rolling(TRAIL, min_periods=least).quantile(q, interpolation="linear").shift(1)
+            return seen.fillna(0.0).to_numpy()[len(recent):]
+        total = count + len(gap)
+        if len(gap):
+            yield pd.DataFrame({
+                **dict(zip(key, group)), "gap_idx": np.arange(count, total), "start_ns": before[found],
+                "end_ns": start[found], "duration_ns": (start - before)[found],
+                "history": np.minimum(np.arange(count, total), TRAIL),
+                "ewma": smoothed[:-1] if count else np.r_[0.0, smoothed[:-1]],
+                "trailing_p10": trailing(0.10, min_samples), "g_lower_bound": trailing(bound_q, bound_min)},
+                columns=names)
+        state.update((int(reach[-1]), total, float(smoothed[-1]) if len(smoothed) else 0.0,
+                      known.tail(TRAIL).tolist()))
     return step
 
 
@@ -183,15 +189,15 @@ def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id
     output = ", ".join([*[f"{k} {kinds[k]}" for k in key], "t double", "streak long"])
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
+        carried = state.get[0] if state.exists else 0
         rows = pd.concat([p[["t", "is_degraded"]] for p in parts], ignore_index=True).sort_values("t", kind="stable")
-        out = []
-        for t, low in zip(rows["t"].tolist(), rows["is_degraded"].tolist()):
-            streak = streak + 1 if low else 0
-            if streak == n:
-                out.append((*group, t, streak))
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=[*key, "t", "streak"])
+        low, at = rows["is_degraded"].to_numpy(dtype=bool), np.arange(len(rows))
+        last_good = np.maximum.accumulate(np.where(low, -1, at))
+        streak = np.where(last_good < 0, at + 1 + carried, at - last_good)
+        state.update((int(streak[-1]),))
+        raised = rows["t"].to_numpy()[low & (streak == n)]
+        if len(raised):
+            yield pd.DataFrame({**dict(zip(key, group)), "t": raised, "streak": n}, columns=[*key, "t", "streak"])
     return readings.groupBy(*key).applyInPandasWithState(step, output, "streak long", "append",
                                                          GroupStateTimeout.NoTimeout)
 
