@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import direction_label, has_flag, ratio, with_transfer_metrics
-from ..scale import AUTO, linear, nearest, numbered, order_statistics, resolve, running, trailing
+from ..scale import (AUTO, linear, nearest, numbered, order_statistics, resolve, running, trailing,
+                     value_splits)
 from .joins import cohort_compare
 from .ranking import first_fraction
 
@@ -24,18 +25,21 @@ def _count() -> Column:
 # --- gaps -------------------------------------------------------------------
 
 def gap_stats(gaps: DataFrame, key: Sequence[str] = KEY, paths: DataFrame | None = None,
-              splits=AUTO) -> DataFrame:
-    """Count, extremes, nearest-rank p50 / p90 and total per path.  ``paths`` lists keys that must appear,
-    with zeros when they have no gap."""
+              at_least: dict[str, int] | None = None, splits=AUTO) -> DataFrame:
+    """Count, extremes, nearest-rank p50 / p90 and total per path, all from one histogram pass.
+
+    ``at_least`` adds counts of gaps of at least a length.  ``paths`` lists keys that must appear, with zeros
+    when they have no gap.  ``splits`` are those of the gaps.
+    """
     key = list(key)
-    plain = gaps.groupBy(*key).agg(_count().alias("count"), F.min("duration_ns").alias("min_ns"),
-                                   F.max("duration_ns").alias("max_ns"), F.sum("duration_ns").alias("total_ns"))
-    ranks = order_statistics(gaps, key, "duration_ns", {
-        "p50_ns": nearest(lambda n: F.floor(n / 2)),
-        "p90_ns": nearest(lambda n: F.floor(n * F.lit(0.9)))}, splits=splits)
-    out = plain.join(ranks.drop("n"), key) if key else one_row_join(plain, ranks.drop("n"))
-    out = out.select(*key, "count", "min_ns", "max_ns", F.col("p50_ns").cast("long").alias("p50_ns"),
-                     F.col("p90_ns").cast("long").alias("p90_ns"), "total_ns")
+    wanted = {"min_ns": lambda v, c: F.min(v), "max_ns": lambda v, c: F.max(v), "total_ns": lambda v, c: F.sum(v * c)}
+    for name, length in (at_least or {}).items():
+        wanted[name] = lambda v, c, n=length: F.sum(F.when(v >= n, c).otherwise(0))
+    out = order_statistics(gaps, key, "duration_ns", {
+        "p50_ns": nearest(lambda n: F.floor(n / 2)), "p90_ns": nearest(lambda n: F.floor(n * F.lit(0.9)))},
+        value_splits(splits), wanted)
+    out = out.select(*key, F.col("n").alias("count"), "min_ns", "max_ns", F.col("p50_ns").cast("long").alias("p50_ns"),
+                     F.col("p90_ns").cast("long").alias("p90_ns"), "total_ns", *(at_least or {}))
     if paths is not None:
         out = paths.select(*key).distinct().join(out, key, "left").fillna(0)
     return out
@@ -92,7 +96,7 @@ def quantile_profile(df: DataFrame, value: str, ps: Sequence[float] = (.10, .25,
         sketch = F.percentile_approx(x, F.array(*[F.lit(float(p)) for p in ps]), F.lit(approximate))
         wide = df.groupBy(*key).agg(*plain, sketch.alias("_q"))
         return wide.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(names)}).drop("_q")
-    ranks = order_statistics(df, key, value, {n: linear(p) for n, p in zip(names, ps)}, splits).drop("n")
+    ranks = order_statistics(df, key, value, {n: linear(p) for n, p in zip(names, ps)}, value_splits(splits)).drop("n")
     wide = df.groupBy(*key).agg(*plain)
     return wide.join(ranks, key) if key else one_row_join(wide, ranks)
 
@@ -106,7 +110,7 @@ def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
 def shift_verdict(gaps: DataFrame, late: Column, value: str = "duration_ns", splits=AUTO) -> DataFrame:
     """Did the median move?  More than 5 % up is longer, less than 5 % either way stable, otherwise shifted."""
     cohorts = gaps.withColumn("_late", late)
-    medians = order_statistics(cohorts, ["_late"], value, {"m": linear(0.5)}, splits)
+    medians = order_statistics(cohorts, ["_late"], value, {"m": linear(0.5)}, value_splits(splits))
     both = medians.agg(F.max(F.when(~F.col("_late"), F.col("m"))).alias("early_median"),
                        F.max(F.when(F.col("_late"), F.col("m"))).alias("late_median"))
     e, l = F.col("early_median"), F.col("late_median")
@@ -174,10 +178,8 @@ def path_summary(df: DataFrame, busy: DataFrame, gaps: DataFrame, key: Sequence[
     events = df.groupBy(*key).agg(_count().alias("events"), F.sum("size").alias("_bytes"),
                                   direction_label(F.min_by("direction", "start_ns")).alias("direction_label"))
     intervals = busy.groupBy(*key).agg(_count().alias("busy_intervals"))
-    safe = gaps.groupBy(*key).agg(*[F.count_if(F.col("duration_ns") >= d + margin).alias(f"_{name}")
-                                    for name, d in durations.items()])
-    out = (events.join(intervals, key, "left").join(gap_stats(gaps, key, splits=splits), key, "left")
-           .join(safe, key, "left"))
+    stats = gap_stats(gaps, key, at_least={f"_{name}": d + margin for name, d in durations.items()}, splits=splits)
+    out = events.join(intervals, key, "left").join(stats, key, "left")
     us = {f"gap_{s}_us": F.round(F.coalesce(f"{s}_ns", F.lit(0)) / 1000.0, 1) for s in ("p50", "p90", "min", "max")}
     shares = {f"safe_{name}_pct": F.round(ratio(F.coalesce(f"_{name}", F.lit(0)) * 100.0, n), 1)
               for name in durations}
@@ -390,21 +392,28 @@ def stage_bandwidth(readings: DataFrame, stages: Sequence[tuple[str, float | Non
                                       F.max(value).alias("max"))
     medians = order_statistics(rows, ["stage"], value, {"median": linear(0.5)}, splits).drop("n")
     out = plain.join(medians, "stage")
-    base = out.filter(F.col("stage") == stages[0][0]).select("median").scalar()
+    # One row per stage is left, so a window over all of them is a handful of rows.
+    base = F.max(F.when(F.col("stage") == stages[0][0], F.col("median"))).over(Window.partitionBy(F.lit(0)))
     return out.withColumn("drop_pct", F.when(F.col("stage") != stages[0][0], (1 - F.col("median") / base) * 100))
 
 
 def baseline_median(readings: DataFrame, fault_start: float | None = None, value: str = "bandwidth_gbps",
-                    at: str = "t", order: Sequence[str] = ("t",), splits=AUTO) -> Column:
-    """Median before the fault, as a scalar; the first third of the readings when no time is known."""
+                    at: str = "t", order: Sequence[str] = ("t",), splits=AUTO) -> float:
+    """Median before the fault; of the first third of the readings when no time is known.
+
+    One number, computed now: every later stage, batch or stream, compares with a constant.
+    """
     before = readings.filter(F.col(at) < fault_start) if fault_start is not None \
         else first_fraction(readings, 1 / 3, order, splits)
-    return order_statistics(before, [], value, {"m": linear(0.5)}, splits).select("m").scalar()
+    row = order_statistics(before, [], value, {"m": linear(0.5)}, splits).first()
+    if row is None or row.m is None:
+        raise ValueError("no reading before the fault, so there is no baseline")
+    return row.m
 
 
 def flag_degraded(readings: DataFrame, baseline: Column | float, threshold: float = 0.7,
                   value: str = "bandwidth_gbps") -> DataFrame:
-    limit = (baseline if isinstance(baseline, Column) else F.lit(float(baseline))) * threshold
+    limit = baseline * F.lit(threshold)
     return readings.withColumn("limit_gbps", limit) \
         .withColumn("is_degraded", F.col(value) < F.col("limit_gbps"))
 

@@ -45,12 +45,16 @@ def last_gap_training_set(gaps: DataFrame, busy: DataFrame, key: Sequence[str] =
 # --- baselines --------------------------------------------------------------
 
 def _with_rates(test: DataFrame, rates: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Label the test rows and attach one probability per horizon, held in a single row of ``rates``."""
-    row = rates.select(F.map_from_arrays(
-        F.array(*[F.lit(h).cast("long") for h in horizons]),
-        F.array(*[F.coalesce(F.col(f"_r{i}"), F.lit(0.0)) for i in range(len(horizons))])).alias("m")).scalar()
-    return (horizon_labels(test, horizons).withColumn("_rates", row)
-            .withColumn("p", F.element_at("_rates", F.col("horizon_ns"))).drop("_rates"))
+    """Label the test rows and attach one probability per horizon.
+
+    ``rates`` is a single row with one number per horizon; it is fetched and becomes literals of the plan.
+    """
+    row = rates.first()
+    labelled = horizon_labels(test, horizons)
+    p = F.lit(None).cast("double")
+    for i, h in enumerate(horizons):
+        p = F.when(F.col("horizon_ns") == h, F.lit(float(row[f"_r{i}"] or 0.0))).otherwise(p)
+    return labelled.withColumn("p", p)
 
 
 def base_rate_baseline(train: DataFrame, test: DataFrame, horizons: Sequence[int]) -> DataFrame:

@@ -7,10 +7,12 @@ kept once and shared by its fits.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -51,52 +53,66 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
 
 
-def _positive_rates(train: DataFrame, horizons: Sequence[int]) -> dict[int, float | None]:
-    row = train.agg(*[F.avg((F.col("duration_ns") >= h).cast("double")).alias(f"r{i}")
-                      for i, h in enumerate(horizons)]).first()
-    return {h: row[f"r{i}"] for i, h in enumerate(horizons)}
+ROWS_PER_FIT_TASK = 50_000
+
+
+def _survey(data: DataFrame, features: Sequence[str], horizons: Sequence[int]):
+    """One pass: row count, share of positives per horizon, and which features vary at all."""
+    return data.agg(F.count(F.lit(1)).alias("n"),
+                    *[F.avg((F.col("duration_ns") >= h).cast("double")).alias(f"r{i}") for i, h in enumerate(horizons)],
+                    *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(features)]).first()
 
 
 def _fit_each(train: DataFrame, horizons: Sequence[int], features: Sequence[str],
-              estimator: Callable[[int, int], object]) -> HorizonModels:
+              estimator: Callable[[int, int], object], parallelism: int) -> HorizonModels:
+    """Fit every horizon on one kept copy of the training columns.
+
+    Constant columns cannot split or weigh anything and are left out.  A small set is put into few partitions,
+    because a tree level is one job and its task overhead would exceed its work.  Up to ``parallelism`` fits
+    are submitted at once, as in Spark's own cross validator.
+    """
     shared_dir(train.sparkSession)          # long boosting chains are cut there
-    fitted = HorizonModels(list(features))
-    data = _assembled(train, features).select("_x", "duration_ns").persist(StorageLevel.MEMORY_AND_DISK)
+    data = train.select(*features, "duration_ns").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rates = _positive_rates(data, horizons)
-        for h in horizons:
-            rate = rates[h]
-            if rate is None:
-                continue
-            if rate in (0.0, 1.0):
-                fitted.constants[h] = rate
-                continue
-            labelled = data.withColumn("label", (F.col("duration_ns") >= h).cast("double"))
-            fitted.models[h] = estimator(h, data.count()).fit(labelled)
+        seen = _survey(data, features, horizons)
+        varying = [c for i, c in enumerate(features) if seen[f"v{i}"]] or list(features[:1])
+        fitted = HorizonModels(varying)
+        rates = {h: seen[f"r{i}"] for i, h in enumerate(horizons) if seen[f"r{i}"] is not None}
+        fitted.constants = {h: r for h, r in rates.items() if r in (0.0, 1.0)}
+        ready = _assembled(data, varying).select("_x", "duration_ns").coalesce(
+            max(1, math.ceil(seen.n / ROWS_PER_FIT_TASK)))
+
+        def one(h: int):
+            labelled = ready.select("_x", (F.col("duration_ns") >= h).cast("double").alias("label"))
+            return h, estimator(h, seen.n).fit(labelled)
+        todo = [h for h in rates if h not in fitted.constants]
+        with ThreadPool(max(1, min(parallelism, len(todo)))) as pool:
+            fitted.models = dict(pool.map(inheritable_thread_target(train.sparkSession)(one), todo))
     finally:
         data.unpersist()
     return fitted
 
 
 def fit_survival(train: DataFrame, horizons: Sequence[int] = K.HORIZONS_NS,
-                 features: Sequence[str] = tuple(K.FEATURE_NAMES), params: dict | None = None) -> HorizonModels:
+                 features: Sequence[str] = tuple(K.FEATURE_NAMES), params: dict | None = None,
+                 parallelism: int = 4) -> HorizonModels:
     """One boosted-tree classifier of P(gap >= h) per horizon."""
     base = {**TREE_PARAMS, **(params or {})}
 
     def trees(h: int, _n: int):
         return GBTClassifier(featuresCol="_x", labelCol="label", **{**base, "seed": base["seed"] + h % 1000})
-    return _fit_each(train, horizons, features, trees)
+    return _fit_each(train, horizons, features, trees, parallelism)
 
 
 def fit_logistic(train: DataFrame, horizons: Sequence[int], features: Sequence[str] = tuple(K.FEATURE_NAMES),
-                 c: float = 1.0, max_iter: int = 1000) -> HorizonModels:
+                 c: float = 1.0, max_iter: int = 1000, parallelism: int = 4) -> HorizonModels:
     """Logistic regression on standardised features with an inverse penalty ``c`` on the summed loss."""
     def scaled(_h: int, n: int):
         return Pipeline(stages=[
             StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
             LogisticRegression(featuresCol="_z", labelCol="label", regParam=1.0 / (c * max(n, 1)),
                                standardization=False, maxIter=max_iter)])
-    return _fit_each(train, horizons, features, scaled)
+    return _fit_each(train, horizons, features, scaled, parallelism)
 
 
 def score(df: DataFrame, fitted: HorizonModels, horizons: Sequence[int]) -> DataFrame:

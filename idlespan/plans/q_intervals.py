@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import intervals as I
-from ..operators.aggregates import gap_stats, safe_availability
+from ..operators.aggregates import gap_stats
 from ..scale import plan_splits
 from . import adapter as A
 from .endpoints import traced
@@ -108,9 +108,12 @@ FROM s JOIN (SELECT path, probe_duration_ns, count(*) FILTER (duration_ns >= pro
 def idle_windows(spark, sf):
     """Per path: how many idle windows, how long, and what share can hold each probe class."""
     tl = timeline(spark, sf)
-    safe = safe_availability(tl.gaps, [A.DURATIONS[k] for k in (1, 2, 3)], A.MARGIN, PATH)
-    return (gap_stats(tl.gaps, PATH).join(safe.drop("total_count"), PATH)
-            .withColumn("safe_ratio", F.round("safe_ratio", 6)))
+    sizes = {f"_{k}": A.DURATIONS[k] + A.MARGIN for k in (1, 2, 3)}
+    stats = gap_stats(tl.gaps, PATH, at_least=sizes, splits=tl.splits)
+    classes = F.array(*[F.struct(F.lit(A.DURATIONS[k]).alias("probe_duration_ns"), F.col(f"_{k}").alias("safe_count"))
+                        for k in (1, 2, 3)])
+    return (stats.withColumn("c", F.explode(classes)).select("*", "c.*").drop("c", *sizes)
+            .withColumn("safe_ratio", F.round(F.col("safe_count") / F.col("count"), 6)))
 
 
 @query("first_overlap", with_(f"{TBG}, {PROBES_SQL}", """, h AS (SELECT p.path, p.gap_idx, p.start_ns,

@@ -38,7 +38,8 @@ stats AS (SELECT path, count(*) AS "count", min(duration_ns) AS min_ns, max(dura
 
 @query("gap_stats", with_(f"{TBG}, {GAP_STATS_SQL}", "SELECT * FROM stats"))
 def gap_stats(spark, sf):
-    return G.gap_stats(timeline(spark, sf).gaps, PATH)
+    tl = timeline(spark, sf)
+    return G.gap_stats(tl.gaps, PATH, splits=tl.splits)
 
 
 @query("safe_availability", with_(TBG, """SELECT probe_duration_ns, count(*) FILTER (duration_ns >= probe_duration_ns +
@@ -76,7 +77,7 @@ FROM e JOIN b USING (path) JOIN stats USING (path) JOIN s USING (path)"""))
 def path_summary(spark, sf):
     tl = timeline(spark, sf)
     durations = {n: d * A.SCALE for n, d in G.REPORT_DURATIONS.items()}
-    return G.path_summary(tl.transfers, tl.busy, tl.gaps, PATH, durations, A.MARGIN)
+    return G.path_summary(tl.transfers, tl.busy, tl.gaps, PATH, durations, A.MARGIN, tl.splits)
 
 
 @query("path_totals", with_(TX, """SELECT src_dev, dst_dev, direction, src_numa, dst_numa, count(*) AS events,
@@ -135,8 +136,9 @@ round(quantile_cont(duration_ns / 1e9, 0.99), 4) AS p99, round(avg(duration_ns /
 round(stddev_pop(duration_ns / 1e9), 4) AS std, round(min(duration_ns / 1e9), 4) AS min, round(max(duration_ns / 1e9), 4)
 AS max FROM gaps GROUP BY path"""))
 def quantile_profile(spark, sf):
-    gaps = timeline(spark, sf).gaps.withColumn("s", F.col("duration_ns") / 1e9)
-    return rounded(G.quantile_profile(gaps, "s", key=PATH), 4)
+    tl = timeline(spark, sf)
+    gaps = tl.gaps.withColumn("s", F.col("duration_ns") / 1e9)
+    return rounded(G.quantile_profile(gaps, "s", key=PATH, splits=tl.splits), 4)
 
 
 @query("quantile_profile_approximate")
@@ -318,7 +320,7 @@ def degradation_without_time(spark, sf):
     """No time known: the first third of the readings is the baseline."""
     bw = _readings(spark, sf).filter(F.col("type") == "BW")
     base = G.baseline_median(bw, None, order=("path_id", "latency_us", "bandwidth_gbps"))
-    flagged = G.flag_degraded(bw, base).withColumn("base", base)
+    flagged = G.flag_degraded(bw, base).withColumn("base", F.lit(base))
     return rounded(flagged.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_degraded").alias("degraded"),
                                F.max("base").alias("baseline")))
 

@@ -159,9 +159,18 @@ def nearest(rank: Callable[[Column], Column]) -> Callable[[Column], tuple[Column
     return ranks
 
 
+def value_splits(splits):
+    """Splits for ordering values of a table whose time splits are known: none needed where no key was large."""
+    return None if splits is None else AUTO
+
+
 def order_statistics(df: DataFrame, key: Sequence[str], value: str, picks: dict[str, Callable],
-                     splits=AUTO) -> DataFrame:
-    """Exact order statistics per key: one row per key with ``n`` and one double per pick."""
+                     splits=AUTO, extras: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """Exact order statistics per key: one row per key with ``n`` and one double per pick.
+
+    ``extras`` are further aggregates over (value, count) of the same histogram, so that counts, sums and
+    ranks of a value come from one pass.
+    """
     key = list(key)
     hist = (df.filter(F.col(value).isNotNull()).groupBy(*key, value)
             .agg(F.count(F.lit(1)).alias("_c")))
@@ -179,11 +188,12 @@ def order_statistics(df: DataFrame, key: Sequence[str], value: str, picks: dict[
         inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
         return F.max(F.when(inside, F.col(value).cast("double")))
 
-    aggs = [F.max("n").alias("n")]
+    extras = {n: f(F.col(value), F.col("_c")) for n, f in (extras or {}).items()}
+    aggs = [F.max("n").alias("n"), *[c.alias(n) for n, c in extras.items()]]
     for name, (low, high, fraction) in ends.items():
         aggs += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"),
                  F.max(fraction).alias(f"_fr_{name}")]
     picked = cum.groupBy(*key).agg(*aggs)
-    return picked.select(*key, "n", *[
+    return picked.select(*key, "n", *extras, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
         for n in picks])

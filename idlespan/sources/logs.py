@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: log line patterns
-PROBE_LINE = r"\[(\w+)\] Path (\d+): ([\d.]+)µs \(([\d.]+)GB/s\)"
-PROBE_TIME = r"\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\]\s*\[\w+\] Path"
+# fixed values: log line pattern (optional time, type, path, microseconds, GB/s)
+PROBE_LINE = (r"^.*?(?:\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\]\s*)?"
+              r"\[(\w+)\] Path (\d+): ([\d.]+)µs \(([\d.]+)GB/s\).*$")
+MARK = "\u0001"
 
 
 def parse_probe_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """``[time] [TYPE] Path n: x us (y GB/s)`` with an optional time; other lines are dropped.
 
-    ``t`` is Unix seconds in the session time zone, null without a time.
+    ``t`` is Unix seconds in the session time zone, null without a time.  The pattern runs once per line: its
+    groups come out as one array, and the explode keeps later filters from repeating the match.
     """
-    line = F.col(value)
+    groups = F.split(F.regexp_replace(F.col(value), PROBE_LINE, MARK.join(f"${i}" for i in range(1, 6))), MARK)
+    rest = [c for c in lines.columns if c != value]
+    rows = lines.select(*rest, F.explode(F.array(groups)).alias("w")).filter(F.size("w") == 5)
 
     def part(i: int):
-        return F.regexp_extract(line, PROBE_LINE, i)
-    stamp = F.nullif(F.regexp_extract(line, PROBE_TIME, 1), F.lit(""))
-    return (lines.filter(line.rlike(PROBE_LINE))
-            .select(*[c for c in lines.columns if c != value],
-                    (F.unix_micros(F.try_to_timestamp(stamp)) / 1e6).alias("t"), part(1).alias("type"),
-                    part(2).try_cast("bigint").alias("path_id"), part(3).try_cast("double").alias("latency_us"),
-                    part(4).try_cast("double").alias("bandwidth_gbps"))
-            .filter(F.col("latency_us").isNotNull() & F.col("bandwidth_gbps").isNotNull()))
+        return F.get("w", F.lit(i))
+    return rows.select(
+        *rest, (F.unix_micros(F.try_to_timestamp(F.nullif(part(0), F.lit("")))) / 1e6).alias("t"),
+        part(1).alias("type"), part(2).try_cast("bigint").alias("path_id"),
+        part(3).try_cast("double").alias("latency_us"), part(4).try_cast("double").alias("bandwidth_gbps")) \
+        .filter(F.col("latency_us").isNotNull() & F.col("bandwidth_gbps").isNotNull())
 
 
 def read_probe_log(spark: SparkSession, path: str) -> DataFrame:
