@@ -41,8 +41,8 @@ def gap_stats(gaps: DataFrame, key: Sequence[str] = KEY, paths: DataFrame | None
     out = out.select(*key, F.col("n").alias("count"), "min_ns", "max_ns", F.col("p50_ns").cast("long").alias("p50_ns"),
                      F.col("p90_ns").cast("long").alias("p90_ns"), "total_ns", *(at_least or {}))
     if paths is not None:
-        out = paths.select(*key).distinct().join(out, key, "left").fillna(0)
-    return out
+        out = paths.select(*key).distinct().join(out, key, "left")
+    return out.fillna(0, [c for c in out.columns if c not in key])
 
 
 def safe_availability(gaps: DataFrame, durations: Sequence[int], margin: int = K.SAFETY_MARGIN_NS,
