@@ -123,9 +123,8 @@ def gap_cdf(gaps: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame
     key = list(key)
     hist = gaps.groupBy(*key, "duration_ns").agg(_count().alias("_c"))
     splits = resolve(splits, hist, "duration_ns", key)
-    cum = running(hist, key, ["duration_ns"], {"_cum": ("sum", F.col("_c"))}, splits=splits)
-    total = gaps.groupBy(*key).agg(_count().alias("_n"))
-    cum = cum.join(total, key) if key else one_row_join(cum, total)
+    cum = running(hist, key, ["duration_ns"], {"_cum": ("sum", F.col("_c"))}, splits=splits,
+                  totals={"_n": ("sum", F.col("_c"))})
     return cum.select(*key, "duration_ns", (F.col("_cum") / F.col("_n")).alias("cdf"))
 
 
@@ -223,8 +222,7 @@ def time_slice_metrics(pred: DataFrame, n: int = 10, order: Sequence[str] = ("st
 
 
 def _with_position(pred: DataFrame, order: Sequence[str], by: list[str], splits) -> DataFrame:
-    rows = numbered(pred, by, list(order), "_row", resolve(splits, pred, order[0], by))
-    return rows.join(pred.groupBy(*by).agg(_count().alias("_total")), by)
+    return numbered(pred, by, list(order), "_row", resolve(splits, pred, order[0], by), total="_total")
 
 
 def early_late_metrics(pred: DataFrame, fraction: float = 0.8, order: Sequence[str] = ("start_ns",),

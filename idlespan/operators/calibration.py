@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import allowed_probe, compose_confidence, data_confidence, drift_confidence, has_flag, ratio
+from ..scale import AUTO, attach, resolve
 
 KEY = tuple(K.PATH_KEY)
 
@@ -120,16 +121,16 @@ def with_window_verdict(df: DataFrame) -> DataFrame:
         "reason_code": F.when(F.col("confidence") >= K.ETA_TINY, K.REASON_SAFE).otherwise(K.REASON_LOW_CONFIDENCE)})
 
 
-def recent_gaps(gaps: DataFrame, n: int, key: Sequence[str] = KEY) -> DataFrame:
+def recent_gaps(gaps: DataFrame, n: int, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame:
     """Last ``n`` gaps of each path, found by number, so no window over a whole path is needed."""
     last = gaps.groupBy(*key).agg(F.max("gap_idx").alias("_last"))
-    return gaps.join(last, list(key)).filter(F.col("gap_idx") > F.col("_last") - n).drop("_last")
+    return attach(gaps, last, key, resolve(splits, gaps, "start_ns", key), how="inner").filter(F.col("gap_idx") > F.col("_last") - n).drop("_last")
 
 
 def safe_windows(gaps: DataFrame, horizons: Sequence[int], key: Sequence[str] = KEY, win: int = 100,
-                 min_samples: int = 10, bound_q: float = 0.05, bound_min: int = 20) -> DataFrame:
+                 min_samples: int = 10, bound_q: float = 0.05, bound_min: int = 20, splits=AUTO) -> DataFrame:
     """One window per path and horizon from the trailing survival estimate, when no model is fitted."""
-    recent = recent_gaps(gaps, win, key)
+    recent = recent_gaps(gaps, win, key, splits)
     x = F.col("duration_ns")
     n = F.count(F.lit(1))
     stats = recent.groupBy(*key).agg(

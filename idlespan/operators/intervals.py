@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import gbps, with_gap_duration
-from ..scale import AUTO, Splits, numbered, plan_splits, resolve, running
+from ..scale import AUTO, attach, numbered, resolve, running
 
 KEY = tuple(K.PATH_KEY)
 
@@ -181,7 +181,7 @@ def densest_window(gaps: DataFrame, busy: DataFrame, key: Sequence[str], width:
     splits = resolve(splits, busy, "start_ns", key)
     last = gaps.groupBy(*key).agg(F.max("end_ns").alias("_last"), F.count(F.lit(1)).alias("_n"))
     every = (F.col("gap_idx") % stride == 0) | (F.col("_n") <= stride)
-    windows = (gaps.join(last, key).filter(every & (F.col("start_ns") + width <= F.col("_last")))
+    windows = (attach(gaps, last, key, splits, how="inner").filter(every & (F.col("start_ns") + width <= F.col("_last")))
                .select(*key, "start_ns", (F.col("start_ns") + width).alias("end_ns"),
                        F.struct(*key, "start_ns").alias("probe_id")))
     filled = overlap_amount(windows, busy, key, "probe_id", splits=splits, out="busy_ns")

@@ -38,7 +38,7 @@ def last_gap_training_set(gaps: DataFrame, busy: DataFrame, key: Sequence[str] =
                           horizons: Sequence[int] = K.HORIZONS_NS, win: int = 50, min_history: int = 5,
                           splits=AUTO) -> DataFrame:
     """One row per path: the row of its last gap."""
-    last = gaps.groupBy(*key).agg(F.max("gap_idx").alias("gap_idx"))
+    last = gaps.groupBy(*key).agg(F.max("gap_idx").alias("gap_idx"))      # joined on key and number: no hot key
     return training_set(gaps, busy, key, horizons, win, min_history, splits).join(last, [*key, "gap_idx"], "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..scale import AUTO, numbered, resolve
+from ..scale import AUTO, attach, numbered, resolve
 
 KEY = tuple(K.PATH_KEY)
 
@@ -53,9 +53,8 @@ def first_k(df: DataFrame, k: int, order: Sequence[str], key: Sequence[str] = ()
 
 def first_fraction(df: DataFrame, fraction: float, order: Sequence[str], splits=AUTO) -> DataFrame:
     """First ``int(n * fraction)`` rows in order."""
-    rows = numbered(df, [], list(order), "_row", resolve(splits, df, order[0], []))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return rows.filter(F.col("_row") < F.floor(total * F.lit(fraction))).drop("_row")
+    rows = numbered(df, [], list(order), "_row", resolve(splits, df, order[0], []), total="_total")
+    return rows.filter(F.col("_row") < F.floor(F.col("_total") * F.lit(fraction))).drop("_row", "_total")
 
 
 def every_nth(df: DataFrame, k: int, index: str = "gap_idx", start: int = 0) -> DataFrame:
@@ -63,14 +62,11 @@ def every_nth(df: DataFrame, k: int, index: str = "gap_idx", start: int = 0) ->
     return df.filter((F.col(index) >= start) & ((F.col(index) - start) % k == 0))
 
 
-def min_rows_per_key(df: DataFrame, n: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Rows of the paths that have at least ``n`` of them.
-
-    A count per key joined back, not a window: the count combines map-side, and the rows of a heavy path
-    stay spread (its side of the join can be broadcast or split as skew).
-    """
+def min_rows_per_key(df: DataFrame, n: int, key: Sequence[str] = KEY, spread_by: str = "start_ns",
+                     splits=AUTO) -> DataFrame:
+    """Rows of the paths that have at least ``n`` of them: a count that combines map-side, joined back."""
     keep = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select(*key)
-    return df.join(keep, list(key), "left_semi")
+    return attach(df, keep, key, resolve(splits, df, spread_by, key), spread_by, "left_semi")
 
 
 def union_passes(*passes: DataFrame) -> DataFrame:

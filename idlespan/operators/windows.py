@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import path_label
-from ..scale import AUTO, numbered, resolve, running, trailing
+from ..scale import AUTO, attach, numbered, resolve, running, trailing
 
 KEY = tuple(K.PATH_KEY)
 
@@ -83,8 +83,8 @@ def feature_rows(gaps: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, win
     splits = resolve(splits, busy, "start_ns", key)
     rows = gap_features(gaps, key, win, min_history, splits)
     bursts = burst_features(busy, key, win, splits)
-    rows = rows.join(busy.filter("end_ns > start_ns").groupBy(*key)
-                     .agg(F.count(F.lit(1)).alias("_bursts")), key, "left")
+    counts = busy.filter("end_ns > start_ns").groupBy(*key).agg(F.count(F.lit(1)).alias("_bursts"))
+    rows = attach(rows, counts, key, splits)
     rows = rows.withColumn("burst_idx", F.least(F.col("gap_idx"), F.coalesce("_bursts", F.lit(0))) - 1)
     rows = rows.join(bursts, [*key, "burst_idx"], "left").drop("burst_idx", "_bursts")
     if causal:
@@ -93,7 +93,7 @@ def feature_rows(gaps: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, win
         rows = rows.withColumn("f_ebpf_event_rate", F.col("gap_idx") / span_s).drop("_from")
     else:
         rates = event_rate(gaps, key).withColumnRenamed("event_rate", "f_ebpf_event_rate")
-        rows = rows.join(rates, key, "left").withColumn("f_burst_rate", F.lit(0.0))
+        rows = attach(rows, rates, key, splits).withColumn("f_burst_rate", F.lit(0.0))
     code = F.lit(direction) if isinstance(direction, int) else direction
     zero = F.lit(0.0)
     rows = rows.withColumns({

@@ -127,8 +127,8 @@ def time_slice(spark, sf):
 @query("min_gaps_per_path", with_(TBG.replace("event_type AS path", "CAST(user_id AS VARCHAR) AS path"), """SELECT path,
 gap_idx, duration_ns FROM gaps QUALIFY count(*) OVER (PARTITION BY path) >= 66"""))
 def min_gaps_per_path(spark, sf):
-    gaps = timeline(spark, sf, "user_id").gaps
-    return R.min_rows_per_key(gaps, 66, PATH).select("path", "gap_idx", "duration_ns")
+    tl = timeline(spark, sf, "user_id")
+    return R.min_rows_per_key(tl.gaps, 66, PATH, splits=tl.splits).select("path", "gap_idx", "duration_ns")
 
 
 @query("every_nth", with_(TBG, "SELECT path, gap_idx, duration_ns FROM gaps WHERE gap_idx >= 50 AND gap_idx % 10 = 0"))

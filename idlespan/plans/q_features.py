@@ -81,8 +81,7 @@ f_direction_code, CAST(0 AS DOUBLE) AS f_burst_rate FROM fr WHERE gap_idx >= 50"
 def feature_rows(spark, sf):
     tl = timeline(spark, sf)
     rows = W.feature_rows(tl.gaps, tl.busy, PATH, splits=tl.splits)
-    out = whole_ns(rows.select("path", "gap_idx", *K.GAP_FEATURES, *K.BURST_FEATURES))
-    return out.join(rows.select("path", "gap_idx", "f_direction_code"), ["path", "gap_idx"])
+    return whole_ns(rows.select("path", "gap_idx", *K.GAP_FEATURES, *K.BURST_FEATURES, "f_direction_code"))
 
 
 @query("feature_rows_many_paths", with_(f"{TU}, {merged()}, {gapped()}, {GAP_FEATURES_SQL}", f"""SELECT path, gap_idx,
@@ -320,5 +319,6 @@ SELECT path, t_publish, g_lower_bound // 1000 AS g_lower_us, history, horizon_ns
 >= 0.98 THEN 3 WHEN p >= 0.95 THEN 2 WHEN p >= 0.9 THEN 1 ELSE 0 END AS allowed_probe_type, CASE WHEN p >= 0.9 THEN 0 ELSE 1
 END AS reason_code FROM r JOIN s USING (path)"""))
 def safe_windows(spark, sf):
-    out = B.safe_windows(timeline(spark, sf).gaps, A.HORIZONS, PATH)
+    tl = timeline(spark, sf)
+    out = B.safe_windows(tl.gaps, A.HORIZONS, PATH, splits=tl.splits)
     return out.withColumn("g_lower_us", F.floor(F.col("g_lower_bound") / 1000)).drop("g_lower_bound")

@@ -81,13 +81,15 @@ def _combine(how: str, local: Column, carry: Column) -> Column:
 
 
 def running(df: DataFrame, key: Sequence[str], order: Sequence[str], out: dict[str, tuple[str, Column]],
-            inclusive: bool = True, reverse: bool = False, splits: Splits | None = None) -> DataFrame:
+            inclusive: bool = True, reverse: bool = False, splits: Splits | None = None,
+            totals: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Add running aggregates ``out[name] = (sum|max|min|last, column)`` per key along ``order``.
 
     ``inclusive=False`` stops before the current row.  ``reverse=True`` runs from the end, so ``last``
-    means the nearest following value.  ``last`` skips nulls.
+    means the nearest following value.  ``last`` skips nulls.  ``totals`` are aggregates of the whole key,
+    which cost no join of their own.
     """
-    key = list(key)
+    key, totals = list(key), totals or {}
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     edge = Window.currentRow if inclusive else -1
 
@@ -96,19 +98,21 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], out: dict[s
 
     if splits is None:
         local = {n: _LOCAL[how](c).over(frame(key)) for n, (how, c) in out.items()}
-        return df.withColumns({n: F.coalesce(c, F.lit(0)) if out[n][0] == "sum" else c
-                               for n, c in local.items()})
+        whole = {n: _LOCAL[how](c).over(Window.partitionBy(*key)) for n, (how, c) in totals.items()}
+        return df.withColumns({**{n: F.coalesce(c, F.lit(0)) if out[n][0] == "sum" else c
+                                  for n, c in local.items()}, **whole})
 
     base = cut(with_segment(df, order[0], splits))
     position = F.struct(*order)
     pick = F.min_by if reverse else F.max_by
-    totals = base.groupBy(*key, SEG).agg(*[
+    per_segment = base.groupBy(*key, SEG).agg(*[
         (pick(c, F.when(c.isNotNull(), position)) if how == "last" else _LOCAL[how](c)).alias(n)
-        for n, (how, c) in out.items()])
+        for n, (how, c) in {**out, **totals}.items()])
     before = (Window.partitionBy(*key).orderBy(F.col(SEG).desc() if reverse else F.col(SEG).asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*key, SEG, *[_LOCAL[how](F.col(n)).over(before).alias(f"_carry_{n}")
-                                       for n, (how, _) in out.items()])
+    carry = per_segment.select(
+        *key, SEG, *[_LOCAL[how](F.col(n)).over(before).alias(f"_carry_{n}") for n, (how, _) in out.items()],
+        *[_LOCAL[how](F.col(n)).over(Window.partitionBy(*key)).alias(n) for n, (how, _) in totals.items()])
     local = base.withColumns({n: _LOCAL[how](c).over(frame([*key, SEG])) for n, (how, c) in out.items()})
     joined = local.join(carry, [*key, SEG], "left")
     return (joined.withColumns({n: _combine(how, F.col(n), F.col(f"_carry_{n}"))
@@ -117,12 +121,30 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], out: dict[s
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str,
-             splits: Splits | None = None) -> DataFrame:
-    """0-based row number per key along ``order``."""
-    counted = running(df, key, order, {name: ("sum", F.lit(1).cast("long"))}, splits=splits)
+             splits: Splits | None = None, total: str | None = None) -> DataFrame:
+    """0-based row number per key along ``order``, and the rows of the key as ``total`` if named."""
+    one = ("sum", F.lit(1).cast("long"))
+    counted = running(df, key, order, {name: one}, splits=splits, totals={total: one} if total else None)
     return counted.withColumn(name, F.col(name) - 1)
 
 
+SALTS = 64
+
+
+def attach(df: DataFrame, per_key: DataFrame, key: Sequence[str], splits: Splits | None,
+           spread_by: str = "start_ns", how: str = "left") -> DataFrame:
+    """Join one row per key to all rows of the key.
+
+    With splits a key may own most rows, so both sides are salted: each row picks one of a fixed number of
+    copies of its key's row, and the rows of a heavy key meet them in that many tasks.
+    """
+    if splits is None:
+        return df.join(per_key, list(key), how)
+    salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*key, "_salt"], how).drop("_salt")
+
+
 def trailing(df: DataFrame, key: Sequence[str], index: str, lookback: int,
              columns: Callable[[Window], dict[str, Column]], splits: Splits | None = None,
              chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -175,13 +197,8 @@ def order_statistics(df: DataFrame, key: Sequence[str], value: str, picks: dict[
     hist = (df.filter(F.col(value).isNotNull()).groupBy(*key, value)
             .agg(F.count(F.lit(1)).alias("_c")))
     splits = resolve(splits, hist, value, key)
-    cum = running(hist, key, [value], {"_before": ("sum", F.col("_c"))}, inclusive=False, splits=splits)
-    if splits is None:
-        cum = cum.withColumn("n", F.sum("_c").over(Window.partitionBy(*key)))
-    elif key:
-        cum = cum.join(hist.groupBy(*key).agg(F.sum("_c").alias("n")), key)
-    else:
-        cum = cum.withColumn("n", hist.agg(F.sum("_c")).scalar())
+    cum = running(hist, key, [value], {"_before": ("sum", F.col("_c"))}, inclusive=False, splits=splits,
+                  totals={"n": ("sum", F.col("_c"))})
     ends = {name: ranks(F.col("n")) for name, ranks in picks.items()}
 
     def at(rank: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from idlespan import constants as K
 from idlespan.operators import intervals as I
 from idlespan.operators import windows as W
-from idlespan.operators.aggregates import quantile_profile, sample_summary
+from idlespan.operators.aggregates import gap_cdf, quantile_profile, sample_summary
+from idlespan.operators.calibration import recent_gaps
 from idlespan.operators.labels import (horizon_label_columns, horizon_labels, last_gap_training_set, lower_bound_flat,
                                        training_set)
+from idlespan.operators.ranking import first_fraction, min_rows_per_key
 from idlespan.scale import Splits, linear, nearest, order_statistics
 
 GAPS = "path string, gap_idx long, start_ns long, end_ns long, duration_ns long"
@@ -176,6 +178,18 @@ def test_consecutive_alarm(frame):
     assert W.consecutive_alarm(readings, 4, 2.0).first().detected_at is None
 
 
+@pytest.mark.parametrize("splits", [None, FORCED])
+def test_per_key_joins_and_slices(frame, lengths, splits):
+    """Salted attachment and global numbering give what the plain plan gives."""
+    gaps = gaps_of(frame, lengths).unionByName(gaps_of(frame, [500] * 7, "b"))
+    assert rows_of(min_rows_per_key(gaps, 10, ["path"], splits=splits).select("path").distinct(), "path") == [("a",)]
+    recent = recent_gaps(gaps, 3, ["path"], splits)
+    assert rows_of(recent, "path", "gap_idx") == [("a", i) for i in (327, 328, 329)] + [("b", i) for i in (4, 5, 6)]
+    assert first_fraction(gaps, 0.5, ["start_ns", "path"], splits).count() == 337 // 2
+    cdf = gap_cdf(gaps, ["path"], splits).filter("path = 'b'").first()
+    assert cdf.cdf == 1.0
+
+
 def test_history_snapshot(frame):
     busy, gaps = timeline(frame, 12)
     rows = {r.gap_idx: r for r in W.history_snapshot(gaps, busy, ["path"], 3, 4).collect()}
