@@ -70,7 +70,8 @@ def merge_overlaps(spark, sf):
   event_count FROM busy"""))
 def merge_sessions(spark, sf):
     t = A.transfers(spark, sf).withColumn("us", F.expr("(end_ns - start_ns) div 1000"))
-    return I.merge_sessions(t, PATH, "ts", "us", A.TOLERANCE // 1000).drop("session")
+    return I.merge_sessions(t, PATH, "ts", "us", A.TOLERANCE // 1000) \
+        .select("path", "start_us", "end_us", "bytes_total", "event_count")
 
 
 @query("extract_gaps", with_(TBG, f"SELECT {GAP_COLUMNS} FROM gaps"))

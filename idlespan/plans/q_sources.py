@@ -102,7 +102,7 @@ def read_busy_text_csv(spark, sf):
     return tables.read_busy_csv(spark, path).select("window_start_ns", "source", "destination", "bytes_mb", "wall_start_ns")
 
 
-def probe_lines(spark, sf):
+def probe_lines(spark, sf, *keep):
     """Log lines whose numbers come from the events; every third line has no time, every ninth is noise."""
     t = A.transfers(spark, sf)
     seconds = (F.col("end_ns") - F.col("start_ns")) / 1e9
@@ -110,7 +110,7 @@ def probe_lines(spark, sf):
                     F.col("user_id").cast("string"), F.lit(": "), fixed_text(seconds), F.lit("µs ("),
                     fixed_text(F.col("k") / 4.0), F.lit("GB/s)"))
     stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("] "))
-    return t.select(F.when(F.col("k") % 9 == 5, F.concat(F.lit("note: "), F.col("k").cast("string")))
+    return t.select(*keep, F.when(F.col("k") % 9 == 5, F.concat(F.lit("note: "), F.col("k").cast("string")))
                     .when(F.col("k") % 3 == 1, line).otherwise(F.concat(stamp, line)).alias("value"))
 
 

@@ -312,14 +312,14 @@ def degradation_report(spark, sf):
     return rounded(G.degradation_report(flagged, *FAULT))
 
 
-@query("degradation_without_time", with_(TR, """, o AS (SELECT *, row_number() OVER (ORDER BY path_id, latency_us,
-bandwidth_gbps) - 1 AS r FROM readings WHERE type = 'BW')
+@query("degradation_without_time", with_(TR, """, o AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS r FROM readings WHERE
+type = 'BW')
 SELECT count(*) AS total, count(*) FILTER (bandwidth_gbps < b * CAST(0.7 AS DOUBLE)) AS degraded, round(any_value(b), 6)
 AS baseline FROM o, (SELECT quantile_cont(bandwidth_gbps, 0.5) AS b FROM o WHERE r < (SELECT count(*) // 3 FROM o))"""))
 def degradation_without_time(spark, sf):
     """No time known: the first third of the readings is the baseline."""
-    bw = _readings(spark, sf).filter(F.col("type") == "BW")
-    base = G.baseline_median(bw, None, order=("path_id", "latency_us", "bandwidth_gbps"))
+    bw = parse_probe_lines(probe_lines(spark, sf, "event_id")).filter(F.col("type") == "BW")
+    base = G.baseline_median(bw, None, order=("event_id",))
     flagged = G.flag_degraded(bw, base).withColumn("base", F.lit(base))
     return rounded(flagged.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_degraded").alias("degraded"),
                                F.max("base").alias("baseline")))

@@ -60,9 +60,10 @@ def resolve(splits, df: DataFrame, order: str, key: Sequence[str]) -> Splits | N
 
 
 def with_segment(df: DataFrame, order: str, splits: Splits) -> DataFrame:
+    """Segment of every row by its (numeric) order value; nulls sort first, as in a window."""
     cuts = [-math.inf, *splits.points, math.inf]
-    bucketed = (Bucketizer(splits=cuts, inputCol="_order", outputCol=SEG)
-                .transform(df.withColumn("_order", F.col(order).cast("double"))))
+    place = F.coalesce(F.col(order).cast("double"), F.lit(-math.inf))
+    bucketed = Bucketizer(splits=cuts, inputCol="_order", outputCol=SEG).transform(df.withColumn("_order", place))
     return bucketed.withColumn(SEG, F.col(SEG).cast("int")).drop("_order")
 
 

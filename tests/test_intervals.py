@@ -129,6 +129,16 @@ def test_overlap_amount_equals_brute_force(frame, scope):
             assert got[i] == want
 
 
+@pytest.mark.parametrize("splits", [None, Splits((5_000.0, 20_500.0))])
+def test_sessions_equal_merging(frame, splits):
+    df = frame(skewed(8), EVENTS).withColumns({"ts": F.timestamp_micros("start_ns"),
+                                               "us": F.col("end_ns") - F.col("start_ns")})
+    sessions = I.merge_sessions(df, ["path"], "ts", "us", 25, splits=splits)
+    merged = I.merge_intervals(df, ["path"], tolerance=25)
+    assert rows_of(sessions, "path", "start_us", "end_us", "event_count") == \
+        rows_of(merged, "path", "start_ns", "end_ns", "event_count")
+
+
 def test_idle_age(frame):
     busy = frame([("a", 1000, 3000), ("a", 7000, 8000)], SPANS)
     points = frame([("a", t) for t in (500, 2000, 3000, 5000, 9000)], "path string, now_ns long")
