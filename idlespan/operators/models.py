@@ -53,7 +53,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
 
 
-ROWS_PER_FIT_TASK = 50_000
+ROWS_PER_FIT_TASK = 12_500
 
 
 def _survey(data: DataFrame, features: Sequence[str], horizons: Sequence[int]):
