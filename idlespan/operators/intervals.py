@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +116,11 @@ def timeline_counts(busy: DataFrame, gaps: DataFrame, key: Sequence[str] = KEY)
 
 # --- probes against busy intervals -----------------------------------------
 
+def _moments(times: Sequence[tuple[str, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.col(t).cast("long").alias("t"), F.lit(sign).alias("sign"))
+                               for t, sign in times]))
+
+
 def _points(probes: DataFrame, busy: DataFrame, key: list[str], at: Sequence[tuple[str, int]],
             edges: Sequence[tuple[str, int]]) -> DataFrame:
     """One frame of busy edges and probe positions; a probe sorts after the edges of its time.
@@ -124,20 +129,34 @@ def _points(probes: DataFrame, busy: DataFrame, key: list[str], at: Sequence[tup
     """
     probe = F.struct(*[F.col(c) for c in probes.columns])
     payload = probes.select(probe.alias("p")).schema["p"].dataType
-
-    def moments(times: Sequence[tuple[str, int]]) -> Column:
-        pairs = [F.struct(F.col(t).cast("long").alias("t"), F.lit(sign).alias("sign")) for t, sign in times]
-        return F.explode(F.array(*pairs))
     marks = busy.select(*key, F.lit(0).alias("rank"), F.col("start_ns").alias("b0"), F.col("end_ns").alias("b1"),
-                        F.lit(None).cast(payload).alias("probe"), moments(edges).alias("m"))
+                        F.lit(None).cast(payload).alias("probe"), _moments(edges).alias("m"))
     asks = probes.select(*key, F.lit(1).alias("rank"), F.lit(None).cast("long").alias("b0"),
-                         F.lit(None).cast("long").alias("b1"), probe.alias("probe"), moments(at).alias("m"))
+                         F.lit(None).cast("long").alias("b1"), probe.alias("probe"), _moments(at).alias("m"))
     both = marks.unionByName(asks)
     return both.select(*key, "m.t", "rank", "b0", "b1", "probe",
                        F.when(F.col("rank") == 0, F.col("m.sign")).otherwise(0).alias("step"),
                        F.when(F.col("rank") == 1, F.col("m.sign")).alias("side"))
 
 
+def look_up(probes: DataFrame, busy: DataFrame, key: list[str], at: Sequence[tuple[str, int]],
+            edges: Sequence[tuple[str, int]], splits, compute: Callable[[DataFrame], DataFrame],
+            values: Sequence[str]) -> DataFrame:
+    """Rows (probe, side, t, values): what the running aggregates of ``compute`` know at each probe position.
+
+    While paths are small the probes travel through the ordered frame.  With splits only distinct positions
+    do, and the probes are joined to them afterwards, so copies of one position are never ordered.
+    """
+    if splits is None:
+        answered = compute(_points(probes, busy, key, at, edges)).filter(F.col("probe").isNotNull())
+        return answered.select(*key, "t", "side", "probe", *values)
+    asks = probes.select(*key, F.struct(*probes.columns).alias("probe"), _moments(at).alias("m")) \
+        .select(*key, "m.t", F.col("m.sign").alias("side"), "probe")
+    spots = asks.select(*key, "t").distinct()
+    known = compute(_points(spots, busy, key, [("t", 0)], edges)).filter(F.col("probe").isNotNull())
+    return asks.join(known.select(*key, "t", *values), [*key, "t"], "left")
+
+
 def first_overlap(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame:
     """Whether a probe hits a busy interval of its path, and the idle time before the first one it hits.
 
@@ -146,16 +165,18 @@ def first_overlap(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY,
     """
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(probes, busy, key, [("start_ns", 0)], [("start_ns", 0)])
-    frame = running(frame, key, ["t", "rank"], {"_prev_end": ("max", F.col("b1"))}, splits=splits)
-    frame = running(frame, key, ["t", "rank"], {"_next": ("last", F.col("b0"))}, reverse=True, splits=splits)
+
+    def neighbours(frame: DataFrame) -> DataFrame:
+        frame = running(frame, key, ["t", "rank"], {"_prev_end": ("max", F.col("b1"))}, splits=splits)
+        return running(frame, key, ["t", "rank"], {"_next": ("last", F.col("b0"))}, reverse=True, splits=splits)
+    found = look_up(probes, busy, key, [("start_ns", 0)], [("start_ns", 0)], splits, neighbours, ["_prev_end", "_next"])
     inside = F.col("_prev_end") > F.col("t")
     reached = F.col("_next") < F.col("probe.end_ns")
-    return (frame.filter(F.col("probe").isNotNull()).select(
+    return found.select(
         "probe.*",
         (F.coalesce(inside, F.lit(False)) | F.coalesce(reached, F.lit(False))).alias("overlap"),
         F.when(inside, F.lit(0).cast("long")).when(reached, F.col("_next") - F.col("t"))
-        .otherwise(F.lit(0).cast("long")).alias("idle_before_ns")))
+        .otherwise(F.lit(0).cast("long")).alias("idle_before_ns"))
 
 
 def overlap_amount(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, probe_id: str = "probe_id",
@@ -168,17 +189,18 @@ def overlap_amount(probes: DataFrame, busy: DataFrame, key: Sequence[str] = KEY,
     """
     key = [] if scope == "all" else list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(probes, busy, key, [("start_ns", -1), ("end_ns", 1)],
-                    [("start_ns", 1), ("end_ns", -1)])
     exact = F.col("t").cast("decimal(20,0)")
-    frame = running(frame, key, ["t", "rank"], {
-        "_open": ("sum", F.col("step").cast("long")),
-        "_offset": ("sum", F.when(F.col("step") == 1, -exact).when(F.col("step") == -1, exact)
-                    .otherwise(F.lit(0).cast("decimal(20,0)")))}, splits=splits)
-    busy_before = F.col("_open") * exact + F.col("_offset")
-    asked = frame.filter(F.col("probe").isNotNull()).select(
-        "probe", F.col(f"probe.{probe_id}").alias("_id"), (F.col("side") * busy_before).alias("_part"))
-    return (asked.groupBy("_id").agg(F.first("probe").alias("probe"), F.sum("_part").alias("_sum"))
+
+    def busy_before(frame: DataFrame) -> DataFrame:
+        frame = running(frame, key, ["t", "rank"], {
+            "_open": ("sum", F.col("step").cast("long")),
+            "_offset": ("sum", F.when(F.col("step") == 1, -exact).when(F.col("step") == -1, exact)
+                        .otherwise(F.lit(0).cast("decimal(20,0)")))}, splits=splits)
+        return frame.withColumn("_before", F.col("_open") * exact + F.col("_offset"))
+    asked = look_up(probes, busy, key, [("start_ns", -1), ("end_ns", 1)], [("start_ns", 1), ("end_ns", -1)], splits,
+                    busy_before, ["_before"])
+    return (asked.groupBy(F.col(f"probe.{probe_id}").alias("_id"))
+            .agg(F.first("probe").alias("probe"), F.sum(F.col("side") * F.col("_before")).alias("_sum"))
             .select("probe.*", F.col("_sum").cast("long").alias(out)))
 
 
@@ -228,8 +250,8 @@ def idle_age(points: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, at: s
     """Time since the last busy interval ended, at arbitrary moments; 0 inside an interval or before any."""
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    frame = _points(points, busy, key, [(at, 0)], [("start_ns", 0)])
-    frame = running(frame, key, ["t", "rank"], {"_end": ("max", F.col("b1"))}, splits=splits)
+    known = look_up(points, busy, key, [(at, 0)], [("start_ns", 0)], splits, lambda frame: running(
+        frame, key, ["t", "rank"], {"_end": ("max", F.col("b1"))}, splits=splits), ["_end"])
     age = F.greatest(F.lit(0).cast("long"), F.col("t") - F.col("_end"))
-    return (frame.filter(F.col("probe").isNotNull())
-            .select("probe.*", F.coalesce(age, F.lit(0).cast("long")).alias("idle_age_ns")))
+    return known.select("probe.*", F.when(F.col("_end").isNotNull(), age).otherwise(F.lit(0).cast("long"))
+                        .alias("idle_age_ns"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import AUTO, resolve, running
-from .intervals import _points
+from .intervals import look_up
 
 
 def trigger_windows(busy: DataFrame, low_mbps: float = 800, high_mbps: float = 26_000,
@@ -33,12 +33,12 @@ def match_probe_window(probes: DataFrame, busy: DataFrame, key: Sequence[str], b
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
     known = busy.select(*key, "start_ns", "end_ns", "bandwidth_gbps")
-    frame = _points(probes, known, key, [("start_ns", 0)], [("start_ns", 0)])
     opened = known.select(*key, F.col("start_ns").alias("b0"), F.col("bandwidth_gbps").alias("window_gbps"))
-    frame = running(frame, key, ["t", "rank"], {"_w": ("last", F.when(
-        F.col("rank") == 0, F.struct("b0", "b1")))}, splits=splits)
-    hit = (frame.filter(F.col("probe").isNotNull()).filter(F.col("_w.b1") > F.col("t"))
-           .select(*key, "probe", F.col("_w.b0").alias("b0"), F.col("_w.b1").alias("window_end_ns")))
+    found = look_up(probes, known, key, [("start_ns", 0)], [("start_ns", 0)], splits, lambda frame: running(
+        frame, key, ["t", "rank"], {"_w": ("last", F.when(F.col("rank") == 0, F.struct("b0", "b1")))},
+        splits=splits), ["_w"])
+    hit = found.filter(F.col("_w.b1") > F.col("t")).select(
+        *key, "probe", F.col("_w.b0").alias("b0"), F.col("_w.b1").alias("window_end_ns"))
     joined = hit.join(opened, [*key, "b0"])
     merged = F.col("window_gbps") + F.col("probe.probe_gbps")
     return joined.select("probe.*", F.col("b0").alias("window_start_ns"), "window_end_ns", "window_gbps",

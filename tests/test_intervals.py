@@ -62,13 +62,14 @@ def test_single_interval_has_no_gap(frame):
     assert rows_of(I.timeline_counts(busy, gaps, ["path"]), "num_busy", "num_gaps") == [(1, 0)]
 
 
+@pytest.mark.parametrize("splits", [None, Splits((2500.0, 5000.0))])
 @pytest.mark.parametrize("probe, expected", [
     ((2000, 2500), (True, 0)), ((5500, 6000), (False, 0)), ((500, 1500), (True, 500)), ((3000, 4000), (False, 0)),
     ((2900, 6500), (True, 0)), ((3100, 8500), (True, 3900)), ((100, 900), (False, 0))])
-def test_first_overlap(frame, probe, expected):
+def test_first_overlap(frame, probe, expected, splits):
     busy = frame([("a", 1000, 3000), ("a", 7000, 8000), ("b", 3000, 6000)], SPANS)
     probes = frame([("a", *probe)], SPANS)
-    assert rows_of(I.first_overlap(probes, busy, ["path"]), "overlap", "idle_before_ns") == [expected]
+    assert rows_of(I.first_overlap(probes, busy, ["path"], splits), "overlap", "idle_before_ns") == [expected]
 
 
 def brute_merge(spans, tolerance):
@@ -139,11 +140,12 @@ def test_sessions_equal_merging(frame, splits):
         rows_of(merged, "path", "start_ns", "end_ns", "event_count")
 
 
-def test_idle_age(frame):
+@pytest.mark.parametrize("splits", [None, Splits((2500.0, 5000.0))])
+def test_idle_age(frame, splits):
     busy = frame([("a", 1000, 3000), ("a", 7000, 8000)], SPANS)
-    points = frame([("a", t) for t in (500, 2000, 3000, 5000, 9000)], "path string, now_ns long")
-    assert rows_of(I.idle_age(points, busy, ["path"]), "now_ns", "idle_age_ns") == [
-        (500, 0), (2000, 0), (3000, 0), (5000, 2000), (9000, 1000)]
+    points = frame([("a", t) for t in (500, 2000, 3000, 5000, 5000, 9000)], "path string, now_ns long")
+    assert rows_of(I.idle_age(points, busy, ["path"], splits=splits), "now_ns", "idle_age_ns") == [
+        (500, 0), (2000, 0), (3000, 0), (5000, 2000), (5000, 2000), (9000, 1000)]
 
 
 def test_grid_and_densest_window(frame):
