@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import flag_degraded
+from ..operators.models import fit_survival, score
 from ..sources.trace import write_trace_csv
 from ..streaming import live as S
 from . import adapter as A
@@ -78,6 +79,20 @@ def decision_stream(spark, sf, policy="oracle"):
     return S.stream_decisions(gaps, policy, 200_000 * A.SCALE, durations=D)
 
 
+STREAM_FEATURES = ["ewma", "trailing_p10", "g_lower_bound", "history"]
+
+
+@query("stream_model_decisions")
+def stream_model_decisions(spark, sf):
+    """A model of the streamed trailing columns, fitted on the table so far, scores the stream itself."""
+    table = gap_table(spark, sf)
+    fitted = fit_survival(table.rows, [A.HORIZONS[5]], STREAM_FEATURES, {"maxIter": 5, "maxDepth": 3})
+    scored = score(table.follow(), fitted, [A.HORIZONS[5]])
+    decided = S.stream_decisions(scored, "predictive", durations=D, eta_bandwidth=0.8, eta_normal=0.7)
+    out = S.run_to_table(decided, new_folder(spark, "model-decisions"))
+    return out.rows.groupBy("probe_type").agg(F.count(F.lit(1)).alias("probes"), F.count_if("fits").alias("fits"))
+
+
 DECIDED = f"""{CLOSED_GAPS}, dec AS (SELECT path, gap_idx, start_ns, end_ns, CASE WHEN duration_ns >= 5100000000000 THEN 3 WHEN
   duration_ns >= 500000000000 THEN 2 ELSE 1 END AS probe_type FROM gaps WHERE duration_ns >= 50000000000)"""
 

@@ -123,8 +123,12 @@ def stream_trailing(gaps: DataFrame) -> DataFrame:
 
 
 def stream_decisions(gaps: DataFrame, policy: str = "ewma", margin: int = 200_000, low: int = 500_000,
-                     high: int = 5_000_000, min_history: int = 10, durations: dict[int, int] | None = None) -> DataFrame:
-    """Class per new gap, dropped when it does not fit; every policy here is a column of the gap row."""
+                     high: int = 5_000_000, min_history: int = 10, durations: dict[int, int] | None = None,
+                     eta_bandwidth: float = 0.95, eta_normal: float = 0.90) -> DataFrame:
+    """Class per new gap and whether it fits; every policy here is a column of the gap row.
+
+    ``predictive`` reads a ``p`` column, which ``models.score`` adds to a stream as to a batch.
+    """
     d = durations or K.PROBE_DURATIONS_NS
     x = F.col("duration_ns")
     if policy == "ewma":
@@ -134,6 +138,9 @@ def stream_decisions(gaps: DataFrame, policy: str = "ewma", margin: int = 200_00
         kind = F.when(x >= high, K.PROBE_BANDWIDTH).when(x >= low, K.PROBE_NORMAL).otherwise(K.PROBE_NONE)
     elif policy == "oracle":
         kind = largest_fit(x, d)
+    elif policy == "predictive":
+        kind = (F.when(F.col("p") >= eta_bandwidth, K.PROBE_BANDWIDTH)
+                .when(F.col("p") >= eta_normal, K.PROBE_NORMAL).otherwise(K.PROBE_TINY))
     else:
         raise ValueError(f"unknown policy {policy!r}")
     need = F.when(F.col("probe_type") == K.PROBE_BANDWIDTH, d[K.PROBE_BANDWIDTH]) \

@@ -13,6 +13,7 @@ from idlespan.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session("idlespan-tests", "8", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")       # tiny inputs: compiling costs more than running
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return session
 
