@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jump_shards
+from . import exact_dedup, jump_shards, simhash
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of eight shards by its id, and where it goes when a ninth is appended."""
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), 8)
+
+
+@query("op9_simhash_bit_sliced")
+def op9_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document over 3-word shingles, and the components of links at two bits or fewer."""
+    return simhash.near_components(table(spark, sf_dir, "documents"))
