@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jump_shards, simhash
+from . import elias_fano, exact_dedup, jump_shards, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,16 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document over 3-word shingles, and the components of links at two bits or fewer."""
     return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_elias_fano_ids")
+def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written in ascending order and read back."""
+    parts = elias_fano.write_parts(table(spark, sf_dir, "documents"), elias_fano.tokenizer_path("byte_bpe_50k.json"), 2, True)
+    return elias_fano.read_documents(parts)
+
+
+@query("op8_vector_best_fit")
+def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2048 tokens."""
+    return vector_fit.pack_documents(table(spark, sf_dir, "documents"), elias_fano.tokenizer_path("word_bpe_49k.json"), False)
