@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano, exact_dedup, jump_shards, simhash, vector_fit
+from . import elias_fano, exact_dedup, jump_shards, kneser_ney, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 tokens."""
     return vector_fit.pack_documents(table(spark, sf_dir, "documents"), elias_fano.tokenizer_path("word_bpe_49k.json"), False)
+
+
+@query("op4_kneser_ney_quality")
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and whether its language's threshold keeps it."""
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
