@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano, exact_dedup, jump_shards, kneser_ney, simhash, vector_fit
+from . import elias_fano, exact_dedup, jump_shards, kneser_ney, maxscore, raking, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,58 @@ def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and whether its language's threshold keeps it."""
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _raking_sql() -> str:
+    """Raking and the search for the factor, unrolled."""
+    margins = list(raking.MARGINS)
+    steps = [f"""
+        d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+                CASE WHEN {LOWERED} LIKE '%license%' OR {LOWERED} LIKE '%copyright%' THEN 'legal'
+                     WHEN {LOWERED} LIKE '%@%' OR {LOWERED} LIKE '%http%' THEN 'contact'
+                     WHEN {LOWERED} LIKE '% | %' THEN 'table'
+                     WHEN strlen(coalesce(text, '')) >= 8192 THEN 'long' ELSE 'prose' END AS topic,
+                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+        c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+        t AS (SELECT sum(tokens) AS total FROM c)"""]
+    for m, power in raking.MARGINS.items():
+        steps.append(f"""g_{m} AS (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share
+                         FROM c GROUP BY {m})""")
+    steps.append("w0 AS (SELECT c.*, tokens AS weight FROM c)")
+    k = 0
+    for _ in range(raking.PASSES):
+        for m in margins:
+            steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (weight), weight * coalesce(share * total
+                             / nullif(sum(weight) OVER (PARTITION BY w.{m}), 0), 0) AS weight FROM w{k} w JOIN g_{m} USING ({m}), t)""")
+            k += 1
+    steps.append("f0 AS (SELECT 0.0::DOUBLE AS factor)")
+    for i in range(12):
+        steps.append(f"""f{i + 1} AS MATERIALIZED (SELECT greatest(factor, coalesce(({raking.KEEP} * total - full_) / nullif(rest, 0), 0)) AS factor FROM f{i}, t,
+            (SELECT coalesce(sum(tokens) FILTER (factor * weight / nullif(tokens, 0) >= 1), 0) AS full_,
+                    coalesce(sum(weight) FILTER (NOT coalesce(factor * weight / nullif(tokens, 0) >= 1, false)), 0) AS rest FROM w{k}, f{i}))""")
+    steps.append(f"""p AS (SELECT w.*, coalesce(least(1.0, factor * weight / nullif(tokens, 0)), 1.0) AS probability,
+                         coalesce(weight / nullif(tokens, 0), 0.0) AS per_token FROM w{k} w, f12)""")
+    return "WITH " + ",\n".join(steps) + f"""
+        SELECT doc_id, source, lang, topic, d.tokens, round(per_token, 6) AS weight, round(probability, 6) AS probability,
+               d.tokens = 0 OR ('0x' || substr(md5(doc_id || ':{raking.SEED}'), 1, 13))::BIGINT / 4503599627370496.0 < probability AS selected
+        FROM d JOIN p USING (source, lang, topic)"""
+
+
+@query("op1_ipf_mixing", _raking_sql())
+def op1_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion probabilities raked to flattened source, language and topic shares, and the documents drawn by them."""
+    return raking.mixed(table(spark, sf_dir, "documents")).withColumns(
+        {c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+@query("op5_maxscore_top_k", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op5_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
