@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import saved
-from .tokens import Encoder, batches_of
+from .tokens import batches_of, shared_encoder
 
 SAMPLE = 64
 PART_IDS = 1 << 22
@@ -132,7 +132,7 @@ def write_parts(docs: DataFrame, tokenizer: str, width: int, keeps_space: bool,
                                                pa.array([Part.pack(names, held, width)], pa.binary())],
                                               names=["section", "part", "n_ids", "payload"])
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, keeps_space)
+            encoder = encoder or shared_encoder(tokenizer, keeps_space)
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for start, stop in batches_of(texts):
                 for name, found in zip(ids[start:stop], encoder.encode(texts[start:stop])):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,7 +15,7 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 WITH_SPACE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 #: For tokenizers that drop white space.
 WITHOUT_SPACE = re.compile(f"[^{WHITE_SPACE}]+")
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 600_000
 LONGEST_REMEMBERED = 40
 
 
@@ -52,6 +53,12 @@ class Encoder:
         return [np.frombuffer(b"".join([*map(look.__getitem__, words), end]), "<u4") for words in cut]
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, keeps_space: bool) -> Encoder:
+    """The encoder of this worker: its tasks share one tokenizer and one memory of words."""
+    return Encoder(path, keeps_space)
+
+
 class _Either(dict):
     """Words of this batch first, remembered words otherwise."""
 
@@ -63,7 +70,7 @@ class _Either(dict):
         return self.known[word]
 
 
-def batches_of(texts: list[str | None], chars: int = 1 << 22):
+def batches_of(texts: list[str | None], chars: int = 3 << 20):
     """Ranges of ``texts`` with about ``chars`` characters each."""
     start = held = 0
     for i, t in enumerate(texts):

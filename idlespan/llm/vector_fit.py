@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import parts_for, saved
-from .tokens import Encoder, batches_of
+from .tokens import batches_of, shared_encoder
 
 TOKENS = 2048
 DOCUMENTS = 1024
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, tokens: int = TOK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, keeps_space)
+            encoder = encoder or shared_encoder(tokenizer, keeps_space)
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for lo, hi in batches_of(texts):
                 rows = [(name, at // tokens, at, len(cut := ids[at:at + tokens]), zlib.crc32(cut.tobytes()))
