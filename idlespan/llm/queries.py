@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano, exact_dedup, jump_shards, kneser_ney, maxscore, raking, simhash, vector_fit
+from . import elias_fano, exact_dedup, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op1_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_license_rules")
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections of every document."""
+    return license_rules.summarise(table(spark, sf_dir, "documents"))
