@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano, exact_dedup, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
+from . import bucket_refine, elias_fano, exact_dedup, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,11 @@ def op5_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections of every document."""
     return license_rules.summarise(table(spark, sf_dir, "documents"))
+
+
+@query("op2_bucket_refinement")
+def op2_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings of documents before it."""
+    found = bucket_refine.repeated_spans(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
