@@ -95,6 +95,11 @@ def _ask(key: tuple, docs: pa.Table, trusted: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else GRAMS.empty_table()
 
 
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they are.  No filter or projection is pushed through, so every use below reads one and the same exchange."""
+    yield from batches
+
+
 def _score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Bits of every document of a chunk."""
     told: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -170,7 +175,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).repartition(chunks, "chunk")
     good = trusted.select(chunk(F.col("id").cast("long")), F.col("id").cast("long").alias("id")).repartition(chunks, "chunk")
     asked = (rows.groupBy("chunk").cogroup(good.groupBy("chunk"))
-             .applyInArrow(_ask, "chunk int, lang string, key long, seen long").repartition("lang", "key"))
+             .applyInArrow(_ask, "chunk int, lang string, key long, seen long").repartition("lang", "key")
+             .mapInArrow(_same, "chunk int, lang string, key long, seen long"))
     three = asked.groupBy("lang", "key").agg(F.sum("seen").alias("a"))
     two = _lower(three, 32)
     one = _lower(two, 16)
