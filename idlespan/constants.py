@@ -22,8 +22,7 @@ FLAG_SYNTHETIC = 128
 
 PROBE_NONE, PROBE_TINY, PROBE_NORMAL, PROBE_BANDWIDTH, PROBE_CONFIRMATION = 0, 1, 2, 3, 4
 
-REASON_SAFE, REASON_LOW_CONFIDENCE, REASON_GAP_TOO_SHORT, REASON_NO_DATA = 0, 1, 2, 3
-REASON_DRIFT, REASON_LOW_QUALITY, REASON_COOLDOWN = 4, 5, 6
+REASON_SAFE, REASON_LOW_CONFIDENCE = 0, 1
 
 # --- fixed values: probe classes (ns) and cross-node factors ---------------
 PROBE_DURATIONS_NS = {PROBE_TINY: 50_000, PROBE_NORMAL: 500_000,
@@ -55,5 +54,3 @@ FEATURE_GROUPS = {
     "time": ["f_hour_of_day", "f_workload_runtime"],
 }
 FEATURE_NAMES = [name for names in FEATURE_GROUPS.values() for name in names]
-
-POLICY_NAMES = ("none", "fixed_interval", "random", "threshold", "ewma", "predictive", "oracle")

@@ -66,24 +66,25 @@ def merge_overlaps(df: DataFrame, key: Sequence[str] = ("source", "destination")
 
 def merge_sessions(df: DataFrame, key: Sequence[str], ts: str, duration_us: str, tolerance_us: int,
                    size: str = "size", splits=AUTO) -> DataFrame:
-    """Merging at microsecond resolution with the built-in session window; works on batches and streams.
+    """Merging at microsecond resolution: ``key``, ``start_us``, ``end_us``, ``bytes_total``, ``event_count``, on batches and streams.
 
-    An event keeps the session open for its own length plus the tolerance.  Sessions join when they touch
-    at a microsecond, which is the inclusive edge of ``merge_intervals``.  A session window puts a key into
-    one task, so a batch with a heavy key goes to ``merge_intervals``, which gives the same sessions.
+    Events of negative length are left out.  A batch is merged by ``merge_intervals`` at every size.  A stream takes the built-in session
+    window, where an event keeps the session open for its own length plus the tolerance and sessions join when they touch at
+    a microsecond, the inclusive edge of ``merge_intervals``.  A session cannot be empty, so on a stream an event of
+    length 0 at tolerance 0 also joins one that starts a microsecond after it.
     """
+    length = F.col(duration_us)
+    df = df.filter(length >= 0)
+    started, ended = F.unix_micros(ts), F.unix_micros(ts) + length
     if not df.isStreaming:
-        timed = df.withColumns({"_us0": F.unix_micros(ts), "_us1": F.unix_micros(ts) + F.col(duration_us)})
-        splits = resolve(splits, timed, "_us0", key)
-        if splits is not None:
-            merged = merge_intervals(timed, key, "_us0", "_us1", tolerance_us, size, splits)
-            return merged.select(*key, F.col("start_ns").alias("start_us"), F.col("end_ns").alias("end_us"),
-                                 "bytes_total", "event_count")
-    hold = F.concat((F.col(duration_us) + tolerance_us).cast("string"), F.lit(" microseconds"))
-    ended = F.unix_micros(ts) + F.col(duration_us)
+        timed = df.withColumns({"_us0": started, "_us1": ended})
+        merged = merge_intervals(timed, key, "_us0", "_us1", tolerance_us, size, resolve(splits, timed, "_us0", key))
+        return merged.select(*key, F.col("start_ns").alias("start_us"), F.col("end_ns").alias("end_us"),
+                             "bytes_total", "event_count")
+    hold = F.concat(F.greatest(length + tolerance_us, F.lit(1)).cast("string"), F.lit(" microseconds"))
     return (df.groupBy(*key, F.session_window(ts, hold).alias("session"))
-            .agg(F.min(F.unix_micros(ts)).alias("start_us"), F.max(ended).alias("end_us"),
-                 F.sum(size).alias("bytes_total"), F.count(F.lit(1)).alias("event_count")))
+            .agg(F.min(started).alias("start_us"), F.max(ended).alias("end_us"),
+                 F.sum(size).alias("bytes_total"), F.count(F.lit(1)).alias("event_count")).drop("session"))
 
 
 def extract_gaps(busy: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame:

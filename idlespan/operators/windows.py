@@ -83,10 +83,12 @@ def feature_rows(gaps: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, win
     splits = resolve(splits, busy, "start_ns", key)
     rows = gap_features(gaps, key, win, min_history, splits)
     bursts = burst_features(busy, key, win, splits)
-    counts = busy.filter("end_ns > start_ns").groupBy(*key).agg(F.count(F.lit(1)).alias("_bursts"))
-    rows = attach(rows, counts, key, splits)
-    rows = rows.withColumn("burst_idx", F.least(F.col("gap_idx"), F.coalesce("_bursts", F.lit(0))) - 1)
-    rows = rows.join(bursts, [*key, "burst_idx"], "left").drop("burst_idx", "_bursts")
+    last = bursts.groupBy(*key).agg(F.max_by(F.struct("burst_idx", *K.BURST_FEATURES), "burst_idx").alias("_last"))
+    rows = attach(rows, last, key, splits).withColumn("burst_idx", F.col("gap_idx") - 1)
+    # gaps beyond the last burst take it from the path's row, so that they do not all meet at one index
+    past = F.col("burst_idx") > F.col("_last.burst_idx")
+    rows = rows.join(bursts, [*key, "burst_idx"], "left").withColumns(
+        {c: F.when(past, F.col(f"_last.{c}")).otherwise(F.col(c)) for c in K.BURST_FEATURES}).drop("burst_idx", "_last")
     if causal:
         rows = running(rows, key, ["start_ns"], {"_from": ("min", F.col("start_ns"))}, splits=splits)
         span_s = F.greatest((F.col("start_ns") - F.col("_from")) / 1e9, F.lit(0.001))
@@ -117,6 +119,8 @@ def ewma(gaps: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, value: s
     row is constant and no path has to fit a task.
     """
     decay = 1.0 - alpha
+    if decay == 0:
+        return gaps.withColumn(name, F.col(value).cast("double"))
     size = max(2, math.ceil(math.log(1e-16) / math.log(decay)))
     own = F.floor(F.col("gap_idx") / size)
     spread = gaps.withColumn("_chunk", F.explode(F.array(own, own + 1)))

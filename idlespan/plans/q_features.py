@@ -261,9 +261,11 @@ def constant_model(spark, sf):
 
 # --- calibration and confidence --------------------------------------------
 
-CALIBRATION_SQL = f"""{edges()}, cal AS (SELECT bin, lower, upper, count(p) AS "count", coalesce(avg(CAST(label AS DOUBLE)),
-  0) AS accuracy FROM bins LEFT JOIN (SELECT * FROM pred WHERE {LATE.replace('>=', '<')}) q ON p >= lower AND p < upper
-  GROUP BY ALL)"""
+# Every p is put into its bin once, and everything after joins on the bin's number.
+CALIBRATION_SQL = f"""{edges()}, binned AS MATERIALIZED (SELECT path, gap_idx, horizon_ns, start_ns, p, label, CASE
+  {' '.join(f"WHEN p < (SELECT upper FROM bins WHERE bin = {i}) THEN {i}" for i in range(10))} END AS b FROM pred), hits AS (
+  SELECT b, count(*) AS n, avg(CAST(label AS DOUBLE)) AS a FROM binned WHERE {LATE.replace('>=', '<')} GROUP BY b), cal AS
+  (SELECT bin, lower, upper, coalesce(n, 0) AS "count", coalesce(a, 0) AS accuracy FROM bins LEFT JOIN hits ON bin = b)"""
 
 
 @query("fit_calibration", with_(f"{TBGP}, {CALIBRATION_SQL}", """SELECT bin, round(lower, 6) AS lower, round(upper, 6) AS
@@ -274,8 +276,7 @@ def fit_calibration(spark, sf):
 
 
 @query("apply_calibration", with_(f"{TBGP}, {CALIBRATION_SQL}", f"""SELECT path, gap_idx, horizon_ns, round(CASE WHEN
-"count" >= 5 THEN accuracy ELSE p END, 6) AS p_calibrated FROM pred LEFT JOIN cal ON p >= lower AND p < upper WHERE
-{LATE}"""))
+"count" >= 5 THEN accuracy ELSE p END, 6) AS p_calibrated FROM binned LEFT JOIN cal ON b = bin WHERE {LATE}"""))
 def apply_calibration(spark, sf):
     pred = trailing_predictions(spark, sf)[1]
     out = B.apply_calibration(pred.filter(late()), B.fit_calibration(pred.filter(~late())))

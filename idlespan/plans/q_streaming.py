@@ -32,7 +32,7 @@ def stream_events(spark, sf):
 
 def busy_table(spark, sf):
     """Closed busy intervals, streamed to a table."""
-    out = S.stream_busy(stream_events(spark, sf), PATH, TOL_US, DELAY).drop("session")
+    out = S.stream_busy(stream_events(spark, sf), PATH, TOL_US, DELAY)
     return S.run_to_table(out, new_folder(spark, "busy"))
 
 

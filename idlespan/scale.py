@@ -123,27 +123,27 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], out: dict[s
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str,
              splits: Splits | None = None, total: str | None = None) -> DataFrame:
-    """0-based row number per key along ``order``, and the rows of the key as ``total`` if named."""
+    """0-based row number per key along ``order``, and the rows of the key as ``total`` if named.
+
+    Rows that tie in ``order`` are numbered in any order, under either plan; give a unique order for repeatable numbers.
+    """
     one = ("sum", F.lit(1).cast("long"))
     counted = running(df, key, order, {name: one}, splits=splits, totals={total: one} if total else None)
     return counted.withColumn(name, F.col(name) - 1)
 
 
-SALTS = 64
-
-
 def attach(df: DataFrame, per_key: DataFrame, key: Sequence[str], splits: Splits | None,
            spread_by: str = "start_ns", how: str = "left") -> DataFrame:
     """Join one row per key to all rows of the key.
 
-    With splits a key may own most rows, so both sides are salted: each row picks one of a fixed number of
-    copies of its key's row, and the rows of a heavy key meet them in that many tasks.
+    With splits a key may own most rows, so the rows meet their key's row in (key, segment of ``spread_by``): a heavy key
+    in as many tasks as it has segments, a small one with one copy for each segment that it reaches.
     """
     if splits is None:
         return df.join(per_key, list(key), how)
-    salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, [*key, "_salt"], how).drop("_salt")
+    rows = cut(with_segment(df, spread_by, splits))
+    met = rows.groupBy(*key, SEG).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    return rows.join(met.join(per_key, list(key)), [*key, SEG], how).drop(SEG)
 
 
 def trailing(df: DataFrame, key: Sequence[str], index: str, lookback: int,

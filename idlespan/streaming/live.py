@@ -60,7 +60,7 @@ def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150
     timed = df.filter("end_ns >= start_ns").withColumn(
         "_us", F.ceil((F.col("end_ns") - F.col("start_ns")) / 1000).cast("long"))
     merged = merge_sessions(timed.withWatermark("ts", delay), key, "ts", "_us", tolerance_us, size)
-    return merged.select(*key, "session", (F.col("start_us") * 1000).alias("start_ns"),
+    return merged.select(*key, (F.col("start_us") * 1000).alias("start_ns"),
                          (F.col("end_us") * 1000).alias("end_ns"), "bytes_total", "event_count",
                          gbps(F.col("bytes_total"), (F.col("end_us") - F.col("start_us")) * 1000)
                          .alias("bandwidth_gbps"))
@@ -214,10 +214,14 @@ class StreamTable(NamedTuple):
     folder: str
     rows: DataFrame
 
-    def follow(self, max_files: int = 64) -> DataFrame:
-        spark = self.rows.sparkSession
-        return (spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", max_files)
-                .parquet(f"{self.folder}/out"))
+    def follow(self) -> DataFrame:
+        """The table as a stream whose micro-batch is all that its producer has finished since the last.
+
+        The files of one producer batch are dealt by path and each spans the batch's whole time range.  Cutting them by a file count
+        would move the watermark to the end of that range after the first few and make the rest late, so there is no such cap:
+        the producer's own batches bound the consumer's, and they come in the order of its watermark.
+        """
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(f"{self.folder}/out")
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> StreamTable:

@@ -107,7 +107,7 @@ def test_simple_policies(frame):
     assert P.apply_policy("fixed_interval", gaps, key=["path"], period=10**9).count() == 1
     with pytest.raises(ValueError):
         P.make_policy("nonexistent")
-    assert all(callable(P.make_policy(n)) for n in K.POLICY_NAMES)
+    assert all(callable(P.make_policy(n)) for n in P.POLICIES)
 
 
 def test_ewma_policy_warm_up_and_history(frame):

@@ -42,14 +42,14 @@ def test_stream_equals_batch(spark, tmp_path, batches):
     rows = traffic()
     tolerance = 10 * SECOND
     stream = source(spark, str(tmp_path / "in"), rows, batches)
-    busy = S.run_to_table(S.stream_busy(stream, ["path"], tolerance // 1000, "5 seconds").drop("session"),
+    busy = S.run_to_table(S.stream_busy(stream, ["path"], tolerance // 1000, "5 seconds"),
                           str(tmp_path / "busy"))
     batch = I.merge_intervals(spark.createDataFrame(rows, TRANSFERS), ["path"], tolerance=tolerance)
     names = ["path", "start_ns", "end_ns", "bytes_total", "event_count"]
     got, want = rows_of(busy.rows, *names), rows_of(batch, *names)
     assert set(got) <= set(want) and 0 <= len(want) - len(got) <= 4      # only open intervals are missing
 
-    table = S.run_to_table(S.stream_gaps(busy.follow(1), ["path"]), str(tmp_path / "gaps"))
+    table = S.run_to_table(S.stream_gaps(busy.follow(), ["path"]), str(tmp_path / "gaps"))
     gaps = I.extract_gaps(busy.rows, ["path"])
     assert rows_of(table.rows, "path", "gap_idx", "start_ns", "end_ns") == rows_of(gaps, "path", "gap_idx", "start_ns", "end_ns")
     smooth = {(r.path, r.gap_idx + 1): r.ewma for r in W.ewma(gaps, ["path"]).collect()}
@@ -58,7 +58,7 @@ def test_stream_equals_batch(spark, tmp_path, batches):
         assert r.ewma == pytest.approx(smooth.get((r.path, r.gap_idx), 0.0))
         assert r.g_lower_bound == pytest.approx(low[r.path, r.gap_idx])
 
-    decided = S.stream_decisions(table.follow(1), "threshold", low=5 * SECOND, high=20 * SECOND,
+    decided = S.stream_decisions(table.follow(), "threshold", low=5 * SECOND, high=20 * SECOND,
                                  durations={1: SECOND, 2: 5 * SECOND, 3: 20 * SECOND})
     limited = S.run_to_table(S.stream_rate_limit(decided, 2, 100 * SECOND, ["path"], "1000 seconds"),
                              str(tmp_path / "limited"))
