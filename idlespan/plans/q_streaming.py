@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import flag_degraded
@@ -12,37 +14,49 @@ from . import adapter as A
 from .q_policies import D
 from .q_sources import extended_rows
 from .registry import PATH, new_folder, query
-from .sql import T, TB, gapped, with_
+from .sql import TB, TU, T, gapped, merged, with_
 
 TOL_US = A.TOLERANCE // 1000
 DELAY = "10 seconds"
 
 # A session closes when its last end plus the tolerance is behind the watermark, which counts milliseconds.
-CLOSED = f"""{TB}, closed AS (SELECT * FROM busy WHERE end_ns // 1000 + {TOL_US} <=
+OPEN_CUT = f"""closed AS (SELECT * FROM busy WHERE end_ns // 1000 + {TOL_US} <=
   (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM t))"""
+CLOSED = f"{TB}, {OPEN_CUT}"
 CLOSED_GAPS = f"{CLOSED}, {gapped(busy='closed')}"
-
-
-def stream_events(spark, sf):
-    schema = A.read_events(spark, sf).schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 16).parquet(sf))
-    return A.as_transfers(raw)
-
-
-def busy_table(spark, sf):
+CLOSED_GAPS_MANY = f"{TU}, {merged()}, {OPEN_CUT}, {gapped(busy='closed')}"
+SLICES = 4
+
+
+def stream_events(spark, sf, path="event_type"):
+    """The events as a stream; by user they come in several files, one per micro-batch, in order of time."""
+    events = A.read_events(spark, sf)
+    if path == "event_type":
+        return A.as_transfers(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    folder = new_folder(spark, "events")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [lo + (hi - lo) * i / SLICES for i in range(SLICES)]
+    for i, edge in enumerate(edges):                                   # files are followed in the order they were written
+        part = events.filter(F.col("ts") >= F.lit(edge))
+        part = part.filter(F.col("ts") < F.lit(edges[i + 1])) if i + 1 < SLICES else part
+        part.coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return A.as_transfers(raw, path)
+
+
+def busy_table(spark, sf, path="event_type"):
     """Closed busy intervals, streamed to a table."""
-    out = S.stream_busy(stream_events(spark, sf), PATH, TOL_US, DELAY)
+    out = S.stream_busy(stream_events(spark, sf, path), PATH, TOL_US, DELAY)
     return S.run_to_table(out, new_folder(spark, "busy"))
 
 
-def streamed_gaps(spark, sf):
+def streamed_gaps(spark, sf, path="event_type"):
     """Gap stream over the growing table of closed intervals."""
-    return S.stream_gaps(busy_table(spark, sf).follow(), PATH)
+    return S.stream_gaps(busy_table(spark, sf, path).follow(), PATH)
 
 
-def gap_table(spark, sf):
-    return S.run_to_table(streamed_gaps(spark, sf), new_folder(spark, "gaps"))
+def gap_table(spark, sf, path="event_type"):
+    return S.run_to_table(streamed_gaps(spark, sf, path), new_folder(spark, "gaps"))
 
 
 @query("stream_trace", with_(T, "SELECT direction, count(*) AS events, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY ALL"))
@@ -74,8 +88,8 @@ def stream_trailing(spark, sf):
                       F.round("g_lower_bound", 0).alias("g_lower_bound"))
 
 
-def decision_stream(spark, sf, policy="oracle"):
-    gaps = gap_table(spark, sf).follow()
+def decision_stream(spark, sf, policy="oracle", path="event_type"):
+    gaps = gap_table(spark, sf, path).follow()
     return S.stream_decisions(gaps, policy, 200_000 * A.SCALE, durations=D)
 
 
@@ -93,8 +107,9 @@ def stream_model_decisions(spark, sf):
     return out.rows.groupBy("probe_type").agg(F.count(F.lit(1)).alias("probes"), F.count_if("fits").alias("fits"))
 
 
-DECIDED = f"""{CLOSED_GAPS}, dec AS (SELECT path, gap_idx, start_ns, end_ns, CASE WHEN duration_ns >= 5100000000000 THEN 3 WHEN
+DEC = """dec AS (SELECT path, gap_idx, start_ns, end_ns, CASE WHEN duration_ns >= 5100000000000 THEN 3 WHEN
   duration_ns >= 500000000000 THEN 2 ELSE 1 END AS probe_type FROM gaps WHERE duration_ns >= 50000000000)"""
+DECIDED, DECIDED_MANY = f"{CLOSED_GAPS}, {DEC}", f"{CLOSED_GAPS_MANY}, {DEC}"
 
 
 @query("stream_decisions", with_(DECIDED, "SELECT path, gap_idx, probe_type, true AS fits FROM dec"))
@@ -103,37 +118,48 @@ def stream_decisions(spark, sf):
     return out.rows.select("path", "gap_idx", "probe_type", "fits")
 
 
-@query("stream_rate_limit", with_(DECIDED, """SELECT path, gap_idx, probe_type FROM dec QUALIFY row_number() OVER (PARTITION
-BY start_ns // 3600000000000 ORDER BY start_ns, gap_idx, path) <= 3"""))
-def stream_rate_limit(spark, sf):
-    out = S.run_to_table(S.stream_rate_limit(decision_stream(spark, sf), 3, 3600 * 10**9, tie=PATH),
+# A window is decided when it lies behind the watermark of the decisions.
+RATE_LIMIT = """SELECT path, gap_idx, probe_type FROM dec WHERE (end_ns // 3600000000000 + 1) * 3600000 < (SELECT max(end_ns) //
+1000000 - 10000 FROM dec) QUALIFY row_number() OVER (PARTITION BY end_ns // 3600000000000 ORDER BY start_ns, gap_idx, path) <= 3"""
+COUNTS = """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, make_timestamp(end_ns // 1000))) AS window_us, count(*) AS probes,
+count(*) AS safe, 0 AS "unsafe" FROM dec GROUP BY 1 HAVING window_us + 86400000000 <= (SELECT max(end_ns // 1000) // 1000 * 1000 -
+10000000 FROM dec)"""
+DEDUP = "SELECT path, start_ns, end_ns FROM gaps"
+ALARM = """, f AS (SELECT path, start_ns / 1e9 AS t, event_id, k < 30 AS low FROM t), g AS (SELECT *, sum(CASE WHEN low THEN 0
+ELSE 1 END) OVER (PARTITION BY path ORDER BY t, event_id) AS run FROM f), s AS (SELECT path, t, low, sum(CAST(low AS INTEGER))
+OVER (PARTITION BY path, run ORDER BY t, event_id) AS streak FROM g)
+SELECT path, t, CAST(3 AS BIGINT) AS streak FROM s WHERE low AND streak = 3"""
+
+
+def rate_limit(spark, sf, path):
+    out = S.run_to_table(S.stream_rate_limit(decision_stream(spark, sf, path=path), 3, 3600 * 10**9, tie=PATH),
                          new_folder(spark, "limited"))
     return out.rows.select("path", "gap_idx", "probe_type")
 
 
-@query("stream_counts", with_(DECIDED, """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, make_timestamp(end_ns // 1000))) AS
-window_us, count(*) AS probes, count(*) AS safe, 0 AS "unsafe" FROM dec GROUP BY 1 HAVING window_us + 86400000000 <= (SELECT
-max(end_ns // 1000) // 1000 * 1000 - 10000000 FROM dec)"""))
-def stream_counts(spark, sf):
-    out = S.run_to_table(S.stream_counts(decision_stream(spark, sf), "1 day", DELAY), new_folder(spark, "counts"))
+def counts(spark, sf, path):
+    out = S.run_to_table(S.stream_counts(decision_stream(spark, sf, path=path), "1 day", DELAY), new_folder(spark, "counts"))
     return out.rows.select(F.unix_micros("window_start").alias("window_us"), "probes", "safe", "unsafe")
 
 
-@query("stream_dedup", with_(CLOSED_GAPS, "SELECT path, start_ns, end_ns FROM gaps"))
-def stream_dedup(spark, sf):
+def dedup(spark, sf, path):
     """Every gap is delivered twice."""
-    gaps = gap_table(spark, sf).follow().withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1))))
+    gaps = gap_table(spark, sf, path).follow().withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1))))
     out = S.run_to_table(S.stream_dedup(gaps.drop("_twice"), PATH, DELAY), new_folder(spark, "dedup"))
     return out.rows.select("path", "start_ns", "end_ns")
 
 
-@query("stream_alarm", with_(T, """, f AS (SELECT path, start_ns / 1e9 AS t, event_id, k < 30 AS low FROM t), g AS (SELECT *,
-sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY t, event_id) AS run FROM f), s AS (SELECT path, t, low,
-sum(CAST(low AS INTEGER)) OVER (PARTITION BY path, run ORDER BY t, event_id) AS streak FROM g)
-SELECT path, t, CAST(3 AS BIGINT) AS streak FROM s WHERE low AND streak = 3"""))
-def stream_alarm(spark, sf):
+def alarm(spark, sf, path):
     """Three readings in a row below the limit; the reading is the k of the event."""
-    t = stream_events(spark, sf).select("path", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
+    t = stream_events(spark, sf, path).select("path", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
     flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded")
     out = S.run_to_table(S.stream_alarm(flagged, 3, PATH), new_folder(spark, "alarm"))
     return out.rows.select("path", "t", "streak")
+
+
+for _name, _job, _one, _many in (("stream_rate_limit", rate_limit, with_(DECIDED, RATE_LIMIT), with_(DECIDED_MANY, RATE_LIMIT)),
+                                 ("stream_counts", counts, with_(DECIDED, COUNTS), with_(DECIDED_MANY, COUNTS)),
+                                 ("stream_dedup", dedup, with_(CLOSED_GAPS, DEDUP), with_(CLOSED_GAPS_MANY, DEDUP)),
+                                 ("stream_alarm", alarm, with_(T, ALARM), with_(TU, ALARM))):
+    query(_name, _one)(partial(_job, path="event_type"))
+    query(f"{_name}_many_paths", _many)(partial(_job, path="user_id"))

@@ -5,7 +5,7 @@ Order of stages and what each keeps between micro-batches:
     stream_transfers   nothing
     stream_busy        open sessions per path (JVM state, closed by the watermark)
     stream_gaps        per path: end of the last interval, last gap lengths, EWMA, count
-    stream_rate_limit  per time window: how many probes it already has
+    stream_rate_limit  per time window: its first probes so far
     stream_counts      per time window: totals
     stream_alarm       per path: length of the running streak
 
@@ -15,6 +15,7 @@ the keyed state of ``stream_gaps`` never sees late input.  Python runs only on m
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -151,29 +152,34 @@ def stream_decisions(gaps: DataFrame, policy: str = "ewma", margin: int = 200_00
 
 def stream_rate_limit(decisions: DataFrame, n: int = 10, width_ns: int = 1_000_000_000,
                       tie: Sequence[str] = (), delay: str = "10 seconds") -> DataFrame:
-    """First ``n`` probes of each time window, over all paths.  State per window: how many it already has.
+    """First ``n`` probes of each time window, over all paths.  State per window: its best ``n`` rows so far.
 
-    Each chunk of a window is cut to its first ``n`` rows before the next is read, and a window behind the
-    watermark is forgotten.
+    A window is one of ``end_ns``, the time at which a gap is known.  It is decided when the watermark has passed it, so the answer
+    does not depend on how rows arrive in micro-batches.  Tasks cut every window to ``n`` rows before rows of other tasks
+    meet them, so a window's group holds at most ``n`` rows per Arrow batch.
     """
     columns = list(decisions.columns)
     output = ", ".join(f"{c} {t}" for c, t in decisions.dtypes)
+    order = ["start_ns", "gap_idx", *tie]
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.sort_values(order, kind="stable").groupby(part["end_ns"] // width_ns, sort=False).head(n)
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else None
         if state.hasTimedOut:
             state.remove()
+            yield held[columns]
             return
-        used = state.get[0] if state.exists else 0
-        best = None
         for part in parts:
-            best = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = best.sort_values(["start_ns", "gap_idx", *tie], kind="stable").head(max(0, n - used))
-        state.update((used + len(best),))
+            held = pd.concat([held, part], ignore_index=True) if held is not None else part
+            held = held.sort_values(order, kind="stable").head(n)
+        state.update((pickle.dumps(held[columns]),))
         end_ms = (int(group[0]) + 1) * width_ns // 1_000_000
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield best[columns]
-    windowed = decisions.withWatermark("ts", delay).withColumn("_window", F.floor(F.col("start_ns") / width_ns))
-    return windowed.groupBy("_window").applyInPandasWithState(step, output, "used long", "append",
+    windowed = decisions.mapInPandas(first, output).withWatermark("ts", delay).withColumn("_window", F.floor(F.col("end_ns") / width_ns))
+    return windowed.groupBy("_window").applyInPandasWithState(step, output, "held binary", "append",
                                                               GroupStateTimeout.EventTimeTimeout)
 
 

@@ -62,7 +62,7 @@ def test_stream_equals_batch(spark, tmp_path, batches):
                                  durations={1: SECOND, 2: 5 * SECOND, 3: 20 * SECOND})
     limited = S.run_to_table(S.stream_rate_limit(decided, 2, 100 * SECOND, ["path"], "1000 seconds"),
                              str(tmp_path / "limited"))
-    per = limited.rows.groupBy(F.floor(F.col("start_ns") / (100 * SECOND))).count()
+    per = limited.rows.groupBy(F.floor(F.col("end_ns") / (100 * SECOND))).count()         # windows of the time a gap is known
     assert per.filter("count > 2").count() == 0 and limited.rows.count() > 0
 
 
@@ -85,3 +85,33 @@ def test_counts_per_window(spark, tmp_path):
     stream = source(spark, str(tmp_path / "in"), rows, 4).withColumn("fits", F.col("start_ns") % (2 * SECOND) == 0)
     out = S.run_to_table(S.stream_counts(stream, "10 seconds", "1 second"), str(tmp_path / "counts"))
     assert rows_of(out.rows, "probes", "safe", "unsafe") == [(10, 5, 5)] * 3
+
+
+@pytest.mark.parametrize("files", [1, 8, 64])
+def test_results_do_not_depend_on_files_per_batch(spark, tmp_path, files):
+    """64 files in order of time, read 1, 8 or 64 at a time, give what the batch operators give."""
+    rows = sorted(traffic(5, 120), key=lambda r: r[1])
+    step = -(-len(rows) // 64)
+    folder = str(tmp_path / "in")
+    for i in range(0, len(rows), step):
+        spark.createDataFrame(rows[i:i + step], TRANSFERS).coalesce(1).write.mode("append").parquet(folder)
+    stream = (spark.readStream.schema(TRANSFERS).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", S.event_time()))
+    busy = S.run_to_table(S.stream_busy(stream, ["path"], 10 * SECOND // 1000, "5 seconds"), str(tmp_path / "busy"))
+    table = S.run_to_table(S.stream_gaps(busy.follow(), ["path"]), str(tmp_path / "gaps"))
+    gaps = table.rows.collect()
+    assert len(gaps) > 50
+    once = S.run_to_table(S.stream_dedup(table.follow(), ["path"], "5 seconds"), str(tmp_path / "once"))
+    assert once.rows.count() == len(gaps)
+    lengths = {1: SECOND, 2: 5 * SECOND, 3: 20 * SECOND}
+    decided = S.stream_decisions(table.follow(), "oracle", durations=lengths)
+    kept = [g for g in gaps if g.duration_ns >= SECOND]
+    mark = max(g.end_ns for g in kept) - 5 * SECOND
+    width = 100 * SECOND
+    limited = S.run_to_table(S.stream_rate_limit(decided, 2, width, ["path"], "5 seconds"), str(tmp_path / "limited"))
+    want = []
+    for w in {g.end_ns // width for g in kept}:
+        if (w + 1) * width < mark:
+            want += sorted((g.start_ns, g.gap_idx, g.path) for g in kept if g.end_ns // width == w)[:2]
+    assert rows_of(limited.rows, "start_ns", "gap_idx", "path") == sorted(want)
+    counted = S.run_to_table(S.stream_counts(decided, "100 seconds", "5 seconds"), str(tmp_path / "counted"))
+    assert counted.rows.agg(F.sum("probes")).first()[0] == sum((g.end_ns // width + 1) * width <= mark for g in kept)
