@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import feature_complement, feature_subset
 from ..scale import AUTO, numbered, resolve
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from .aggregates import classification_metrics, mean_over_folds
 from .calibration import apply_calibration, fit_calibration
 from .joins import compare_runs
@@ -164,10 +164,14 @@ def cross_pass_eval(train: DataFrame, test: DataFrame, horizons: Sequence[int],
     return classification_metrics(labelled_scores(test, fit(train, horizons, **options), horizons))
 
 
-def _stack(frames: list[DataFrame]) -> DataFrame:
+def _stack(frames: list[DataFrame], held: DataFrame | None = None) -> DataFrame:
+    """All metric rows; with ``held``, they are written first and the rows they came from are released."""
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)
+    if held is not None:
+        out = cut(out)
+        held.unpersist()
     return out
 
 
@@ -186,7 +190,7 @@ def time_series_cv(df: DataFrame, horizons: Sequence[int], n_splits: int = 5,
         fitted = fit(rows.filter(F.col("_row") < a), horizons, **options)
         block = rows.filter((F.col("_row") >= a) & (F.col("_row") < b)).drop("_row")
         folds.append(classification_metrics(labelled_scores(block, fitted, horizons)).withColumn("fold", F.lit(s)))
-    return _stack(folds)
+    return _stack(folds, rows)
 
 
 def with_stratified_fold(df: DataFrame, label: str, ids: Sequence[str], k: int = 5, seed: int = 42,
@@ -208,7 +212,7 @@ def stratified_kfold(df: DataFrame, horizon: int, ids: Sequence[str], k: int = 5
         fitted = fit(rows.filter(F.col("fold") != i), [horizon], **options)
         held = rows.filter(F.col("fold") == i).drop("fold", "_y")
         out.append(classification_metrics(labelled_scores(held, fitted, [horizon])).withColumn("fold", F.lit(i)))
-    return _stack(out)
+    return _stack(out, rows)
 
 
 def learning_curve(train: DataFrame, test: DataFrame, sizes: Sequence[float], horizons: Sequence[int],
@@ -236,7 +240,7 @@ def ablate_groups(train: DataFrame, test: DataFrame, horizons: Sequence[int], gr
         names = feature_complement(g) if mode == "leave_one_out" else feature_subset(g)
         run = cross_pass_eval(train, test, horizons, fit, features=names, **options)
         runs.append(compare_runs(full, run, ["horizon_ns"], metrics).withColumn("feature_group", F.lit(g)))
-    return _stack(runs)
+    return _stack(runs, train)
 
 
 def evaluate_windows(train: DataFrame, test: DataFrame, horizons: Sequence[int], n_bins: int = 10,

@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions.columns import probe_duration
 from ..scale import AUTO, resolve, running, trailing
 from .intervals import overlap_amount
+from .ranking import with_spacing
 from .windows import ewma
 
 KEY = tuple(K.PATH_KEY)
@@ -37,12 +38,17 @@ def policy_none(gaps: DataFrame) -> DataFrame:
     return _kind(gaps, F.lit(K.PROBE_NONE))
 
 
-def policy_fixed_interval(gaps: DataFrame, key: Sequence[str] = KEY, period: int = 100_000_000) -> DataFrame:
+def policy_fixed_interval(gaps: DataFrame, key: Sequence[str] = KEY, period: int = 100_000_000,
+                          minimum: bool = False) -> DataFrame:
     """One tiny probe per path and period, in the first gap that starts in it.
 
+    ``minimum=True`` asks instead for at least ``period`` between two probes of a path, which buckets cannot promise.
+
     The window holds the gaps of one period of one path; gaps are longer than the merge tolerance, so their
     number is bounded by period / tolerance.
     """
+    if minimum:
+        return _kind(with_spacing(gaps, period, key), F.col("chosen").cast("int") * K.PROBE_TINY).drop("chosen")
     order = Window.partitionBy(*key, F.floor(F.col("start_ns") / period)).orderBy("start_ns")
     return _kind(gaps, F.when(F.row_number().over(order) == 1, K.PROBE_TINY).otherwise(K.PROBE_NONE))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,33 @@ def every_nth(df: DataFrame, k: int, index: str = "gap_idx", start: int = 0) ->
     return df.filter((F.col(index) >= start) & ((F.col(index) - start) % k == 0))
 
 
+def with_spacing(df: DataFrame, period: int, key: Sequence[str] = KEY, at: str = "start_ns", name: str = "chosen") -> DataFrame:
+    """Mark the rows of a greedy chain per key: the first, then each first row at least ``period`` after the last marked one.
+
+    Rows of a key are read in order and only the last marked time is carried from batch to batch, so memory does not grow with the
+    key.  The chain is sequential: a key is one task, as long as its rows are.  Of rows that tie only one is marked.
+    """
+    key = list(key)
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` boolean"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for part in parts:
+            times, marked = part[at].to_numpy(), np.zeros(len(part), bool)
+            group = part.groupby(key, sort=False, dropna=False).ngroup().to_numpy() if key else np.zeros(len(part), int)
+            for start, stop in zip(edge := np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), np.r_[edge[1:], len(part)]):
+                who = tuple(part[key].iloc[start]) if key else ()
+                if who != now:
+                    now, last = who, None
+                i = start if last is None else start + np.searchsorted(times[start:stop], last + period)
+                while i < stop:
+                    marked[i], last = True, times[i]
+                    i = start + np.searchsorted(times[start:stop], last + period)
+            yield part.assign(**{name: marked})
+    ordered = (df.repartition(*key) if key else df.coalesce(1)).sortWithinPartitions(*key, at)
+    return ordered.mapInPandas(run, fields)
+
+
 def min_rows_per_key(df: DataFrame, n: int, key: Sequence[str] = KEY, spread_by: str = "start_ns",
                      splits=AUTO) -> DataFrame:
     """Rows of the paths that have at least ``n`` of them: a count that combines map-side, joined back."""

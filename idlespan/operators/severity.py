@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scale import AUTO, resolve, running
 from .intervals import look_up
+from .ranking import with_spacing
 
 
 def trigger_windows(busy: DataFrame, low_mbps: float = 800, high_mbps: float = 26_000,
@@ -19,9 +20,11 @@ def trigger_windows(busy: DataFrame, low_mbps: float = 800, high_mbps: float = 2
 
 
 def cooldown(triggers: DataFrame, period_ns: int = 3_000_000_000, key: Sequence[str] = (),
-             at: str = "start_ns") -> DataFrame:
-    """At most one trigger per period: the first of each."""
+             at: str = "start_ns", minimum: bool = False) -> DataFrame:
+    """At most one trigger per period: the first of each, or with ``minimum=True`` at least a period apart."""
     names = triggers.columns
+    if minimum:
+        return with_spacing(triggers, period_ns, key, at).filter("chosen").drop("chosen")
     return (triggers.withColumn("_b", F.floor(F.col(at) / period_ns)).groupBy(*key, "_b")
             .agg(F.min_by(F.struct(*names), F.struct(at, *[c for c in ("path", "end_ns") if c in names])).alias("r"))
             .select("r.*"))

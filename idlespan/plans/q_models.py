@@ -58,12 +58,12 @@ def model_save_load(spark, sf):
 
 @query("model_time_series_cv")
 def model_time_series_cv(spark, sf):
-    return mean_over_folds(M.time_series_cv(feature_table(spark, sf), [H500], 3, ORDER, params=SMALL))
+    return mean_over_folds(M.time_series_cv(feature_table(spark, sf), [H500], 5, ORDER, params=SMALL))
 
 
 @query("model_stratified_kfold")
 def model_stratified_kfold(spark, sf):
-    return M.stratified_kfold(feature_table(spark, sf), H500, ["path", "gap_idx"], 3, params=SMALL)
+    return M.stratified_kfold(feature_table(spark, sf), H500, ["path", "gap_idx"], 5, params=SMALL)
 
 
 @query("model_logistic")
@@ -80,13 +80,13 @@ def model_learning_curve(spark, sf):
 @query("model_ablation")
 def model_ablation(spark, sf):
     train, test = passes(spark, sf)
-    return M.ablate_groups(train, test, [H500], ["gap", "burst"], params=SMALL)
+    return M.ablate_groups(train, test, [H500], params=SMALL)
 
 
 @query("model_single_groups")
 def model_single_groups(spark, sf):
     train, test = passes(spark, sf)
-    return M.ablate_groups(train, test, [H500], ["gap", "idle"], "only", params=SMALL)
+    return M.ablate_groups(train, test, [H500], mode="only", params=SMALL)
 
 
 @query("model_evaluate_windows")

@@ -326,3 +326,22 @@ def severity(spark, sf):
     signs = V.link_signs(_bandwidth(spark, sf), F.col("bandwidth_gbps") < 6, ["path_id"])
     out = V.severity(signs.withColumn("throughput_drop", F.col("path_id") % 2 == 0), 11, 60, 1_728_000, 0.4, 0.99)
     return rounded(out.select("path_id", "bandwidth_gbps", "latency_us", "abnormal_ratio", "severity"))
+
+
+def _chain(source: str, period: int) -> str:
+    return f"""c AS (SELECT path, min(start_ns) AS t0 FROM {source} GROUP BY path UNION ALL SELECT c.path, min(g.start_ns) AS t0
+  FROM c JOIN {source} g ON g.path = c.path AND g.start_ns >= c.t0 + {period} GROUP BY c.path)"""
+
+
+@query("policy_minimum_spacing", f"""WITH RECURSIVE {TBG}, {_chain('gaps', PERIOD)} SELECT gaps.path, gap_idx, 1 AS probe_type
+FROM gaps JOIN c ON gaps.path = c.path AND start_ns = c.t0""")
+def policy_minimum_spacing(spark, sf):
+    """Fixed interval with at least a period between neighbours on a path."""
+    runs = P.apply_policy("fixed_interval", timeline(spark, sf).gaps, key=PATH, period=PERIOD, minimum=True)
+    return runs.select(*OUT)
+
+
+@query("cooldown_minimum", f"""WITH RECURSIVE {TRIGGER_SQL}, {_chain('tr', 3000 * 10**9)} SELECT path, t0 AS start_ns FROM c""")
+def cooldown_minimum(spark, sf):
+    """Triggers of a path at least 3 000 s apart."""
+    return V.cooldown(_triggers(spark, sf), 3000 * 10**9, PATH, minimum=True).select("path", "start_ns")

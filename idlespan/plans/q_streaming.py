@@ -68,6 +68,24 @@ def stream_trace(spark, sf):
     return out.rows.groupBy("direction").agg(F.count(F.lit(1)).alias("events"), F.sum("size").alias("bytes"))
 
 
+@query("stream_rejects", with_(T, """SELECT k % 7 = 0 AS broken, count(*) AS events FROM t GROUP BY ALL"""))
+def stream_rejects(spark, sf):
+    """Every seventh row has a size that is no number; good rows and rejects go to tables of their own and add up."""
+    path = new_folder(spark, "broken-trace")
+    rows = extended_rows(spark, sf)
+    write_trace_csv(rows.filter(F.col("k") % 7 != 0).drop("k"), path)
+    bad = rows.filter(F.col("k") % 7 == 0).drop("k")
+    folder = new_folder(spark, "rows")
+    write_trace_csv(bad, folder)
+    text = spark.read.option("header", True).csv(folder)
+    text.withColumn("size_mb", F.concat(F.lit("x"), "size_mb")).write.mode("append").option("header", True).csv(path)
+    good = S.run_to_table(S.stream_transfers(spark, path), new_folder(spark, "transfers")).rows
+    rejects = S.run_to_table(S.stream_rejects(spark, path), new_folder(spark, "rejects")).rows
+    count = F.count(F.lit(1)).alias("events")
+    return good.agg(count).select(F.lit(False).alias("broken"), "events").unionByName(
+        rejects.agg(count).select(F.lit(True).alias("broken"), "events"))
+
+
 @query("stream_busy", with_(CLOSED, "SELECT path, start_ns, end_ns, bytes_total, event_count FROM closed"))
 def stream_busy(spark, sf):
     return busy_table(spark, sf).rows.select("path", "start_ns", "end_ns", "bytes_total", "event_count")

@@ -55,6 +55,12 @@ def stream_transfers(spark: SparkSession, directory: str, layout: str = EXTENDED
     return normalise(good, layout).withColumn("ts", event_time())
 
 
+def stream_rejects(spark: SparkSession, directory: str, layout: str = EXTENDED, max_files: int | None = None) -> DataFrame:
+    """The rows that ``stream_transfers`` leaves out because a number does not parse, as text.  Good rows and rejects add up to the
+    rows that are not blank."""
+    return split_rejects(stream_trace(spark, directory, layout, max_files), layout)[1]
+
+
 def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150, delay: str = "10 seconds",
                 size: str = "size") -> DataFrame:
     """Closed busy intervals of a transfer stream with ``ts``, ``start_ns``, ``end_ns``."""
