@@ -196,3 +196,18 @@ def test_history_snapshot(frame):
     ordered = [d for _, d in rows_of(gaps, "gap_idx", "duration_ns")]
     assert rows[0].previous_gaps == [] and len(rows[0].previous_busy) == 1
     assert rows[6].previous_gaps == ordered[3:6] and len(rows[6].previous_busy) == 4
+
+
+def test_minimum_spacing(frame):
+    from idlespan.operators.ranking import with_spacing
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abc"), rnd.randrange(0, 5000)) for _ in range(400)]
+    got = with_spacing(frame(rows, "path string, start_ns long"), 100, ["path"]).filter("chosen")
+    want = []
+    for path in "abc":
+        last = None
+        for at in sorted(t for p, t in rows if p == path):
+            if last is None or at >= last + 100:
+                want.append((path, at))
+                last = at
+    assert rows_of(got, "path", "start_ns") == sorted(want)
