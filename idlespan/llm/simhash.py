@@ -277,33 +277,43 @@ def wide_tables(nodes: int) -> list[list[int]]:
     return sampled_tables(math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE ** width)), width, 64 * WIDE)
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets share, from products of blocks of their incidence matrix; elements of one set are left out."""
+    value, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = times > 1
+    number = np.cumsum(several) - 1
+    some = several[element]
+    column, owner = number[element[some]], owner[some]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[owner[a:b], column[a:b] - low] = 1
+        total += block @ block.T
+    return total
+
+
 def _verified(similarity: float):
     """Over rows sorted by ``key``: spanning links between sets whose Jaccard similarity reaches ``similarity``."""
-    def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        top, out = list(range(len(nodes))), []
-
-        def root(i: int) -> int:
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-        for i in range(len(nodes)):
-            for j in range(i):
-                a, b = root(i), root(j)
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if a == b or small < similarity * large:
-                    continue
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if small else 0
-                if same >= similarity * (small + large - same):
-                    top[max(a, b)] = min(a, b)
-                    out.append((nodes[i], nodes[j]))
-        return out
+    def links(nodes: list[int], sets: list[np.ndarray]) -> np.ndarray:
+        if len(nodes) < 2:
+            return np.zeros((0, 2), np.int64)
+        size = np.array([len(s) for s in sets], np.float64)
+        same = shared_counts(sets)
+        linked = same >= similarity * (size[:, None] + size[None, :] - same)
+        label = forest(len(nodes), iter([np.nonzero(np.triu(linked, 1))]))
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        named = np.array(nodes, np.int64)
+        return np.stack([named[moved], named[label[moved]]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
 
         def flush() -> pa.RecordBatch:
-            out = np.array(links(nodes, sets), np.int64).reshape(-1, 2)
+            out = links(nodes, sets)
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
         for batch in batches:
             for key, node, data in zip(*batch.columns):
