@@ -64,9 +64,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows repeated with the same id and an equal text leave one row.
     """
     digest = options.get("digest", sha256)(options.get("normalise", ascii_lower)(whole_text(text_col)))
-    keepers = (duplicate_groups(docs, id_col, text_col, **options).filter("kept")
-               .select(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct())
+    keepers = saved(duplicate_groups(docs, id_col, text_col, **options).filter("kept")
+                    .groupBy(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+                    .agg(F.count(F.lit(1)).alias("_copies")), "keepers")
     marked = docs.withColumns({"_row_id": F.col(id_col), "_row_digest": digest})
-    kept = marked.join(keepers, F.col("_row_id").eqNullSafe(F.col("_keep_id"))
-                       & (F.col("_row_digest") == F.col("_keep_digest")), "left_semi")
-    return kept.dropDuplicates(["_row_id", "_row_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.join(keepers, F.col("_row_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_digest") == F.col("_keep_digest")))
+    if not keepers.filter("_copies > 1").isEmpty():            # only rows that repeat an id with its text meet again
+        again = kept.filter("_copies > 1").dropDuplicates(["_row_id", "_row_digest"])
+        kept = kept.filter("_copies = 1").unionByName(again)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
