@@ -15,8 +15,9 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 WITH_SPACE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 #: For tokenizers that drop white space.
 WITHOUT_SPACE = re.compile(f"[^{WHITE_SPACE}]+")
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 800_000
 LONGEST_REMEMBERED = 40
+TOGETHER = 64
 
 
 class Encoder:
@@ -35,14 +36,36 @@ class Encoder:
         self.pieces = (WITH_SPACE if keeps_space else WITHOUT_SPACE).findall
         self.known: dict[str, bytes] = {}
         self.memory = memory
+        self.n_bytes = None
+        if keeps_space:                                                    # byte-level: a character of a token is a byte of text
+            vocabulary = self.tokenizer.get_vocab()
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.n_bytes[i] = len(token)
+
+    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces.  Words with a space before them can stand side by side, so they are encoded ``TOGETHER`` at a time
+        and the ids are cut where the bytes of a word end."""
+        together = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "] if self.n_bytes is not None else []
+        found = {}
+        if together:
+            lines = ["".join(together[i:i + TOGETHER]) for i in range(0, len(together), TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.cumsum([len(w.encode("utf-8")) for w in together])
+            cut = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()
+            data = ids.tobytes()
+            found = dict(zip(together, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut))))
+            words = [w for w in words if w not in found]
+        found.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in
+                                 self.tokenizer.encode_batch_fast(words, add_special_tokens=False))))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text (null: empty) with the end id behind them, as unsigned 32-bit integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.known
         fresh = list({w for words in cut for w in words if w not in known})
-        ids = dict(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in
-                               self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
+        ids = self._ids_of(fresh)
         look = known
         if ids:
             room = self.memory - len(known)
