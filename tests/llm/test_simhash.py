@@ -140,3 +140,21 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_components(none).count() == 0
     assert simhash.keep_one_near(none).count() == 0
+
+
+@pytest.mark.parametrize("cell", [8, 2048])
+def test_every_pair_at_the_similarity_is_linked(spark, cell):
+    """4 of 5 shingles, which differ in size class and often in most tables, and pairs that share a common line."""
+    rng = random.Random(5)
+    line = "this line stands in a third of all texts as it is"
+    texts = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8] if i % 2 else words[1:])]
+        if i % 3 == 0:
+            texts += [f"{line} " + " ".join(words[::-1][:5]), f"{line} {words[3]}", f"{line} {words[4]}"]
+    sets = [set(shingles(t, 5)) for t in texts]
+    roots = groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.keep_one_near(rows, cell=cell).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(roots))
