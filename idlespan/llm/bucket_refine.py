@@ -13,6 +13,10 @@ place alike.  Windows in a row with one anchor are a context, a piece of text of
 
 Texts are shuffled once, by chunk, and all four steps use that one exchange.  Exact copies of a smaller document are settled before
 by their digest.  A frequent passage costs one context per chunk, however many documents hold it.
+
+A bucket with over ``CROWD`` contexts is not gathered: windows across the edge of a frequent passage, or around a phrase shorter than
+``length``, share the anchor but have each document's own bytes beside it.  Its windows go out one by one instead, each different one
+of a chunk once, to the shard that a hash of all their bytes gives; equal windows meet there, and their bytes are compared.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ CHUNK_BYTES = 8 << 20
 SEGMENT = 1 << 20
 PLACE_BITS = 24
 NO_ID = 2**63 - 1
-DUPLICATE, BUCKETS, ANSWERS = 0, 1, 2
+CROWD = 1 << 14
+DUPLICATE, BUCKETS, ANSWERS, CROWDED, WINDOWS = 0, 1, 2, 3, 4
 NOTE = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 MAIL = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("data", pa.binary())])
 
@@ -81,8 +86,12 @@ class Chunk:
             if kind == DUPLICATE:
                 self.copies.update(map(tuple, np.frombuffer(blob, ">i8").reshape(-1, 2).tolist()))
         self.answers = [b for k, b in zip(kinds, blobs) if k == ANSWERS]
-        found = [np.frombuffer(b, "<u8") for k, b in zip(kinds, blobs) if k == BUCKETS]
-        self.buckets = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.window_answers = [b for k, b in zip(kinds, blobs) if k == WINDOWS]
+
+        def told(*which: int) -> np.ndarray:
+            found = [np.frombuffer(b, "<u8") for k, b in zip(kinds, blobs) if k in which]
+            return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.buckets, self.crowded = told(BUCKETS, CROWDED), told(CROWDED)
 
     def is_copy(self, i: int) -> bool:
         return bool(self.copies) and (self.ids[i], _signed(self.texts[i])) in self.copies
@@ -163,27 +172,32 @@ def _send_buckets(length: int, shards: int):
         bucket, doc = bucket[order], doc[order]
         start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         stop = np.r_[start[1:], len(bucket)] - 1
-        bucket, several = bucket[start], doc[start] != doc[stop]
-        return _mail([(s, key[0].as_py(), several[i].tobytes() + bucket[i].tobytes()) for s, i in _by_shard(bucket, shards)], MAIL)
+        bucket, several, times = bucket[start], doc[start] != doc[stop], (stop - start + 1).astype("<u4")
+        return _mail([(s, key[0].as_py(), several[i].tobytes() + times[i].tobytes() + bucket[i].tobytes())
+                      for s, i in _by_shard(bucket, shards)], MAIL)
     return run
 
 
-def _shared_buckets(key: tuple, mail: pa.Table) -> pa.Table:
-    """The buckets of a shard that more than one document has, told to every chunk that has them."""
-    chunk, several, bucket = [], [], []
-    for c, blob in zip(mail.column("chunk").to_pylist(), mail.column("data").to_pylist()):
-        n = len(blob) // 9
-        several.append(np.frombuffer(blob, bool, n))
-        bucket.append(np.frombuffer(blob, "<u8", n, n))
-        chunk.append(np.full(n, c, np.int32))
-    chunk, several, bucket = (np.concatenate(x) for x in (chunk, several, bucket))
-    order = np.argsort(bucket, kind="stable")
-    start = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-    size = np.diff(np.r_[start, len(order)])
-    shared = np.repeat((size > 1) | np.logical_or.reduceat(several[order], start), size)
-    chosen = order[shared]
-    rows = [(c, BUCKETS, bucket[part].tobytes()) for c, part in _by_chunk(chunk, chosen)]
-    return _mail(rows, NOTE)
+def _shared_buckets(crowd: int):
+    def run(key: tuple, mail: pa.Table) -> pa.Table:
+        """The buckets of a shard that more than one document has, told to every chunk that has them."""
+        chunk, several, times, bucket = [], [], [], []
+        for c, blob in zip(mail.column("chunk").to_pylist(), mail.column("data").to_pylist()):
+            n = len(blob) // 13
+            several.append(np.frombuffer(blob, bool, n))
+            times.append(np.frombuffer(blob, "<u4", n, n).astype(np.int64))
+            bucket.append(np.frombuffer(blob, "<u8", n, 5 * n))
+            chunk.append(np.full(n, c, np.int32))
+        chunk, several, times, bucket = (np.concatenate(x) for x in (chunk, several, times, bucket))
+        order = np.argsort(bucket, kind="stable")
+        start = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+        size = np.diff(np.r_[start, len(order)])
+        shared = np.repeat((size > 1) | np.logical_or.reduceat(several[order], start), size)
+        crowded = np.repeat(np.add.reduceat(times[order], start) > crowd, size)
+        rows = [(c, kind, bucket[part].tobytes()) for kind, some in ((BUCKETS, shared & ~crowded), (CROWDED, shared & crowded))
+                for c, part in _by_chunk(chunk, order[some])]
+        return _mail(rows, NOTE)
+    return run
 
 
 def _numbered(chunk: Chunk) -> tuple[dict[tuple[int, bytes], int], list[int], Iterator]:
@@ -205,6 +219,21 @@ def _numbered(chunk: Chunk) -> tuple[dict[tuple[int, bytes], int], list[int], It
     return number, smallest, walk()
 
 
+def _windows(chunk: Chunk, contexts: list[tuple[int, bytes]], smallest: list[int], crowded: list[int]) -> tuple[dict[bytes, int], list[int]]:
+    """Different windows of the contexts numbered in ``crowded``: bytes to number; the smallest document of each."""
+    number: dict[bytes, int] = {}
+    least: list[int] = []
+    for k in crowded:
+        text = contexts[k][1]
+        for w in range(len(text) - chunk.length + 1):
+            n = number.setdefault(text[w:w + chunk.length], len(least))
+            if n == len(least):
+                least.append(smallest[k])
+            elif smallest[k] < least[n]:
+                least[n] = smallest[k]
+    return number, least
+
+
 def _send_contexts(length: int, shards: int):
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
         chunk = Chunk(docs, notes, length)
@@ -214,13 +243,21 @@ def _send_contexts(length: int, shards: int):
             if len(smallest) > len(bucket):
                 bucket = np.concatenate([bucket, np.zeros(len(smallest) - len(bucket), np.uint64)])
             bucket[names] = own
-        texts = [c[1] for c in number]
-        ids = np.array([chunk.ids[d] for d in smallest], np.int64)
-        sizes = np.fromiter(map(len, texts), np.uint16, len(texts))
-        pack, rows = zstandard.ZstdCompressor(3), []
-        for shard, i in _by_shard(bucket, shards):
-            body = i.astype("<u4").tobytes() + ids[i].astype("<i8").tobytes() + sizes[i].tobytes() + b"".join([texts[k] for k in i.tolist()])
-            rows.append((shard, key[0].as_py(), len(i).to_bytes(4, "little") + pack.compress(body)))
+        pack, rows, contexts = zstandard.ZstdCompressor(3), [], list(number)
+
+        def send(kind: int, texts: list[bytes], docs_: list[int], dealt: np.ndarray, chosen: np.ndarray) -> None:
+            ids = np.array([chunk.ids[d] for d in docs_], np.int64)
+            sizes = np.fromiter(map(len, texts), np.uint16, len(texts))
+            for shard, part in _by_shard(dealt[chosen], shards):
+                i = chosen[part]
+                body = i.astype("<u4").tobytes() + ids[i].astype("<i8").tobytes() + sizes[i].tobytes() + b"".join([texts[k] for k in i.tolist()])
+                rows.append((shard, key[0].as_py(), bytes([kind]) + len(i).to_bytes(4, "little") + pack.compress(body)))
+        crowded = np.isin(bucket, chunk.crowded)
+        send(ANSWERS, [c[1] for c in contexts], smallest, bucket, np.flatnonzero(~crowded))
+        if crowded.any():
+            windows, least = _windows(chunk, contexts, smallest, np.flatnonzero(crowded).tolist())
+            dealt = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in windows), np.uint64, len(windows))
+            send(WINDOWS, list(windows), least, dealt, np.arange(len(windows)))
         return _mail(rows, MAIL)
     return run
 
@@ -253,16 +290,17 @@ def refined(pool: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
 
 def _refine(length: int):
     def run(key: tuple, mail: pa.Table) -> pa.Table:
-        open_, chunk, number, ids, sizes, texts = zstandard.ZstdDecompressor(), [], [], [], [], []
+        open_, chunk, number, ids, sizes, texts, kinds = zstandard.ZstdDecompressor(), [], [], [], [], [], []
         for c, blob in zip(mail.column("chunk").to_pylist(), mail.column("data").to_pylist()):
-            n, body = int.from_bytes(blob[:4], "little"), open_.decompress(blob[4:])
+            n, body = int.from_bytes(blob[1:5], "little"), open_.decompress(blob[5:])
+            kinds.append(np.full(n, blob[0], np.int64))
             number.append(np.frombuffer(body, "<u4", n))
             ids.append(np.frombuffer(body, "<i8", n, 4 * n))
             sizes.append(np.frombuffer(body, "<u2", n, 12 * n).astype(np.int64))
             chunk.append(np.full(n, c, np.int32))
             edge = (14 * n + np.r_[0, np.cumsum(sizes[-1])]).tolist()
             texts += [body[a:b] for a, b in zip(edge, edge[1:])]
-        chunk, number, ids, sizes = (np.concatenate(x) for x in (chunk, number, ids, sizes))
+        chunk, number, ids, sizes, kinds = (np.concatenate(x) for x in (chunk, number, ids, sizes, kinds))
         seen: dict[bytes, int] = {}
         which = np.fromiter((seen.setdefault(t, len(seen)) for t in texts), np.int64, len(texts))   # equal contexts are one
         least = np.full(len(seen), NO_ID, np.int64)
@@ -281,15 +319,14 @@ def _refine(length: int):
         windows = size - length + 1
         rows = []
         for c, part in _by_chunk(chunk, np.arange(len(chunk))):
-            told = []
+            told = {ANSWERS: [], WINDOWS: []}
             for k in part.tolist():                                                 # runs of windows with one smallest document
                 w = which[k]
                 mins = smallest[begin[w]:begin[w] + windows[w]]
                 if mins.min() < ids[k]:
                     edge = np.flatnonzero(np.r_[True, mins[1:] != mins[:-1]])
-                    told.append(np.stack([np.full(len(edge), number[k]), edge, mins[edge]]))
-            if told:
-                rows.append((c, ANSWERS, np.concatenate(told, axis=1).astype("<i8").tobytes()))
+                    told[kinds[k]].append(np.stack([np.full(len(edge), number[k]), edge, mins[edge]]))
+            rows += [(c, kind, np.concatenate(t, axis=1).astype("<i8").tobytes()) for kind, t in told.items() if t]
         return _mail(rows, NOTE)
     return run
 
@@ -298,12 +335,34 @@ RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.li
                     ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def _window_answers(chunk: Chunk, number: dict[tuple[int, bytes], int], smallest: list[int], crowded: list[int]) -> np.ndarray:
+    """Answers like those of ``_refine`` for contexts whose windows were sent one by one."""
+    contexts = list(number)
+    windows, least = _windows(chunk, contexts, smallest, crowded)
+    low = np.array([chunk.ids[d] for d in least], np.int64)
+    for blob in chunk.window_answers:
+        which, _, ids = np.frombuffer(blob, "<i8").reshape(3, -1)
+        low[which] = np.minimum(low[which], ids)
+    out = []
+    for k in crowded:
+        text = contexts[k][1]
+        mins = low[[windows[text[w:w + chunk.length]] for w in range(len(text) - chunk.length + 1)]]
+        edge = np.flatnonzero(np.r_[True, mins[1:] != mins[:-1]])
+        out.append(np.stack([np.full(len(edge), k), edge, mins[edge]]))
+    return np.concatenate(out, axis=1)
+
+
 def _mark(length: int, texts: bool):
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
         chunk = Chunk(docs, notes, length)
-        _, smallest, walk = _numbered(chunk)
+        number, smallest, walk = _numbered(chunk)
+        walk = list(walk)
         told = np.concatenate([np.frombuffer(b, "<i8").reshape(3, -1) for b in chunk.answers], axis=1) if chunk.answers \
             else np.zeros((3, 0), np.int64)
+        crowded = [names[np.isin(own, chunk.crowded)] for _, _, _, _, own, names in walk] if len(chunk.crowded) else []
+        crowded = np.unique(np.concatenate(crowded)).tolist() if crowded else []
+        if crowded:
+            told = np.concatenate([told, _window_answers(chunk, number, smallest, crowded)], axis=1)
         told = told[:, np.lexsort((told[1], told[0]))]
         ids = np.array(chunk.ids, np.int64)
         removed: dict[int, list[np.ndarray]] = {}
@@ -348,7 +407,7 @@ def _mark(length: int, texts: bool):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, crowd: int = CROWD) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``spans`` (maximal removed runs, start and end), ``kept_sha256``, and ``kept`` (the bytes that
     stay) if ``texts``.
 
@@ -372,7 +431,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     by_chunk = rows.groupBy("chunk")
     mail, note = "shard int, chunk int, data binary", "chunk int, kind int, data binary"
     sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_send_buckets(length, chunks), mail)
-    shared = sent.repartition(chunks, "shard").groupBy("shard").applyInArrow(_shared_buckets, note).repartition(chunks, "chunk")
+    shared = sent.repartition(chunks, "shard").groupBy("shard").applyInArrow(_shared_buckets(crowd), note).repartition(chunks, "chunk")
     first_notes = copies.unionByName(shared).repartition(chunks, "chunk")
     contexts = by_chunk.cogroup(first_notes.groupBy("chunk")).applyInArrow(_send_contexts(length, chunks), mail)
     answers = contexts.repartition(chunks, "shard").groupBy("shard").applyInArrow(_refine(length), note)

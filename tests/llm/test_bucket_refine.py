@@ -97,3 +97,29 @@ def test_refined_buckets():
 
 def test_empty(spark):
     assert B.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("crowd,chunk_bytes,length", [(0, 20_000, 50), (3, 2000, 50), (3, 8000, 40)])
+def test_crowded_buckets_lose_the_same_bytes(spark, crowd, chunk_bytes, length):
+    rng = random.Random(crowd + chunk_bytes)
+    rows = corpus(rng, 60)
+    phrase = "a phrase that is shorter than "
+    rows += [(5000 + i, "".join(rng.choice("abc") for _ in range(rng.randrange(30))) + phrase + rng.choice(["xyz", "yx"]) * 9, None, 1, None, None)
+             for i in range(40)]
+    got = B.repeated_spans(spark.createDataFrame(rows, SCHEMA), length, texts=True, chunk_bytes=chunk_bytes, crowd=crowd).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256, bytes(r.kept)) for r in got) == brute(rows, length)
+
+
+def test_a_frequent_phrase_is_dealt_over_the_shards():
+    """Every document has its own bytes around one phrase; no shard gets a context of each."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    phrase = b"a phrase of 16 to 49 bytes in all texts"
+    texts = [bytes(rng.choices(range(97, 123), k=60)) + phrase + bytes(rng.choices(range(97, 123), k=60)) for _ in range(2000)]
+    docs, key = pa.table({"id": range(2000), "data": texts}), (pa.scalar(0, pa.int32()),)
+    sent = B._send_buckets(50, 16)(key, docs, B.NOTE.empty_table()).to_pylist()
+    notes = pa.concat_tables([B._shared_buckets(500)(None, pa.Table.from_pylist([m], schema=B.MAIL)) for m in sent])
+    size = np.zeros(16)
+    for m in B._send_contexts(50, 16)(key, docs, notes).to_pylist():
+        size[m["shard"]] += len(m["data"])
+    assert size.max() < 2 * size.mean()
