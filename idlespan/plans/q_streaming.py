@@ -118,7 +118,7 @@ STREAM_FEATURES = ["ewma", "trailing_p10", "g_lower_bound", "history"]
 def stream_model_decisions(spark, sf):
     """A model of the streamed trailing columns, fitted on the table so far, scores the stream itself."""
     table = gap_table(spark, sf)
-    fitted = fit_survival(table.rows, [A.HORIZONS[5]], STREAM_FEATURES, {"maxIter": 5, "maxDepth": 3})
+    fitted = fit_survival(table.rows, [A.HORIZONS[5]], STREAM_FEATURES)
     scored = score(table.follow(), fitted, [A.HORIZONS[5]])
     decided = S.stream_decisions(scored, "predictive", durations=D, eta_bandwidth=0.8, eta_normal=0.7)
     out = S.run_to_table(decided, new_folder(spark, "model-decisions"))

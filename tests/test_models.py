@@ -248,3 +248,20 @@ def test_severity_and_triggers(frame):
     hit = V.match_probe_window(probes, busy, ["path"]).collect()
     assert [(r.window_start_ns, round(r.merged_gbps, 2), round(r.throughput_ratio, 3)) for r in hit] == [(100, 19.38, .775)]
     assert V.cooldown(busy, 250).count() == 2
+
+
+@pytest.mark.parametrize("name", ["model_cross_pass", "model_score", "model_save_load", "model_time_series_cv", "model_stratified_kfold",
+                                  "model_learning_curve", "model_ablation", "model_single_groups", "model_evaluate_windows",
+                                  "model_safe_windows", "model_policy", "stream_model_decisions"])
+def test_registered_queries_fit_whole_models(spark, monkeypatch, name):
+    """Every fit that a query asks for has the operator's own trees; none is carried out here."""
+    import __spark_entry__ as entry
+    asked = []
+
+    def noted(train, horizons, features, estimator, parallelism):
+        trees = estimator(horizons[0], 1000)
+        asked.append((trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate()))
+        return M.HorizonModels(list(features), {}, dict.fromkeys(horizons, 0.5))
+    monkeypatch.setattr(M, "_fit_each", noted)
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked and set(asked) == {(100, 4, 0.1, 0.8)}
