@@ -25,7 +25,7 @@ from .store import parts_for, saved, whole_text
 CHUNK_BYTES = 16 << 20
 OTHER = 65535
 DENSE = 1 << 25
-QUANTILE, MARGIN, SHORT = 0.995, 0.25, 4.0
+QUANTILE, SHORT = 0.995, 4.0
 
 
 @dataclass
@@ -198,7 +198,7 @@ def thresholds(scores: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             quantile: float = QUANTILE, margin: float = MARGIN, short: float = SHORT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+             quantile: float = QUANTILE, margin: float = 0.0, short: float = SHORT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per input row: id, ``lang``, ``n_chars``, ``bits_per_char``, ``perplexity`` (per character), ``threshold``, ``accepted``.
 
     ``labels`` (``doc_id``, ``quality``, ``toxic``) names the trusted texts: quality 1, not toxic, in all its rows.  A document goes if its

@@ -85,6 +85,17 @@ def test_held_out_labels(spark):
     assert share[1] >= 0.97 and share[0] <= 0.5
 
 
+def test_the_quantile_is_the_threshold(spark):
+    """Nothing over the language's quantile stays."""
+    try:
+        docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    except Exception:
+        pytest.skip("driver tables are not here")
+    over = (F.col("n_chars") > 0) & (F.col("bits_per_char") - KN.SHORT / F.sqrt("n_chars") > F.col("threshold") + 1e-9)
+    out = KN.classify(docs, labels).filter("threshold is not null").groupBy(over.alias("over"), "accepted").count().collect()
+    assert {(r.over, r.accepted) for r in out} == {(False, True), (True, False)}
+
+
 def test_rejected_go(spark):
     rows = [(i, "some plain words and more plain words here" + " again" * (i % 5), "en", None, None, None) for i in range(40)]
     rows += [(50, "%$#@ " * 30, "en", None, None, None), (None, "%$#@ " * 30, "en", None, None, None), (51, None, "en", None, None, None)]
