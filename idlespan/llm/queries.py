@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bucket_refine, elias_fano, exact_dedup, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
+from . import bucket_refine, elias_fano, exact_dedup, fill_middle, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,22 @@ def op2_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bucket_refine.repeated_spans(table(spark, sf_dir, "documents"))
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op11_framed_fill_middle", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         k AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+                      ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+         c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+         p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+""")
+def op11_framed_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and the digest of the text rebuilt from the output."""
+    outputs = fill_middle.transform(fill_middle.framed(table(spark, sf_dir, "documents")))
+    found = fill_middle.digests(outputs)
+    return found.select(F.col("id").cast("long").alias("doc_id"), *found.columns[1:])
