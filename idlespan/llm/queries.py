@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bucket_refine, elias_fano, exact_dedup, fill_middle, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
+from . import bucket_refine, byte_cnn, elias_fano, exact_dedup, fill_middle, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op11_framed_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = fill_middle.transform(fill_middle.framed(table(spark, sf_dir, "documents")))
     found = fill_middle.digests(outputs)
     return found.select(F.col("id").cast("long").alias("doc_id"), *found.columns[1:])
+
+
+@query("op12_byte_cnn_language")
+def op12_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a byte network that has not seen the third of them held out."""
+    return byte_cnn.identify(table(spark, sf_dir, "documents"))
