@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bucket_refine, byte_cnn, elias_fano, exact_dedup, fill_middle, jump_shards, kneser_ney, license_rules, maxscore, raking, simhash, vector_fit
+from . import (bucket_refine, byte_cnn, elias_fano, exact_dedup, fill_middle, jump_shards, kneser_ney, license_rules, maxscore,
+               prefix_trie, raking, simhash, vector_fit)
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,30 @@ def op11_framed_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by a byte network that has not seen the third of them held out."""
     return byte_cnn.identify(table(spark, sf_dir, "documents"))
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"""
+
+
+@query("op13_conversation_trie", f"""
+    WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+         l AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS turns
+               FROM t GROUP BY c),
+         h AS (SELECT c, turns, xor({_CRC}, 4294967295) % 9 AS h FROM l),
+         r AS (SELECT h.c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS seq FROM h LEFT JOIN l b ON b.c = h.c - h.c % 5),
+         p AS (SELECT c, len(seq) AS n, d, md5(to_json(seq[1:d])::VARCHAR) AS node, md5(to_json(seq[1:d - 1])::VARCHAR) AS parent,
+                      CASE WHEN d > 0 THEN strlen(seq[d].text) ELSE 0 END AS bytes FROM r, unnest(range(0, len(seq) + 1)) u(d)),
+         n AS (SELECT d, node, min(c) AS conv_id, any_value(parent) AS parent, count(*) AS n_convs, any_value(bytes) AS bytes,
+                      sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY d, node),
+         k AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+         s AS (SELECT p.d, p.node, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+               FROM n LEFT JOIN k USING (d, node) JOIN p ON p.c = n.conv_id AND p.d <= n.d GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+           s.saved_tokens, n.ends_sha256
+    FROM n JOIN s USING (d, node) LEFT JOIN k USING (d, node) LEFT JOIN n u ON n.d > 0 AND u.d = n.d - 1 AND u.node = n.parent
+""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations share, with what is stored once instead of once a member."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop(*prefix_trie.WORDS)
