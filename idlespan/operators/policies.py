@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import probe_duration
-from ..scale import AUTO, resolve, running, trailing
+from ..scale import AUTO, resolve, trailing
+from .chains import greedy_chain, with_spacing
 from .intervals import overlap_amount
-from .ranking import with_spacing
 from .windows import ewma
 
 KEY = tuple(K.PATH_KEY)
@@ -39,7 +39,7 @@ def policy_none(gaps: DataFrame) -> DataFrame:
 
 
 def policy_fixed_interval(gaps: DataFrame, key: Sequence[str] = KEY, period: int = 100_000_000,
-                          minimum: bool = False) -> DataFrame:
+                          minimum: bool = False, splits=AUTO) -> DataFrame:
     """One tiny probe per path and period, in the first gap that starts in it.
 
     ``minimum=True`` asks instead for at least ``period`` between two probes of a path, which buckets cannot promise.
@@ -48,7 +48,7 @@ def policy_fixed_interval(gaps: DataFrame, key: Sequence[str] = KEY, period: int
     number is bounded by period / tolerance.
     """
     if minimum:
-        return _kind(with_spacing(gaps, period, key), F.col("chosen").cast("int") * K.PROBE_TINY).drop("chosen")
+        return _kind(with_spacing(gaps, period, key, splits=splits), F.col("chosen").cast("int") * K.PROBE_TINY).drop("chosen")
     order = Window.partitionBy(*key, F.floor(F.col("start_ns") / period)).orderBy("start_ns")
     return _kind(gaps, F.when(F.row_number().over(order) == 1, K.PROBE_TINY).otherwise(K.PROBE_NONE))
 
@@ -195,13 +195,10 @@ def outcomes(decisions: DataFrame, busy: DataFrame, key: Sequence[str] = KEY, of
 
 
 def one_per_path_at_a_time(placed: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> DataFrame:
-    """Drop a probe whose gap starts while an earlier probe of its path and policy still runs."""
-    by = ["policy", *key]
-    splits = resolve(splits, placed, "scheduled_ns", by)
-    rows = running(placed, by, ["scheduled_ns"], {"_busy_until": ("max", F.col("end_ns"))}, inclusive=False,
-                   splits=splits)
-    return rows.filter(F.col("_busy_until").isNull() | (F.col("scheduled_ns") >= F.col("_busy_until"))) \
-        .drop("_busy_until")
+    """Drop a probe whose gap starts while an earlier probe of its path and policy still runs.  Only probes that were placed run: one that
+    was dropped does not stop a later one."""
+    chain = greedy_chain(placed, ["policy", *key], "scheduled_ns", F.col("end_ns"), "_placed", splits=splits)
+    return chain.filter("_placed").drop("_placed")
 
 
 def trace_window_ns(gaps: DataFrame) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import AUTO, resolve, running
+from .chains import with_spacing
 from .intervals import look_up
-from .ranking import with_spacing
 
 
 def trigger_windows(busy: DataFrame, low_mbps: float = 800, high_mbps: float = 26_000,

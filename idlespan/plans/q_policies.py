@@ -178,14 +178,29 @@ def fit_outcomes(spark, sf):
         "policy", "path", "gap_idx", "probe_ns", "unsafe", "utilisation"), 9)
 
 
-@query("one_per_path_at_a_time", with_(PLACED, """SELECT policy, path, gap_idx FROM (SELECT *, max(end_ns) OVER (PARTITION
-BY policy, path ORDER BY gap_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM oc) WHERE until IS NULL OR
-start_ns - 1000 >= until"""))
+def _placed_one_by_one(ctes: str, of: str) -> str:
+    """Each placed probe is followed by the first whose gap starts at its end or later."""
+    return f"""WITH RECURSIVE {ctes}, c AS (SELECT policy, path, min(gap_idx) AS gap_idx FROM {of} GROUP BY ALL UNION ALL
+  SELECT c.policy, c.path, min(o.gap_idx) FROM c JOIN {of} p USING (policy, path, gap_idx) JOIN {of} o ON o.policy = c.policy
+  AND o.path = c.path AND o.gap_idx > c.gap_idx AND o.start_ns - 1000 >= p.end_ns GROUP BY c.policy, c.path)
+SELECT policy, path, gap_idx FROM c"""
+
+
+@query("one_per_path_at_a_time", _placed_one_by_one(PLACED, "oc"))
 def one_per_path_at_a_time(spark, sf):
     tl, out = placed(spark, sf)
     return P.one_per_path_at_a_time(out, PATH, splits=tl.splits).select("policy", "path", "gap_idx")
 
 
+@query("one_per_path_at_a_time_any_length", _placed_one_by_one(f"""{DEC}, an AS (SELECT policy, path, gap_idx, start_ns + 1000 AS
+  start_ns, start_ns + 1000 + {NS} AS end_ns FROM dec)""", "an"))
+def one_per_path_at_a_time_any_length(spark, sf):
+    """Probes that were not made to fit their gaps, so that many run into later gaps."""
+    tl, runs = decisions(spark, sf)
+    out = P.outcomes(P.with_probe_ns(runs, D), tl.busy, PATH, splits=tl.splits)
+    return P.one_per_path_at_a_time(out, PATH, splits=tl.splits).select("policy", "path", "gap_idx")
+
+
 # --- policy metrics ---------------------------------------------------------
 
 WINDOW_SQL = "(SELECT arg_max(end_ns, start_ns) - min(start_ns) FROM gaps)"

@@ -199,7 +199,7 @@ def test_history_snapshot(frame):
 
 
 def test_minimum_spacing(frame):
-    from idlespan.operators.ranking import with_spacing
+    from idlespan.operators.chains import with_spacing
     rnd = random.Random(9)
     rows = [(rnd.choice("abc"), rnd.randrange(0, 5000)) for _ in range(400)]
     got = with_spacing(frame(rows, "path string, start_ns long"), 100, ["path"]).filter("chosen")
