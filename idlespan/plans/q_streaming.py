@@ -50,13 +50,9 @@ def busy_table(spark, sf, path="event_type"):
     return S.run_to_table(out, new_folder(spark, "busy"))
 
 
-def streamed_gaps(spark, sf, path="event_type"):
-    """Gap stream over the growing table of closed intervals."""
-    return S.stream_gaps(busy_table(spark, sf, path).follow(), PATH)
-
-
 def gap_table(spark, sf, path="event_type"):
-    return S.run_to_table(streamed_gaps(spark, sf, path), new_folder(spark, "gaps"))
+    """Gaps over the growing table of closed intervals."""
+    return S.run_to_table(S.stream_gaps(busy_table(spark, sf, path).follow(), PATH), new_folder(spark, "gaps"))
 
 
 @query("stream_trace", with_(T, "SELECT direction, count(*) AS events, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY ALL"))
@@ -101,7 +97,7 @@ OVER w >= 10 THEN quantile_cont(duration_ns, 0.1) OVER w ELSE 0 END, 0) AS trail
 20 THEN quantile_cont(duration_ns, 0.05) OVER w ELSE 0 END, 0) AS g_lower_bound FROM gaps WINDOW w AS (PARTITION BY path
 ORDER BY gap_idx ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)"""))
 def stream_trailing(spark, sf):
-    out = S.run_to_table(S.stream_trailing(streamed_gaps(spark, sf)), new_folder(spark, "trailing"))
+    out = S.run_to_table(S.stream_trailing(gap_table(spark, sf).follow()), new_folder(spark, "trailing"))
     return out.rows.select("path", "gap_idx", "history", F.round("trailing_p10", 0).alias("trailing_p10"),
                       F.round("g_lower_bound", 0).alias("g_lower_bound"))
 
@@ -169,9 +165,9 @@ def dedup(spark, sf, path):
 
 def alarm(spark, sf, path):
     """Three readings in a row below the limit; the reading is the k of the event."""
-    t = stream_events(spark, sf, path).select("path", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
-    flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded")
-    out = S.run_to_table(S.stream_alarm(flagged, 3, PATH), new_folder(spark, "alarm"))
+    t = stream_events(spark, sf, path).select("path", "event_id", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
+    flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
+    out = S.run_to_table(S.stream_alarm(flagged, 3, PATH, tie=["event_id"]), new_folder(spark, "alarm"))
     return out.rows.select("path", "t", "streak")
 
 

@@ -3,23 +3,21 @@
 Order of stages and what each keeps between micro-batches:
 
     stream_transfers   nothing
-    stream_busy        open sessions per path (JVM state, closed by the watermark)
-    stream_gaps        per path: end of the last interval, last gap lengths, EWMA, count
+    stream_busy        intervals that can still grow (table)
+    stream_gaps        per path: end of the last interval, last gap lengths, EWMA, count (table)
     stream_rate_limit  per time window: its first probes so far
     stream_counts      per time window: totals
-    stream_alarm       per path: length of the running streak
+    stream_alarm       readings ahead of the watermark; per path: length of the running streak (tables)
 
-Closed busy intervals of a path leave ``stream_busy`` in time order, because a later session ends later, so
-the keyed state of ``stream_gaps`` never sees late input.  Python runs only on merged intervals.
+Stages meet in append-only tables.  The three with table state are ``stages.Stage``: each micro-batch is a batch job of the library's own operators,
+so one path may hold all of its rows.  They count what comes too late and keep it.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator, Sequence
-from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +25,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
 from ..functions.columns import gbps
-from ..operators.intervals import merge_sessions
+from ..operators.intervals import extract_gaps, merge_intervals
 from ..operators.policies import largest_fit
+from ..operators.windows import ewma
+from ..scale import attach, numbered, plan_splits, running, trailing
+from ..session import cut
 from ..sources.trace import EXTENDED, normalise, split_rejects, text_schema
+from .stages import Micro, Stage, State, StreamTable, delay_us, fields, run_stage
 
 KEY = tuple(K.PATH_KEY)
 TRAIL = 100
@@ -61,66 +63,106 @@ def stream_rejects(spark: SparkSession, directory: str, layout: str = EXTENDED,
     return split_rejects(stream_trace(spark, directory, layout, max_files), layout)[1]
 
 
-def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150, delay: str = "10 seconds",
-                size: str = "size") -> DataFrame:
-    """Closed busy intervals of a transfer stream with ``ts``, ``start_ns``, ``end_ns``."""
-    timed = df.filter("end_ns >= start_ns").withColumn(
-        "_us", F.ceil((F.col("end_ns") - F.col("start_ns")) / 1000).cast("long"))
-    merged = merge_sessions(timed.withWatermark("ts", delay), key, "ts", "_us", tolerance_us, size)
-    return merged.select(*key, (F.col("start_us") * 1000).alias("start_ns"),
-                         (F.col("end_us") * 1000).alias("end_ns"), "bytes_total", "event_count",
-                         gbps(F.col("bytes_total"), (F.col("end_us") - F.col("start_us")) * 1000)
-                         .alias("bandwidth_gbps"))
+def _hold_us(tolerance_us: int):
+    """When an interval can no longer touch a later one, in microseconds."""
+    return F.ceil(F.col("end_ns") / 1000).cast("long") + max(tolerance_us, 1)
 
 
-def _gap_step(key: Sequence[str], alpha: float, bound_q: float, bound_min: int, min_samples: int):
-    names = [*key, "gap_idx", "start_ns", "end_ns", "duration_ns", "history", "ewma", "trailing_p10",
-             "g_lower_bound"]
+def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150, delay: str = "10 seconds",
+                size: str = "size", layout: str | None = None) -> Stage:
+    """Closed busy intervals of a transfer stream with ``start_ns``, ``end_ns``; of raw trace text if its ``layout`` is given.
 
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_end, count, smooth, recent = state.get if state.exists else (None, 0, 0.0, [])
-        rows = pd.concat(list(parts), ignore_index=True).sort_values("start_ns")
-        start, end = rows["start_ns"].to_numpy(), rows["end_ns"].to_numpy()
-        reach = np.maximum.accumulate(np.r_[start[0] if last_end is None else last_end, end])
-        before = reach[:-1]
-        found = start > before
-        gap = (start - before)[found].astype("float64")
-        known = pd.Series(np.r_[np.asarray(recent, dtype="float64"), gap])
-        smoothed = pd.Series(np.r_[smooth, gap] if count else gap).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-
-        def trailing(q: float, least: int) -> np.ndarray:
-            seen = known.rolling(TRAIL, min_periods=least).quantile(q, interpolation="linear").shift(1)
-            return seen.fillna(0.0).to_numpy()[len(recent):]
-        total = count + len(gap)
-        if len(gap):
-            yield pd.DataFrame({
-                **dict(zip(key, group)), "gap_idx": np.arange(count, total), "start_ns": before[found],
-                "end_ns": start[found], "duration_ns": (start - before)[found],
-                "history": np.minimum(np.arange(count, total), TRAIL),
-                "ewma": smoothed[:-1] if count else np.r_[0.0, smoothed[:-1]],
-                "trailing_p10": trailing(0.10, min_samples), "g_lower_bound": trailing(bound_q, bound_min)},
-                columns=names)
-        state.update((int(reach[-1]), total, float(smoothed[-1]) if len(smoothed) else 0.0,
-                      known.tail(TRAIL).tolist()))
-    return step
-
-
-def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, key_types: Sequence[str] | None = None,
-                alpha: float = 0.1, bound_q: float = 0.05, bound_min: int = 20,
-                min_samples: int = 10) -> DataFrame:
+    A micro-batch merges its transfers with the intervals still open, by the batch operator; what the watermark has passed by the tolerance is
+    closed.  A transfer that ended so long ago when it came is late: it goes to the stage's ``late`` table.  Transfers of negative length
+    are good rows that make no interval.  Every row of a micro-batch is good, late or rejected, and the ledger counts them.
+    """
+    key = list(key)
+    names = [*key, "start_ns", "end_ns"]
+    if layout is None:
+        df = sample = df.select(*names, size)
+    else:
+        sample = normalise(split_rejects(df, layout)[0], layout)
+    opened = fields(sample, key) + ", start_ns long, end_ns long, bytes long, events long"
+
+    def parse(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+        good, rejects = split_rejects(text, layout)
+        return normalise(good, layout), rejects
+
+    def step(m: Micro) -> dict[str, DataFrame]:
+        gone = F.lit(False) if m.before is None else F.coalesce(_hold_us(tolerance_us) <= m.before, F.lit(False))
+        new = m.rows.filter(~gone & (F.col("end_ns") >= F.col("start_ns"))).select(
+            *names, F.col(size).cast("long").alias("bytes"), F.lit(1).cast("long").alias("events"))
+        both = new.unionByName(m.state["open"])
+        merged = cut(merge_intervals(both, key, tolerance=tolerance_us * 1000, size="bytes", extra=[("events", "sum", "events")]))
+        closed = F.lit(False) if m.now is None else _hold_us(tolerance_us) <= m.now
+        return {"out": merged.filter(closed).select(*names, "bytes_total", F.col("events").alias("event_count"),
+                                                    gbps(F.col("bytes_total"), F.col("end_ns") - F.col("start_ns")).alias("bandwidth_gbps")),
+                "open": merged.filter(~closed).select(*names, F.col("bytes_total").alias("bytes"), "events"),
+                "late": m.rows.filter(gone)}
+    out = fields(sample, key) + ", start_ns long, end_ns long, bytes_total long, event_count long, bandwidth_gbps double"
+    event = F.floor(F.col("start_ns") / 1000).cast("long")
+    return Stage(df, step, out, {"open": State(opened)}, event, delay_us(delay), 1000, None if layout is None else parse)
+
+
+def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, bound_q: float = 0.05, bound_min: int = 20,
+                min_samples: int = 10) -> Stage:
     """One row per gap when the next busy interval closes, with what was known before it.
 
-    State per path is bounded: one end, 100 lengths, a mean and a counter.  ``history``, ``ewma``,
-    ``trailing_p10`` and ``g_lower_bound`` describe the gaps before this one.
+    ``history``, ``ewma``, ``trailing_p10`` and ``g_lower_bound`` describe the gaps before this one.  State per path is one row: the last end, the
+    number of gaps, their mean and the last 100 lengths, which the batch operators see as rows before the new ones.  An interval that
+    ends behind the last end seen before its micro-batch adds nothing and goes to the ``late`` table; one that only starts there counts from it.
     """
-    kinds = dict(busy.dtypes)
-    heads = [f"{k} {t}" for k, t in zip(key, key_types or [kinds[k] for k in key])]
-    output = ", ".join([*heads, "gap_idx long", "start_ns long", "end_ns long", "duration_ns long", "history long",
-                        "ewma double", "trailing_p10 double", "g_lower_bound double"])
-    rows = busy.groupBy(*key).applyInPandasWithState(
-        _gap_step(key, alpha, bound_q, bound_min, min_samples), output,
-        "last_end long, count long, smooth double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
-    return rows.withColumn("ts", event_time("end_ns"))
+    key = list(key)
+    kept = fields(busy, key) + ", last_end long, gaps long, smooth double, recent array<long>"
+
+    def step(m: Micro) -> dict[str, DataFrame]:
+        splits = plan_splits(m.rows, "start_ns", key)
+        known = attach(m.rows.select(*key, "start_ns", "end_ns"), m.state["paths"].select(*key, "last_end"), key, splits)
+        known = cut(known.withColumn("late", F.coalesce(F.col("end_ns") <= F.col("last_end"), F.lit(False))))
+        fresh = known.filter("not late").select(*key, F.greatest("start_ns", "last_end").alias("start_ns"), "end_ns")
+        met = cut(m.state["paths"].join(known.select(*key).distinct(), key, "left_semi"))
+        seeds = met.select(*key, F.col("last_end").alias("start_ns"), F.col("last_end").alias("end_ns"))
+        gaps = extract_gaps(fresh.unionByName(seeds), key, splits)
+        gaps = attach(gaps, met.select(*key, F.col("gaps").alias("_gaps")), key, splits) \
+            .withColumn("gap_idx", F.col("gap_idx") + F.coalesce("_gaps", F.lit(0))).drop("_gaps")
+        gaps = cut(gaps.select(*key, "gap_idx", "start_ns", "end_ns", F.col("duration_ns").cast("long").alias("duration_ns")))
+        old = met.filter("gaps > 0")
+        mean = old.select(*key, F.lit(0).cast("long").alias("gap_idx"), F.col("smooth").alias("value"), F.lit(None).cast("long").alias("own"))
+        # EWMA goes on from its last value as if that were the first gap.
+        offset = attach(gaps, old.select(*key, F.col("gaps").alias("_gaps")), key, splits)
+        since = offset.select(*key, F.when(F.col("_gaps").isNull(), F.col("gap_idx")).otherwise(F.col("gap_idx") - F.col("_gaps") + 1).alias("gap_idx"),
+                              F.col("duration_ns").cast("double").alias("value"), F.col("gap_idx").alias("own"))
+        smooth = ewma(mean.unionByName(since), key, alpha, "value")
+        after = smooth.filter("own is not null").select(*key, F.col("own").alias("gap_idx"), F.col("ewma").alias("_after"))
+        carried = old.select(*key, (F.col("gaps") - F.size("recent")).alias("_first"), F.posexplode("recent").alias("_at", "duration_ns")) \
+            .select(*key, (F.col("_first") + F.col("_at")).alias("gap_idx"), F.lit(None).cast("long").alias("start_ns"),
+                    F.lit(None).cast("long").alias("end_ns"), "duration_ns", F.lit(None).cast("double").alias("_after"))
+        last = old.select(*key, (F.col("gaps") - 1).alias("gap_idx"), F.col("smooth").alias("_mean"))
+        rows = gaps.join(after, [*key, "gap_idx"], "left").unionByName(carried).join(last, [*key, "gap_idx"], "left") \
+            .withColumn("_after", F.coalesce("_after", "_mean")).drop("_mean")
+
+        def columns(w):
+            frame = w.rowsBetween(-TRAIL, -1)
+            n = F.count("duration_ns").over(frame)
+
+            def quantile(q: float, least: int):
+                return F.when(n >= least, F.percentile("duration_ns", q).over(frame)).otherwise(F.lit(0.0))
+            return {"history": n, "ewma": F.coalesce(F.lag("_after").over(w), F.lit(0.0)),
+                    "trailing_p10": quantile(0.10, min_samples), "g_lower_bound": quantile(bound_q, bound_min)}
+        full = cut(trailing(rows, key, "gap_idx", TRAIL, columns, splits))
+        out = full.filter("start_ns is not null").select(
+            *key, "gap_idx", "start_ns", "end_ns", "duration_ns", "history", "ewma", "trailing_p10", "g_lower_bound", event_time("end_ns").alias("ts"))
+        total = full.groupBy(*key).agg((F.max("gap_idx") + 1).alias("gaps"), F.max_by("_after", "gap_idx").alias("smooth"))
+        latest = attach(full, total.select(*key, "gaps"), key, splits).filter(F.col("gap_idx") >= F.col("gaps") - TRAIL).groupBy(*key).agg(
+            F.sort_array(F.collect_list(F.struct("gap_idx", "duration_ns"))).alias("recent"))
+        reach = fresh.unionByName(seeds).groupBy(*key).agg(F.max("end_ns").alias("last_end"))
+        paths = reach.join(total, key, "left").join(latest, key, "left").select(
+            *key, "last_end", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("smooth", F.lit(0.0)).alias("smooth"),
+            F.coalesce(F.col("recent.duration_ns"), F.array().cast("array<long>")).alias("recent"))
+        return {"out": out, "paths": paths, "late": known.filter("late").drop("late", "last_end")}
+    out = fields(busy, key) + ", gap_idx long, start_ns long, end_ns long, duration_ns long, history long, ewma double, " \
+        "trailing_p10 double, g_lower_bound double, ts timestamp"
+    return Stage(busy.select(*key, "start_ns", "end_ns"), step, out, {"paths": State(kept, tuple(key))})
 
 
 def stream_trailing(gaps: DataFrame) -> DataFrame:
@@ -202,45 +244,41 @@ def stream_dedup(gaps: DataFrame, key: Sequence[str] = KEY, delay: str = "10 sec
     return gaps.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "start_ns", "end_ns"])
 
 
-def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id",)) -> DataFrame:
-    """An alarm row each time the ``n``-th degraded reading in a row of a path arrives."""
-    kinds = dict(readings.dtypes)
-    output = ", ".join([*[f"{k} {kinds[k]}" for k in key], "t double", "streak long"])
+def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id",), delay: str = "0 seconds", tie: Sequence[str] = ()) -> Stage:
+    """An alarm row for the ``n``-th degraded reading in a row of a path, in order of ``t`` (seconds) whatever the order of arrival.
 
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carried = state.get[0] if state.exists else 0
-        rows = pd.concat([p[["t", "is_degraded"]] for p in parts], ignore_index=True).sort_values("t", kind="stable")
-        low, at = rows["is_degraded"].to_numpy(dtype=bool), np.arange(len(rows))
-        last_good = np.maximum.accumulate(np.where(low, -1, at))
-        streak = np.where(last_good < 0, at + 1 + carried, at - last_good)
-        state.update((int(streak[-1]),))
-        raised = rows["t"].to_numpy()[low & (streak == n)]
-        if len(raised):
-            yield pd.DataFrame({**dict(zip(key, group)), "t": raised, "streak": n}, columns=[*key, "t", "streak"])
-    return readings.groupBy(*key).applyInPandasWithState(step, output, "streak long", "append",
-                                                         GroupStateTimeout.NoTimeout)
-
-
-class StreamTable(NamedTuple):
-    """A Parquet folder that one query appends to and others read, as a batch or as a stream."""
-    folder: str
-    rows: DataFrame
-
-    def follow(self) -> DataFrame:
-        """The table as a stream whose micro-batch is all that its producer has finished since the last.
-
-        The files of one producer batch are dealt by path and each spans the batch's whole time range.  Cutting them by a file count
-        would move the watermark to the end of that range after the first few and make the rest late, so there is no such cap:
-        the producer's own batches bound the consumer's, and they come in the order of its watermark.
-        """
-        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(f"{self.folder}/out")
-
-
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> StreamTable:
+    Readings wait until the watermark (the latest ``t`` less ``delay``) has reached them and are then judged in order, after those judged
+    before.  A reading that comes behind the watermark is late and goes to the ``late`` table.  Readings of one time go in the order of ``tie``.
+    """
+    key = list(key)
+    names = [*key, "t", "is_degraded", *tie]
+    at = F.round(F.col("t") * 1e6).cast("long")
+
+    def step(m: Micro) -> dict[str, DataFrame]:
+        gone = F.lit(False) if m.before is None else F.coalesce(at <= m.before, F.lit(False))
+        held = cut(m.rows.filter(~gone).select(*names).unionByName(m.state["waiting"]))
+        due = F.lit(False) if m.now is None else at <= m.now
+        ready = held.filter(due)
+        splits = plan_splits(ready, "t", key)
+        rows = cut(numbered(ready, key, ["t", *tie], "_at", splits))
+        rows = running(rows, key, ["_at"], {"_good": ("max", F.when(~F.col("is_degraded"), F.col("_at")))}, splits=plan_splits(rows, "_at", key))
+        rows = attach(rows, m.state["streaks"].withColumnRenamed("streak", "_before"), key, splits, "t")
+        streak = F.when(F.col("_good").isNull(), F.col("_at") + 1 + F.coalesce("_before", F.lit(0))).otherwise(F.col("_at") - F.col("_good"))
+        rows = cut(rows.withColumn("streak", streak))
+        return {"out": rows.filter((F.col("streak") == n) & F.col("is_degraded")).select(*key, "t", "streak"),
+                "waiting": held.filter(~due), "late": m.rows.filter(gone).select(*names),
+                "streaks": rows.groupBy(*key).agg(F.max_by("streak", "_at").alias("streak"))}
+    states = {"waiting": State(fields(readings, names)), "streaks": State(fields(readings, key) + ", streak long", tuple(key))}
+    return Stage(readings.select(*names), step, fields(readings, key) + ", t double, streak long", states, at, delay_us(delay))
+
+
+def run_to_table(stream: DataFrame | Stage, folder: str, mode: str = "append") -> StreamTable:
     """Process what is there and append it below ``folder`` on shared storage.
 
     The table is the boundary between two stages: each query keeps one kind of state and restarts on its own.
     """
+    if isinstance(stream, Stage):
+        return run_stage(stream, folder)
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out")
              .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     query.awaitTermination()
