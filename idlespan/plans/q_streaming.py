@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import flag_degraded
 from ..operators.models import fit_survival, score
-from ..sources.trace import write_trace_csv
+from ..sources.trace import EXTENDED, trace_csv_rows, write_trace_csv
 from ..streaming import live as S
 from . import adapter as A
 from .q_policies import D
@@ -44,6 +44,26 @@ def stream_events(spark, sf, path="event_type"):
     return A.as_transfers(raw, path)
 
 
+SLICE_SQL = f"""sl AS (SELECT *, start_ns // 1000 AS us, (start_ns // 1000 - lo) * {SLICES} // (hi - lo + 1) AS slice FROM t,
+  (SELECT min(start_ns) // 1000 AS lo, max(start_ns) // 1000 AS hi FROM t))"""
+
+
+def with_slice(rows):
+    """Which of ``SLICES`` equal parts of the time a row starts in."""
+    us = F.floor(F.col("start_ns") / 1000)
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()
+    return rows.withColumn("slice", F.floor((us - lo) * SLICES / (hi - lo + 1)).cast("int"))
+
+
+def stream_slices(spark, sf, order=range(SLICES)):
+    """The events as one path, a slice of time per file and micro-batch, delivered in the given order of slices."""
+    rows = with_slice(A.transfers(spark, sf).withColumn("path", F.lit("all")))
+    folder = new_folder(spark, "slices")
+    for i in order:                                                    # files are followed in the order they were written
+        rows.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def busy_table(spark, sf, path="event_type"):
     """Closed busy intervals, streamed to a table."""
     out = S.stream_busy(stream_events(spark, sf, path), PATH, TOL_US, DELAY)
@@ -177,3 +197,64 @@ for _name, _job, _one, _many in (("stream_rate_limit", rate_limit, with_(DECIDED
                                  ("stream_alarm", alarm, with_(T, ALARM), with_(TU, ALARM))):
     query(_name, _one)(partial(_job, path="event_type"))
     query(f"{_name}_many_paths", _many)(partial(_job, path="user_id"))
+
+
+# --- what comes late, and one path that holds everything ---------------------------------------------------------------------
+
+LEDGER_SQL = with_(T, f""", {SLICE_SQL}, r AS (SELECT *, k % 7 = 0 AS broken, event_id % 97 = 0 AND slice < {SLICES - 1} AS planted FROM sl),
+w AS (SELECT max(us) // 1000 * 1000 - 10000000 AS mark FROM r WHERE NOT broken AND NOT planted AND slice < {SLICES - 1}),
+l AS (SELECT *, CASE WHEN broken THEN 'rejected' WHEN planted AND end_ns // 1000 + {TOL_US} <= mark THEN 'late' ELSE 'good' END AS kind FROM r, w)
+SELECT kind, count(*) AS events FROM l GROUP BY kind UNION ALL SELECT 'read', count(*) FROM l""")
+NODES = ["src_dev", "dst_dev", "src_numa", "dst_numa"]
+
+
+@query("stream_late_ledger", LEDGER_SQL)
+def stream_late_ledger(spark, sf):
+    """Trace files in four slices of time.  Every seventh row is broken, and every 97th comes with the last file: what the watermark
+    has passed is late.  Good, late and rejected rows add up to the rows read."""
+    rows = with_slice(extended_rows(spark, sf))
+    planted = (F.col("event_id") % 97 == 0) & (F.col("slice") < SLICES - 1)
+    folder = new_folder(spark, "late-trace")
+    for i in range(SLICES):
+        part = rows.filter(((F.col("slice") == i) & ~planted) | (planted & F.lit(i == SLICES - 1)))
+        broken = trace_csv_rows(part.filter("k % 7 = 0"))
+        text = trace_csv_rows(part.filter("k % 7 <> 0")).unionByName(broken.withColumn("size_mb", F.concat(F.lit("x"), "size_mb")))
+        text.coalesce(1).write.mode("append").option("header", True).csv(folder)
+    stage = S.stream_busy(S.stream_trace(spark, folder, EXTENDED, 1), NODES, TOL_US, DELAY, layout=EXTENDED)
+    kinds = {"good": "good", "late": "late", "rejected": "rejected", "read": "rows_in"}
+    sums = S.run_to_table(stage, new_folder(spark, "late-busy")).ledger().agg(*[F.sum(c).alias(k) for k, c in kinds.items()])
+    return sums.unpivot([], list(kinds), "kind", "events").filter("events > 0")
+
+
+ONE = f"{T.replace('event_type AS path', chr(39) + 'all' + chr(39) + ' AS path')}, {merged()}, {OPEN_CUT}"
+PART = 1500
+
+
+def one_path_busy(spark, sf):
+    stage = S.stream_busy(stream_slices(spark, sf), PATH, TOL_US, DELAY, most_rows=PART)
+    return S.run_to_table(stage, new_folder(spark, "one-busy"))
+
+
+@query("stream_busy_one_path", with_(ONE, "SELECT path, start_ns, end_ns, bytes_total, event_count FROM closed"))
+def stream_busy_one_path(spark, sf):
+    """All events on one path over several micro-batches, each merged in segments of about 1 500 rows."""
+    return one_path_busy(spark, sf).rows.select("path", "start_ns", "end_ns", "bytes_total", "event_count")
+
+
+@query("stream_gaps_one_path", with_(f"{ONE}, {gapped(busy='closed')}", """SELECT path, gap_idx, start_ns, end_ns, duration_ns, count(*)
+OVER w AS history, round(CASE WHEN count(*) OVER w >= 10 THEN quantile_cont(duration_ns, 0.1) OVER w ELSE 0 END, 0) AS trailing_p10
+FROM gaps WINDOW w AS (PARTITION BY path ORDER BY gap_idx ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)"""))
+def stream_gaps_one_path(spark, sf):
+    stage = S.stream_gaps(one_path_busy(spark, sf).follow(), PATH, most_rows=PART)
+    rows = S.run_to_table(stage, new_folder(spark, "one-gaps")).rows
+    return rows.select("path", "gap_idx", "start_ns", "end_ns", "duration_ns", "history", F.round("trailing_p10", 0).alias("trailing_p10"))
+
+
+@query("stream_alarm_shuffled", with_(T.replace("event_type AS path", "'all' AS path"), f"""{ALARM.rstrip()} AND
+t * 1e6 <= (SELECT max(t) * 1e6 - 16 * 86400000000 FROM s)"""))
+def stream_alarm_shuffled(spark, sf):
+    """Slices arrive out of order, and the alarms are those of the order of time, as far as the watermark has come."""
+    t = stream_slices(spark, sf, (1, 0, 3, 2)).select("path", "event_id", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
+    flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
+    stage = S.stream_alarm(flagged, 3, PATH, "16 days", ["event_id"], PART)
+    return S.run_to_table(stage, new_folder(spark, "shuffled-alarm")).rows.select("path", "t", "streak")

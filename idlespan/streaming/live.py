@@ -28,7 +28,7 @@ from ..functions.columns import gbps
 from ..operators.intervals import extract_gaps, merge_intervals
 from ..operators.policies import largest_fit
 from ..operators.windows import ewma
-from ..scale import attach, numbered, plan_splits, running, trailing
+from ..scale import TARGET_ROWS, attach, numbered, plan_splits, running, trailing
 from ..session import cut
 from ..sources.trace import EXTENDED, normalise, split_rejects, text_schema
 from .stages import Micro, Stage, State, StreamTable, delay_us, fields, run_stage
@@ -69,12 +69,13 @@ def _hold_us(tolerance_us: int):
 
 
 def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150, delay: str = "10 seconds",
-                size: str = "size", layout: str | None = None) -> Stage:
+                size: str = "size", layout: str | None = None, most_rows: int = TARGET_ROWS) -> Stage:
     """Closed busy intervals of a transfer stream with ``start_ns``, ``end_ns``; of raw trace text if its ``layout`` is given.
 
     A micro-batch merges its transfers with the intervals still open, by the batch operator; what the watermark has passed by the tolerance is
     closed.  A transfer that ended so long ago when it came is late: it goes to the stage's ``late`` table.  Transfers of negative length
-    are good rows that make no interval.  Every row of a micro-batch is good, late or rejected, and the ledger counts them.
+    are good rows that make no interval.  Every row of a micro-batch is good, late or rejected, and the ledger counts them.  A path with over
+    ``most_rows`` rows in a micro-batch is merged in segments of time.
     """
     key = list(key)
     names = [*key, "start_ns", "end_ns"]
@@ -93,7 +94,8 @@ def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150
         new = m.rows.filter(~gone & (F.col("end_ns") >= F.col("start_ns"))).select(
             *names, F.col(size).cast("long").alias("bytes"), F.lit(1).cast("long").alias("events"))
         both = new.unionByName(m.state["open"])
-        merged = cut(merge_intervals(both, key, tolerance=tolerance_us * 1000, size="bytes", extra=[("events", "sum", "events")]))
+        merged = cut(merge_intervals(both, key, tolerance=tolerance_us * 1000, size="bytes", extra=[("events", "sum", "events")],
+                                     splits=plan_splits(both, "start_ns", key, most_rows)))
         closed = F.lit(False) if m.now is None else _hold_us(tolerance_us) <= m.now
         return {"out": merged.filter(closed).select(*names, "bytes_total", F.col("events").alias("event_count"),
                                                     gbps(F.col("bytes_total"), F.col("end_ns") - F.col("start_ns")).alias("bandwidth_gbps")),
@@ -105,7 +107,7 @@ def stream_busy(df: DataFrame, key: Sequence[str] = KEY, tolerance_us: int = 150
 
 
 def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, bound_q: float = 0.05, bound_min: int = 20,
-                min_samples: int = 10) -> Stage:
+                min_samples: int = 10, most_rows: int = TARGET_ROWS) -> Stage:
     """One row per gap when the next busy interval closes, with what was known before it.
 
     ``history``, ``ewma``, ``trailing_p10`` and ``g_lower_bound`` describe the gaps before this one.  State per path is one row: the last end, the
@@ -116,7 +118,7 @@ def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, b
     kept = fields(busy, key) + ", last_end long, gaps long, smooth double, recent array<long>"
 
     def step(m: Micro) -> dict[str, DataFrame]:
-        splits = plan_splits(m.rows, "start_ns", key)
+        splits = plan_splits(m.rows, "start_ns", key, most_rows)
         known = attach(m.rows.select(*key, "start_ns", "end_ns"), m.state["paths"].select(*key, "last_end"), key, splits)
         known = cut(known.withColumn("late", F.coalesce(F.col("end_ns") <= F.col("last_end"), F.lit(False))))
         fresh = known.filter("not late").select(*key, F.greatest("start_ns", "last_end").alias("start_ns"), "end_ns")
@@ -244,7 +246,8 @@ def stream_dedup(gaps: DataFrame, key: Sequence[str] = KEY, delay: str = "10 sec
     return gaps.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*key, "start_ns", "end_ns"])
 
 
-def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id",), delay: str = "0 seconds", tie: Sequence[str] = ()) -> Stage:
+def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id",), delay: str = "0 seconds", tie: Sequence[str] = (),
+                 most_rows: int = TARGET_ROWS) -> Stage:
     """An alarm row for the ``n``-th degraded reading in a row of a path, in order of ``t`` (seconds) whatever the order of arrival.
 
     Readings wait until the watermark (the latest ``t`` less ``delay``) has reached them and are then judged in order, after those judged
@@ -259,9 +262,9 @@ def stream_alarm(readings: DataFrame, n: int = 2, key: Sequence[str] = ("path_id
         held = cut(m.rows.filter(~gone).select(*names).unionByName(m.state["waiting"]))
         due = F.lit(False) if m.now is None else at <= m.now
         ready = held.filter(due)
-        splits = plan_splits(ready, "t", key)
+        splits = plan_splits(ready, "t", key, most_rows)
         rows = cut(numbered(ready, key, ["t", *tie], "_at", splits))
-        rows = running(rows, key, ["_at"], {"_good": ("max", F.when(~F.col("is_degraded"), F.col("_at")))}, splits=plan_splits(rows, "_at", key))
+        rows = running(rows, key, ["_at"], {"_good": ("max", F.when(~F.col("is_degraded"), F.col("_at")))}, splits=plan_splits(rows, "_at", key, most_rows))
         rows = attach(rows, m.state["streaks"].withColumnRenamed("streak", "_before"), key, splits, "t")
         streak = F.when(F.col("_good").isNull(), F.col("_at") + 1 + F.coalesce("_before", F.lit(0))).otherwise(F.col("_at") - F.col("_good"))
         rows = cut(rows.withColumn("streak", streak))

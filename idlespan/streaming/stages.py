@@ -41,7 +41,7 @@ class State(NamedTuple):
 
 
 class Micro(NamedTuple):
-    """What a step is given."""
+    """What a step is given: new rows, states, and the watermark before and after them."""
     rows: DataFrame
     state: dict[str, DataFrame]
     before: int | None
