@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import gbps, with_gap_duration
-from ..scale import AUTO, attach, numbered, resolve, running
+from ..scale import AUTO, SEG, TARGET_ROWS, attach, carried, numbered, resolve, running, with_segment
+from ..session import cut
 
 KEY = tuple(K.PATH_KEY)
+CROWD = 2
 
 
 def merge_intervals(df: DataFrame, key: Sequence[str] = KEY, t0: str = "start_ns", t1: str = "end_ns",
@@ -19,8 +21,8 @@ def merge_intervals(df: DataFrame, key: Sequence[str] = KEY, t0: str = "start_ns
                     extra: Sequence[Column] = ()) -> DataFrame:
     """Union of the intervals of a key whose distance is at most ``tolerance`` (inclusive).
 
-    One exchange on ``key``: both windows and the final aggregate share it.  With splits, copies of one
-    start are combined first, then the same two running aggregates go over bounded segments.
+    One exchange on ``key``: both windows and the final aggregate share it.  With splits, bounded segments
+    are merged side by side and joined at their edges; copies of a start that crowd a segment are combined first.
     ``extra`` are aggregates of input columns to add; with splits they are computed in two steps and so
     must be named min, max or sum aggregates of the same column (see ``merge_overlaps``).
     """
@@ -33,13 +35,11 @@ def merge_intervals(df: DataFrame, key: Sequence[str] = KEY, t0: str = "start_ns
     combine = {"min": F.min, "max": F.max, "sum": F.sum}
     further = [combine[how](n).alias(n) for n, how, _ in extra]
     if splits is not None:
-        valid = valid.groupBy(*key, "_t0").agg(
-            F.max("_t1").alias("_t1"), F.sum("_bytes").alias("_bytes"),
-            F.sum("_events").alias("_events"), *further)
-    reach = running(valid, key, ["_t0"], {"_reach": ("max", F.col("_t1"))}, inclusive=False, splits=splits)
-    opens = F.col("_reach").isNull() | (F.col("_t0") > F.col("_reach") + F.lit(tolerance))
-    runs = running(reach.withColumn("_open", F.when(opens, F.col("_t0"))), key, ["_t0"],
-                   {"_run": ("max", F.col("_open"))}, splits=splits)
+        runs = _merge_in_segments(valid, key, tolerance, splits, [F.sum("_bytes").alias("_bytes"), F.sum("_events").alias("_events"), *further])
+    else:
+        reach = running(valid, key, ["_t0"], {"_reach": ("max", F.col("_t1"))}, inclusive=False)
+        opens = F.col("_reach").isNull() | (F.col("_t0") > F.col("_reach") + F.lit(tolerance))
+        runs = running(reach.withColumn("_open", F.when(opens, F.col("_t0"))), key, ["_t0"], {"_run": ("max", F.col("_open"))})
     return (runs.groupBy(*key, "_run").agg(
         F.max("_t1").alias("end_ns"), F.sum("_bytes").alias("bytes_total"),
         F.sum("_events").alias("event_count"), *further)
@@ -47,6 +47,28 @@ def merge_intervals(df: DataFrame, key: Sequence[str] = KEY, t0: str = "start_ns
                 (F.col("event_count") > 1).alias("merged"), *extra_names))
 
 
+def _merge_in_segments(rows: DataFrame, key: list[str], tolerance: int, splits, sums: Sequence[Column]) -> DataFrame:
+    """Rows (``_run``, ``_t1`` and sums) that add up to the merged intervals, from one cut of the lineage.
+
+    One pass over each segment knows the furthest end before it, and merges what it can: at most one row of a segment, the one that has not
+    seen an interval open, goes on with the last interval opened before it.
+    """
+    base = cut(with_segment(rows, "_t0", splits))
+    tops = cut(base.groupBy(*key, SEG).agg(F.max("_t1").alias("end"), F.count(F.lit(1)).alias("n")))
+    if not tops.filter(F.col("n") > CROWD * TARGET_ROWS).isEmpty():
+        # Cut points cannot part rows of one start: its copies are combined before anything is ordered.
+        base = cut(base.groupBy(*key, SEG, "_t0").agg(F.max("_t1").alias("_t1"), *sums))
+    ends = carried(tops, key, {"end": "max"})
+    order = Window.partitionBy(*key, SEG).orderBy("_t0")
+    reach = F.greatest(F.max("_t1").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry_end"))
+    met = base.join(ends, [*key, SEG]).withColumn("_reach", reach)
+    opens = F.col("_reach").isNull() | (F.col("_t0") > F.col("_reach") + F.lit(tolerance))
+    met = met.withColumn("_run", F.max(F.when(opens, F.col("_t0"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = met.groupBy(*key, SEG, "_run").agg(F.max("_t1").alias("_t1"), *sums)
+    last = carried(part.groupBy(*key, SEG).agg(F.max("_run").alias("run")), key, {"run": "max"})
+    return part.join(last, [*key, SEG]).withColumn("_run", F.coalesce("_run", "_carry_run"))
+
+
 def merge_intervals_probe_aware(df: DataFrame, key: Sequence[str] = KEY, min_probe: int = K.MIN_PROBE_NS,
                                 margin: int = K.SAFETY_MARGIN_NS, **kw) -> DataFrame:
     """Merge over every gap that is too short for the smallest probe plus its margin."""
@@ -94,11 +116,26 @@ def extract_gaps(busy: DataFrame, key: Sequence[str] = KEY, splits=AUTO) -> Data
     """
     key = list(key)
     splits = resolve(splits, busy, "start_ns", key)
-    before = running(busy.select(*key, "start_ns", "end_ns"), key, ["start_ns"],
-                     {"_prev": ("max", F.col("end_ns"))}, inclusive=False, splits=splits)
-    gaps = before.filter(F.col("start_ns") > F.col("_prev")).select(
-        *key, F.col("_prev").alias("start_ns"), F.col("start_ns").alias("end_ns"))
-    return with_gap_duration(numbered(gaps, key, ["start_ns"], "gap_idx", splits))
+    spans = busy.select(*key, "start_ns", "end_ns")
+    if splits is None:
+        before = running(spans, key, ["start_ns"], {"_prev": ("max", F.col("end_ns"))}, inclusive=False)
+        return with_gap_duration(numbered(_between(before, key), key, ["start_ns"], "gap_idx"))
+    # One cut: ends are carried over segments first, then the number of gaps found with them.
+    base = cut(with_segment(spans, "start_ns", splits))
+    ends = carried(base.groupBy(*key, SEG).agg(F.max("end_ns").alias("end")), key, {"end": "max"})
+    order = Window.partitionBy(*key, SEG).orderBy("start_ns")
+    reach = F.greatest(F.max("end_ns").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry_end"))
+    gaps = _between(base.join(ends, [*key, SEG]).withColumn("_prev", reach), [*key, SEG])
+    local = gaps.withColumn("_at", F.row_number().over(order))
+    counts = carried(gaps.groupBy(*key, SEG).agg(F.count(F.lit(1)).alias("n")), key, {"n": "sum"})
+    return with_gap_duration(local.join(counts, [*key, SEG]).select(
+        *key, "start_ns", "end_ns", (F.col("_at") - 1 + F.coalesce("_carry_n", F.lit(0))).alias("gap_idx")))
+
+
+def _between(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Idle time before every interval that starts after all before it have ended (``_prev``)."""
+    return rows.filter(F.col("start_ns") > F.col("_prev")).select(
+        *kept, F.col("_prev").alias("start_ns"), F.col("start_ns").alias("end_ns"))
 
 
 def build_timeline(df: DataFrame, key: Sequence[str] = KEY, min_probe: int = K.MIN_PROBE_NS,

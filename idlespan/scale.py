@@ -81,6 +81,13 @@ def _combine(how: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def carried(per_segment: DataFrame, key: Sequence[str], hows: dict[str, str], reverse: bool = False) -> DataFrame:
+    """Per (key, segment) what the segments before it add up to: ``_carry_<name>`` of each named column, null where there is none before."""
+    before = (Window.partitionBy(*key).orderBy(F.col(SEG).desc() if reverse else F.col(SEG).asc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return per_segment.select(*key, SEG, *[_LOCAL[how](F.col(n)).over(before).alias(f"_carry_{n}") for n, how in hows.items()])
+
+
 def running(df: DataFrame, key: Sequence[str], order: Sequence[str], out: dict[str, tuple[str, Column]],
             inclusive: bool = True, reverse: bool = False, splits: Splits | None = None,
             totals: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
