@@ -5,16 +5,22 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 END_ID = 0
 #: The characters with the Unicode property White_Space, which the tokenizers' patterns call \\s.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Latin letters, and marks behind which neither vocabulary's pattern looks back.
+LETTERS, STOPS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?|"
+#: A run of Latin letters that such a mark or the end of a word follows is a token group of its own in both vocabularies.
+RUN = f"[{LETTERS}]+(?=[{STOPS}{WHITE_SPACE}]|\\Z)"
 #: A text cut where no token of the byte-level pattern can reach across: a word takes one space before it.
-WITH_SPACE = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
+WITH_SPACE = re.compile(f" ?{RUN}| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 #: For tokenizers that drop white space.
-WITHOUT_SPACE = re.compile(f"[^{WHITE_SPACE}]+")
+WITHOUT_SPACE = re.compile(f"{RUN}|[^{WHITE_SPACE}]+")
+PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 MEMORY_WORDS = 800_000
 LONGEST_REMEMBERED = 40
 TOGETHER = 64
@@ -23,9 +29,10 @@ TOGETHER = 64
 class Encoder:
     """Encodes texts with the tokenizers library, each different word of a batch once.
 
-    Tokens never reach across white space in either vocabulary, so the ids of a text are the ids of its pieces one after the
-    other (tests compare with encoding whole texts).  The first ``memory`` different words a worker meets keep their ids; they hold
-    the frequent ones, and the memory is bounded.  The strings of special tokens in a text are ordinary text.
+    Tokens never reach across white space in either vocabulary, nor from a run of letters to a comma or stop behind it, so the ids of a text are
+    the ids of its pieces one after the other (tests compare with encoding whole texts).  The first ``memory`` different pieces a
+    worker meets keep their ids; they hold the frequent ones, and the memory is bounded.  The strings of special tokens in a
+    text are ordinary text.
     """
 
     def __init__(self, path: str, keeps_space: bool, memory: int = MEMORY_WORDS):
@@ -36,44 +43,53 @@ class Encoder:
         self.pieces = (WITH_SPACE if keeps_space else WITHOUT_SPACE).findall
         self.known: dict[str, bytes] = {}
         self.memory = memory
-        self.n_bytes = None
-        if keeps_space:                                                    # byte-level: a character of a token is a byte of text
-            vocabulary = self.tokenizer.get_vocab()
-            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            for token, i in vocabulary.items():
-                self.n_bytes[i] = len(token)
+        self.keeps_space = keeps_space
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)    # byte-level: a character of a token is a byte of text
+        self.ends = np.zeros(len(self.n_bytes), bool)                      # words: a token that ends one
+        for token, i in vocabulary.items():
+            self.n_bytes[i], self.ends[i] = len(token), token.endswith("</w>")
+
+    def _side_by_side(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that can stand side by side, ``TOGETHER`` at a time; the ids are cut where a word ends."""
+        between = "" if self.keeps_space else " "
+        lines = [between.join(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        if self.keeps_space:
+            ends = np.cumsum([len(w.encode("utf-8")) for w in words])
+            last = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends)
+        else:
+            last = np.flatnonzero(self.ends[ids])
+        cut, data = (4 * (last + 1)).tolist(), ids.tobytes()
+        return dict(zip(words, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut))))
 
     def _ids_of(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of different pieces.  Words with a space before them can stand side by side, so they are encoded ``TOGETHER`` at a time
-        and the ids are cut where the bytes of a word end."""
-        together = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "] if self.n_bytes is not None else []
-        found = {}
-        if together:
-            lines = ["".join(together[i:i + TOGETHER]) for i in range(0, len(together), TOGETHER)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.cumsum([len(w.encode("utf-8")) for w in together])
-            cut = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()
-            data = ids.tobytes()
-            found = dict(zip(together, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut))))
-            words = [w for w in words if w not in found]
-        found.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in
-                                 self.tokenizer.encode_batch_fast(words, add_special_tokens=False))))
+        """Ids of different pieces."""
+        if self.keeps_space:
+            together = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "]
+            found = self._side_by_side(together) if together else {}
+        else:                                                              # this vocabulary lower-cases: each word once
+            lower = {w: w.lower() for w in words if PLAIN(w)}
+            together = self._side_by_side(list(dict.fromkeys(lower.values()))) if lower else {}
+            found = {w: together[v] for w, v in lower.items()}
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in
+                                self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text (null: empty) with the end id behind them, as unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        fresh = list({w for words in cut for w in words if w not in known})
-        ids = self._ids_of(fresh)
-        look = known
-        if ids:
-            room = self.memory - len(known)
-            if room > 0:
-                known.update((w, i) for w, i in list(ids.items())[:room] if len(w) <= LONGEST_REMEMBERED)
-            look = _Either(known, ids)
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(look.__getitem__, words), end]), "<u4") for words in cut]
+        """Ids of every text (null: empty) with the end id behind them, as unsigned 32-bit integers.  Equal texts are encoded once."""
+        known, end = self.known, np.array([END_ID], "<u4").tobytes()
+        cut = {t: self.pieces(t) if t else [] for t in dict.fromkeys(texts)}
+        fresh = list(set(chain.from_iterable(cut.values())).difference(known))
+        known.update(self._ids_of(fresh))
+        made = {t: np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") for t, words in cut.items()}
+        for w in fresh:
+            if len(w) > LONGEST_REMEMBERED:
+                del known[w]
+        while len(known) > self.memory:
+            known.popitem()                                                # the newest first
+        return [made[t] for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -82,17 +98,6 @@ def shared_encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-class _Either(dict):
-    """Words of this batch first, remembered words otherwise."""
-
-    def __init__(self, known: dict[str, bytes], own: dict[str, bytes]):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
-
-
 def batches_of(texts: list[str | None], chars: int = 3 << 20):
     """Ranges of ``texts`` with about ``chars`` characters each."""
     start = held = 0
