@@ -22,7 +22,6 @@ from .store import parts_for, saved
 from .tokens import batches_of, shared_encoder
 
 TOKENS = 2048
-DOCUMENTS = 1024
 WEIGHTS = (1.0, 0.05, 0.05)
 BLOCK_PIECES = 8192
 
@@ -79,13 +78,16 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     return at, offset
 
 
-def pack(items: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int | None = None,
+def pack(items: DataFrame, tokens: int = TOKENS, documents: int | None = None, attention: int | None = None,
          weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", block: int = BLOCK_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``id``, ``piece``, ``length``.
 
-    ``attention`` defaults to tokens squared, the cost of one document that fills a sequence.  Repeated rows are pieces of their own.
+    ``documents`` and ``attention`` (the sum of squared lengths) bind where they are given.  By default they are as many documents as a sequence has
+    tokens, and the attention of one document that fills it: a sequence within its tokens is within both, and they only decide between
+    sequences.  Lower ones need more sequences.  Of equal scores the sequence that comes first among the open ones is taken.
+    Repeated rows are pieces of their own.
     """
-    attention = attention or tokens * tokens
+    documents, attention = documents or tokens, attention or tokens * tokens
     blocks = parts_for(items.count(), block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
