@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import ascii_lower, saved, whole_text
+from .store import ascii_lower, saved, unused, whole_text
 
 SALTS = 32
 
@@ -64,12 +64,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows repeated with the same id and an equal text leave one row.
     """
     digest = options.get("digest", sha256)(options.get("normalise", ascii_lower)(whole_text(text_col)))
-    keepers = saved(duplicate_groups(docs, id_col, text_col, **options).filter("kept")
-                    .groupBy(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-                    .agg(F.count(F.lit(1)).alias("_copies")), "keepers")
-    marked = docs.withColumns({"_row_id": F.col(id_col), "_row_digest": digest})
-    kept = marked.join(keepers, F.col("_row_id").eqNullSafe(F.col("_keep_id")) & (F.col("_row_digest") == F.col("_keep_digest")))
-    if not keepers.filter("_copies > 1").isEmpty():            # only rows that repeat an id with its text meet again
-        again = kept.filter("_copies > 1").dropDuplicates(["_row_id", "_row_digest"])
-        kept = kept.filter("_copies = 1").unionByName(again)
+    row_id, row_digest, keep_id, keep_digest, copies = (unused(docs, c) for c in ("row_id", "row_digest", "keep_id", "keep_digest", "copies"))
+    found = duplicate_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias(keep_id), F.col("digest").alias(keep_digest))
+    keepers = saved(found.groupBy(keep_id, keep_digest).agg(F.count(F.lit(1)).alias(copies)), "keepers")
+    marked = docs.withColumns({row_id: F.col(id_col), row_digest: digest})
+    kept = marked.join(keepers, F.col(row_id).eqNullSafe(F.col(keep_id)) & (F.col(row_digest) == F.col(keep_digest)))
+    if not keepers.filter(F.col(copies) > 1).isEmpty():        # only rows that repeat an id with its text meet again
+        again = kept.filter(F.col(copies) > 1).dropDuplicates([row_id, row_digest])
+        kept = kept.filter(F.col(copies) == 1).unionByName(again)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

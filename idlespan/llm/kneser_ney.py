@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import parts_for, saved, whole_text
+from .store import parts_for, saved, whole_text, without_ids
 
 CHUNK_BYTES = 16 << 20
 OTHER = 65535
@@ -223,5 +223,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rejected ones; a row with a null id stays, rows that repeat an id go together if one of them is rejected."""
-    gone = classify(docs, labels, id_col, **options).filter(~F.col("accepted")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, classify(docs, labels, id_col, **options).filter(~F.col("accepted")).select(id_col))

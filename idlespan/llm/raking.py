@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import ascii_lower, saved, whole_text
+from .store import ascii_lower, saved, whole_text, without_ids
 
 PASSES, PER_PLAN = 20, 5
 SEED = 42
@@ -124,6 +124,5 @@ def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] | None =
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The selected rows of ``docs``, columns as they came.  Rows with one id stay or go together."""
-    gone = mixed(docs, id_col=id_col, **options).filter("not selected").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """The selected rows of ``docs``, columns as they came.  Rows with one id stay or go together, null ids among themselves too."""
+    return without_ids(docs, id_col, mixed(docs, id_col=id_col, **options).filter("not selected").select(id_col), nulls=True)

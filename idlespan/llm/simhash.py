@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import saved
+from .store import saved, without_ids
 
 SEED = 42
 CELL = 2048
@@ -490,5 +490,4 @@ def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = saved(components(edges), "near-labels")
     missed = missed_links(own, linked, words, similarity, cell)
     linked = components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(missed))
-    gone = linked.filter("node != label").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, linked.filter("node != label").select("node"))

@@ -37,3 +37,19 @@ def whole_text(text: str) -> Column:
 def parts_for(total: int | float | None, each: int, least: int = 1) -> int:
     """How many parts of about ``each`` hold ``total``."""
     return max(least, math.ceil((total or 0) / each))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, nulls: bool = False) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; with ``nulls`` a null id there takes the null ids."""
+    name = unused(docs, "gone")
+    gone = gone.toDF(name).distinct()
+    own = docs[id_col].cast(gone.schema[name].dataType)
+    return docs.join(gone, own.eqNullSafe(F.col(name)) if nulls else own == F.col(name), "left_anti")
