@@ -25,11 +25,11 @@ def _count() -> Column:
 # --- gaps -------------------------------------------------------------------
 
 def gap_stats(gaps: DataFrame, key: Sequence[str] = KEY, paths: DataFrame | None = None,
-              at_least: dict[str, int] | None = None, splits=AUTO) -> DataFrame:
+              at_least: dict[str, int] | None = None, splits=AUTO, weight: str | None = None) -> DataFrame:
     """Count, extremes, nearest-rank p50 / p90 and total per path, all from one histogram pass.
 
     ``at_least`` adds counts of gaps of at least a length.  ``paths`` lists keys that must appear, with zeros
-    when they have no gap.  ``splits`` are those of the gaps.
+    when they have no gap.  ``splits`` are those of the gaps.  ``weight`` counts the gaps of a row, in a histogram of lengths.
     """
     key = list(key)
     wanted = {"min_ns": lambda v, c: F.min(v), "max_ns": lambda v, c: F.max(v), "total_ns": lambda v, c: F.sum(v * c)}
@@ -37,7 +37,7 @@ def gap_stats(gaps: DataFrame, key: Sequence[str] = KEY, paths: DataFrame | None
         wanted[name] = lambda v, c, n=length: F.sum(F.when(v >= n, c).otherwise(0))
     out = order_statistics(gaps, key, "duration_ns", {
         "p50_ns": nearest(lambda n: F.floor(n / 2)), "p90_ns": nearest(lambda n: F.floor(n * F.lit(0.9)))},
-        value_splits(splits), wanted)
+        value_splits(splits), wanted, weight)
     out = out.select(*key, F.col("n").alias("count"), "min_ns", "max_ns", F.col("p50_ns").cast("long").alias("p50_ns"),
                      F.col("p90_ns").cast("long").alias("p90_ns"), "total_ns", *(at_least or {}))
     if paths is not None:

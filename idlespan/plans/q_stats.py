@@ -10,13 +10,15 @@ from ..operators import aggregates as G
 from ..operators import calibration as B
 from ..operators import joins as J
 from ..operators import ranking as R
+from ..operators import sketches as Q
 from ..operators import windows as W
+from ..scale import attach
 from ..sources.logs import parse_probe_lines
 from . import adapter as A
 from .endpoints import traced
 from .predictions import rounded, trailing_predictions
 from .q_sources import READINGS_SQL, probe_lines
-from .registry import PATH, query, timeline
+from .registry import PATH, new_folder, query, timeline
 from .sql import CONFUSION, RATES, T, TB, TBG, TBGP, TX, edges, with_
 
 LATE_NS = 1_705_363_200_000_000_000        # 2024-01-16
@@ -146,6 +148,27 @@ def quantile_profile_approximate(spark, sf):
     return G.quantile_profile(timeline(spark, sf).gaps, "duration_ns", key=PATH, approximate=10_000)
 
 
+PICKS = (.05, .25, .5, .75, .9, .99)
+
+
+@query("quantile_sketches_merged", with_(TBG, f"""SELECT path, p, n, true AS within FROM (SELECT path, count(*) AS n FROM gaps GROUP BY path),
+(SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PICKS)}]) AS p)"""))
+def quantile_sketches_merged(spark, sf):
+    """A sketch per path and day is kept, merged per path without the gaps, and every pick is held against exact ranks."""
+    tl, folder = timeline(spark, sf), new_folder(spark, "sketches")
+    days = tl.gaps.withColumn("day", F.floor(F.col("start_ns") / 86_400_000_000_000))
+    Q.quantile_sketches(days, "duration_ns", ["path", "day"]).write.parquet(folder)
+    picks = Q.sketched_quantiles(Q.merge_sketches(spark.read.parquet(folder), PATH), PATH, PICKS)
+    per_path = picks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("p", "value", "n"))).alias("picks"))
+    met = attach(tl.gaps.select("path", "start_ns", "duration_ns"), per_path, PATH, tl.splits)
+    x = F.col("duration_ns").cast("double")
+    found = F.array(*[F.struct(*[F.max(F.col("picks")[i][c]).alias(c) for c in ("p", "n")], F.avg((x < F.col("picks")[i]["value"]).cast("double")).alias("below"),
+                               F.avg((x <= F.col("picks")[i]["value"]).cast("double")).alias("upto")) for i in range(len(PICKS))])
+    ranks = met.groupBy("path").agg(found.alias("r")).select("path", F.inline("r"))
+    error = Q.rank_error()
+    return ranks.select("path", "p", "n", ((F.col("below") - error <= F.col("p")) & (F.col("p") <= F.col("upto") + error)).alias("within"))
+
+
 @query("safe_fraction", with_(f"{TBGP}", f"""SELECT horizon_ns, round(100.0 * count(*) FILTER (NOT {LATE} AND label = 1) /
 count(*) FILTER (NOT {LATE}), 6) AS early_pct, round(100.0 * count(*) FILTER ({LATE} AND label = 1) / count(*) FILTER
 ({LATE}), 6) AS late_pct, round(100.0 * count(*) FILTER ({LATE} AND label = 1) / count(*) FILTER ({LATE}) - 100.0 *

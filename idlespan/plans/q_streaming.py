@@ -7,12 +7,14 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import flag_degraded
+from ..operators.aggregates import gap_stats as stats_of
 from ..operators.models import fit_survival, score
 from ..sources.trace import EXTENDED, trace_csv_rows, write_trace_csv
 from ..streaming import live as S
 from . import adapter as A
 from .q_policies import D
 from .q_sources import extended_rows
+from .q_stats import GAP_STATS_SQL
 from .registry import PATH, new_folder, query
 from .sql import TB, TU, T, gapped, merged, with_
 
@@ -55,10 +57,11 @@ def with_slice(rows):
     return rows.withColumn("slice", F.floor((us - lo) * SLICES / (hi - lo + 1)).cast("int"))
 
 
-def stream_slices(spark, sf, order=range(SLICES)):
-    """The events as one path, a slice of time per file and micro-batch, delivered in the given order of slices."""
-    rows = with_slice(A.transfers(spark, sf).withColumn("path", F.lit("all")))
-    folder = new_folder(spark, "slices")
+def stream_slices(spark, sf, order=range(SLICES), path=None, folder=None):
+    """The events as one path or by ``path``, a slice of time per file and micro-batch, delivered in the given order of slices."""
+    rows = with_slice(A.transfers(spark, sf, path or "event_type"))
+    rows = rows if path else rows.withColumn("path", F.lit("all"))
+    folder = folder or new_folder(spark, "slices")
     for i in order:                                                    # files are followed in the order they were written
         rows.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -258,3 +261,16 @@ def stream_alarm_shuffled(spark, sf):
     flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
     stage = S.stream_alarm(flagged, 3, PATH, "16 days", ["event_id"], PART)
     return S.run_to_table(stage, new_folder(spark, "shuffled-alarm")).rows.select("path", "t", "streak")
+
+
+@query("incremental_polls", with_(f"{CLOSED_GAPS}, {GAP_STATS_SQL}", "SELECT stats.*, (SELECT count(*) FROM t) AS rows_read FROM stats"))
+def incremental_polls(spark, sf):
+    """Two polls of a growing folder: the second reads only the files of its own, and the statistics are those of one batch over all."""
+    source, busy, gaps, counts = (new_folder(spark, n) for n in ("polled", "polled-busy", "polled-gaps", "polled-counts"))
+    for new in (range(SLICES // 2), range(SLICES // 2, SLICES)):
+        closed = S.run_to_table(S.stream_busy(stream_slices(spark, sf, new, "event_type", source), PATH, TOL_US, DELAY), busy)
+        found = S.run_to_table(S.stream_gaps(closed.follow(), PATH), gaps)
+        stage = S.stream_histogram(found.follow(), PATH)
+        table = S.run_to_table(stage, counts)
+    read = closed.ledger().agg(F.sum("rows_in")).scalar()
+    return stats_of(S.current(table, stage, "counts"), PATH, weight="n").withColumn("rows_read", read)

@@ -195,15 +195,16 @@ def value_splits(splits):
 
 
 def order_statistics(df: DataFrame, key: Sequence[str], value: str, picks: dict[str, Callable],
-                     splits=AUTO, extras: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+                     splits=AUTO, extras: dict[str, Callable[[Column, Column], Column]] | None = None,
+                     weight: str | None = None) -> DataFrame:
     """Exact order statistics per key: one row per key with ``n`` and one double per pick.
 
     ``extras`` are further aggregates over (value, count) of the same histogram, so that counts, sums and
-    ranks of a value come from one pass.
+    ranks of a value come from one pass.  A row counts ``weight`` times, so that a kept histogram is read as its rows would be.
     """
     key = list(key)
     hist = (df.filter(F.col(value).isNotNull()).groupBy(*key, value)
-            .agg(F.count(F.lit(1)).alias("_c")))
+            .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")))
     splits = resolve(splits, hist, value, key)
     cum = running(hist, key, [value], {"_before": ("sum", F.col("_c"))}, inclusive=False, splits=splits,
                   totals={"n": ("sum", F.col("_c"))})

@@ -31,7 +31,7 @@ from ..operators.windows import ewma
 from ..scale import TARGET_ROWS, attach, numbered, plan_splits, running, trailing
 from ..session import cut
 from ..sources.trace import EXTENDED, normalise, split_rejects, text_schema
-from .stages import Micro, Stage, State, StreamTable, delay_us, fields, run_stage
+from .stages import Micro, Stage, State, StreamTable, current, delay_us, fields, run_stage  # noqa: F401
 
 KEY = tuple(K.PATH_KEY)
 TRAIL = 100
@@ -167,6 +167,19 @@ def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, b
     return Stage(busy.select(*key, "start_ns", "end_ns"), step, out, {"paths": State(kept, tuple(key))})
 
 
+def stream_histogram(gaps: DataFrame, key: Sequence[str] = KEY, value: str = "duration_ns") -> Stage:
+    """How often each length occurred per path, kept up to date by every poll from its own rows alone: the state ``counts`` has one row per
+    path and length (``n``), and ``out`` the rows that a poll changed.  ``gap_stats(..., weight="n")`` reads it as it would the gaps."""
+    names = [*key, value]
+
+    def step(m: Micro) -> dict[str, DataFrame]:
+        new = m.rows.filter(F.col(value).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("_new"))
+        total = cut(new.join(m.state["counts"], names, "left").select(*names, (F.coalesce("n", F.lit(0)) + F.col("_new")).alias("n")))
+        return {"out": total, "counts": total}
+    out = fields(gaps, names) + ", n long"
+    return Stage(gaps.select(*names), step, out, {"counts": State(out, tuple(names))})
+
+
 def stream_trailing(gaps: DataFrame) -> DataFrame:
     """The trailing columns of ``stream_gaps`` alone."""
     names = [c for c in gaps.columns if c not in ("end_ns", "ts")]

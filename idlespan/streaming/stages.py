@@ -187,6 +187,12 @@ def run_stage(stage: Stage, folder: str) -> StreamTable:
     return StreamTable(folder, rows, nested=True)
 
 
+def current(table: StreamTable, stage: Stage, name: str) -> DataFrame:
+    """A state table of ``stage`` as the last micro-batch left it."""
+    last = table.ledger().agg(F.max("batch")).first()[0] if exists(table.rows.sparkSession, f"{table.folder}/ledger") else None
+    return read_state(table.rows.sparkSession, f"{table.folder}/{name}", stage.states[name], 0 if last is None else last + 1)
+
+
 def delay_us(delay: str) -> int:
     """Microseconds of a delay such as "10 seconds"."""
     amount, unit = delay.split()
