@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import path_label
 from ..scale import AUTO, attach, numbered, resolve, running, trailing
+from .sliding import sliding_quantiles
 
 KEY = tuple(K.PATH_KEY)
 
@@ -174,11 +175,7 @@ def trailing_quantile(gaps: DataFrame, q: float = 0.1, key: Sequence[str] = KEY,
                       splits=AUTO) -> DataFrame:
     """Linear quantile of the trailing window, 0 on a short history."""
     splits = resolve(splits, gaps, "start_ns", key)
-
-    def columns(w):
-        frame = w.rowsBetween(-win, -1) if causal else w.rowsBetween(-(win - 1), 0)
-        return {"_n": F.count("duration_ns").over(frame), "_q": F.percentile("duration_ns", q).over(frame)}
-    rows = trailing(gaps, key, "gap_idx", win, columns, splits)
+    rows = sliding_quantiles(gaps, key, "gap_idx", "duration_ns", {"_q": q}, win, causal, splits)
     return rows.withColumn(name, F.when(F.col("_n") >= max(min_samples, 1), F.col("_q")).otherwise(0.0)) \
         .drop("_n", "_q")
 

@@ -27,8 +27,9 @@ from .. import constants as K
 from ..functions.columns import gbps
 from ..operators.intervals import extract_gaps, merge_intervals
 from ..operators.policies import largest_fit
+from ..operators.sliding import sliding_quantiles
 from ..operators.windows import ewma
-from ..scale import TARGET_ROWS, attach, numbered, plan_splits, running, trailing
+from ..scale import TARGET_ROWS, attach, numbered, plan_splits, running
 from ..session import cut
 from ..sources.trace import EXTENDED, normalise, split_rejects, text_schema
 from .stages import Micro, Stage, State, StreamTable, current, delay_us, fields, run_stage  # noqa: F401
@@ -129,36 +130,33 @@ def stream_gaps(busy: DataFrame, key: Sequence[str] = KEY, alpha: float = 0.1, b
             .withColumn("gap_idx", F.col("gap_idx") + F.coalesce("_gaps", F.lit(0))).drop("_gaps")
         gaps = cut(gaps.select(*key, "gap_idx", "start_ns", "end_ns", F.col("duration_ns").cast("long").alias("duration_ns")))
         old = met.filter("gaps > 0")
-        mean = old.select(*key, F.lit(0).cast("long").alias("gap_idx"), F.col("smooth").alias("value"), F.lit(None).cast("long").alias("own"))
+        first = old.select(*key, F.lit(0).cast("long").alias("gap_idx"), F.col("smooth").alias("value"), F.lit(None).cast("long").alias("own"))
         # EWMA goes on from its last value as if that were the first gap.
         offset = attach(gaps, old.select(*key, F.col("gaps").alias("_gaps")), key, splits)
         since = offset.select(*key, F.when(F.col("_gaps").isNull(), F.col("gap_idx")).otherwise(F.col("gap_idx") - F.col("_gaps") + 1).alias("gap_idx"),
                               F.col("duration_ns").cast("double").alias("value"), F.col("gap_idx").alias("own"))
-        smooth = ewma(mean.unionByName(since), key, alpha, "value")
+        smooth = ewma(first.unionByName(since), key, alpha, "value")
         after = smooth.filter("own is not null").select(*key, F.col("own").alias("gap_idx"), F.col("ewma").alias("_after"))
+        before = after.select(*key, (F.col("gap_idx") + 1).alias("gap_idx"), F.col("_after").alias("ewma")).unionByName(
+            old.select(*key, F.col("gaps").alias("gap_idx"), F.col("smooth").alias("ewma")))
         carried = old.select(*key, (F.col("gaps") - F.size("recent")).alias("_first"), F.posexplode("recent").alias("_at", "duration_ns")) \
             .select(*key, (F.col("_first") + F.col("_at")).alias("gap_idx"), F.lit(None).cast("long").alias("start_ns"),
-                    F.lit(None).cast("long").alias("end_ns"), "duration_ns", F.lit(None).cast("double").alias("_after"))
-        last = old.select(*key, (F.col("gaps") - 1).alias("gap_idx"), F.col("smooth").alias("_mean"))
-        rows = gaps.join(after, [*key, "gap_idx"], "left").unionByName(carried).join(last, [*key, "gap_idx"], "left") \
-            .withColumn("_after", F.coalesce("_after", "_mean")).drop("_mean")
-
-        def columns(w):
-            frame = w.rowsBetween(-TRAIL, -1)
-            n = F.count("duration_ns").over(frame)
-
-            def quantile(q: float, least: int):
-                return F.when(n >= least, F.percentile("duration_ns", q).over(frame)).otherwise(F.lit(0.0))
-            return {"history": n, "ewma": F.coalesce(F.lag("_after").over(w), F.lit(0.0)),
-                    "trailing_p10": quantile(0.10, min_samples), "g_lower_bound": quantile(bound_q, bound_min)}
-        full = cut(trailing(rows, key, "gap_idx", TRAIL, columns, splits))
+                    F.lit(None).cast("long").alias("end_ns"), "duration_ns", F.lit(None).cast("double").alias("ewma"))
+        rows = gaps.join(before, [*key, "gap_idx"], "left").unionByName(carried)
+        full = cut(sliding_quantiles(rows, key, "gap_idx", "duration_ns", {"_low": 0.10, "_bound": bound_q}, TRAIL, True, splits, count="history"))
+
+        def bound(quantile: str, least: int):
+            return F.when(F.col("history") >= max(least, 1), F.col(quantile)).otherwise(0.0)
         out = full.filter("start_ns is not null").select(
-            *key, "gap_idx", "start_ns", "end_ns", "duration_ns", "history", "ewma", "trailing_p10", "g_lower_bound", event_time("end_ns").alias("ts"))
-        total = full.groupBy(*key).agg((F.max("gap_idx") + 1).alias("gaps"), F.max_by("_after", "gap_idx").alias("smooth"))
+            *key, "gap_idx", "start_ns", "end_ns", "duration_ns", "history", F.coalesce("ewma", F.lit(0.0)).alias("ewma"),
+            bound("_low", min_samples).alias("trailing_p10"), bound("_bound", bound_min).alias("g_lower_bound"), event_time("end_ns").alias("ts"))
+        total = full.groupBy(*key).agg((F.max("gap_idx") + 1).alias("gaps"))
+        mean = after.groupBy(*key).agg(F.max_by("_after", "gap_idx").alias("_mean")).join(met.select(*key, "smooth"), key, "full")
+        mean = mean.select(*key, F.coalesce("_mean", "smooth").alias("smooth"))
         latest = attach(full, total.select(*key, "gaps"), key, splits).filter(F.col("gap_idx") >= F.col("gaps") - TRAIL).groupBy(*key).agg(
             F.sort_array(F.collect_list(F.struct("gap_idx", "duration_ns"))).alias("recent"))
         reach = fresh.unionByName(seeds).groupBy(*key).agg(F.max("end_ns").alias("last_end"))
-        paths = reach.join(total, key, "left").join(latest, key, "left").select(
+        paths = reach.join(total, key, "left").join(mean, key, "left").join(latest, key, "left").select(
             *key, "last_end", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("smooth", F.lit(0.0)).alias("smooth"),
             F.coalesce(F.col("recent.duration_ns"), F.array().cast("array<long>")).alias("recent"))
         return {"out": out, "paths": paths, "late": known.filter("late").drop("late", "last_end")}
