@@ -338,6 +338,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 # ---- the pairs that no table proposes -----------------------------------------------------------------------------------
 
 SAMPLE, SEEN, COMMON = 16, 4, 1 << 16
+CLASSES, FULL = 96, 255
 
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -356,15 +357,21 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def class_counts(h: np.ndarray) -> bytes:
+    """How many of a set's elements fall into each of ``CLASSES`` classes, a byte each; ``FULL`` stands for that many or more."""
+    return np.minimum(np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), FULL).astype(np.uint8).tobytes()
+
+
 def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """``key``, ``node``, ``n`` and ``place`` of the first shingles of every text, common ones last, else by hash."""
+    """``key``, ``node``, ``n`` and ``place`` of the first shingles of every text, common ones last, else by hash; and one row a text at
+    place -1 with its ``counts`` by class."""
     order = np.argsort(common)
     known, rank = common[order], order + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                key, node, size, place = [], [], [], []
+                key, node, size, place, counts = [], [], [], [], []
                 for id_, text in zip(batch.column("node")[low:low + 256].to_pylist(), batch.column("text")[low:low + 256]):
                     h = np.unique(shingle_hashes(text.as_py(), words))
                     if not len(h):
@@ -373,14 +380,16 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray)
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         h = h[np.argsort(np.where(known[at] == h, rank[at], 0), kind="stable")]
                     m = prefix_length(len(h), similarity)
-                    key.append(h[:m])
-                    node.append(np.full(m, id_, np.int64))
-                    size.append(np.full(m, len(h), np.int32))
-                    place.append(np.arange(m, dtype=np.int32))
+                    key.append(np.r_[h[:1], h[:m]])
+                    node.append(np.full(m + 1, id_, np.int64))
+                    size.append(np.full(m + 1, len(h), np.int32))
+                    place.append(np.arange(-1, m, dtype=np.int32))
+                    counts += [class_counts(h), *[None] * m]
                 if key:
                     cols = [np.concatenate(key).view(np.int64), *[np.concatenate(x) for x in (node, size, place)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n", "place"])
-    return docs.select("node", "text").mapInArrow(run, "key long, node long, n int, place int")
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(counts, pa.binary())],
+                                                     names=["key", "node", "n", "place", "counts"])
+    return docs.select("node", "text").mapInArrow(run, "key long, node long, n int, place int, counts binary")
 
 
 def _prefix_pairs(similarity: float):
@@ -421,6 +430,17 @@ def _prefix_pairs(similarity: float):
     return run
 
 
+def _can_reach(similarity: float):
+    """The rows (u, v, a, b) whose counts by class ``a`` and ``b`` leave room for the similarity: no class shares more than the lesser count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for c in "ab")
+            room = np.minimum(a, b).sum(axis=1) >= similarity / (1 + similarity) * (a.sum(axis=1) + b.sum(axis=1)) - 1e-6
+            unknown = (a == FULL).any(axis=1) | (b == FULL).any(axis=1)
+            yield batch.select(["u", "v"]).filter(pa.array(room | unknown))
+    return run
+
+
 def _similar(similarity: float):
     """The rows (u, v, a, b) whose sets ``a`` and ``b`` reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,9 +459,11 @@ def missed_links(docs: DataFrame, labels: DataFrame, words: int, similarity: flo
 
     Two sets that reach the similarity share one of their first elements (``prefix_length``) of any common order, so rows that share
     one are compared, with no chance in it.  Common shingles come last in that order; a shingle that still has over ``cell`` rows
-    is cut into blocks that meet two by two.
+    is cut into blocks that meet two by two.  Pairs meet small counts by class first, and only those that these cannot rule out meet
+    their whole sets.
     """
-    first = saved(prefixes(docs, words, similarity, common_shingles(docs, words)), "prefixes")
+    stored = saved(prefixes(docs, words, similarity, common_shingles(docs, words)), "prefixes")
+    first = stored.filter("place >= 0").drop("counts")
     met = first.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     rows = first.join(met, "key").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n", "place")
     rows = saved(rows, "shared-prefixes")
@@ -454,6 +476,10 @@ def missed_links(docs: DataFrame, labels: DataFrame, words: int, similarity: flo
     rows = rows.select(F.explode(cells).alias("key"), "node", "label", "n", "place")
     pairs = saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_prefix_pairs(similarity), "u long, v long").distinct(),
                   "prefix-pairs")
+    counts = stored.filter("place < 0").select("node", "counts").distinct()
+    pairs = saved(pairs.join(counts.select(F.col("node").alias("u"), F.col("counts").alias("a")), "u")
+                  .join(counts.select(F.col("node").alias("v"), F.col("counts").alias("b")), "v")
+                  .select("u", "v", "a", "b").mapInArrow(_can_reach(similarity), "u long, v long").distinct(), "likely-pairs")
     asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sets = saved(shingle_sets(docs.join(asked, "node", "left_semi"), words), "asked-sets")
     return (pairs.join(sets.select(F.col("node").alias("u"), F.col("data").alias("a")), "u")
