@@ -82,14 +82,22 @@ def _raking_sql() -> str:
         c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
         t AS (SELECT sum(tokens) AS total FROM c)"""]
     for m, power in raking.MARGINS.items():
-        steps.append(f"""g_{m} AS (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share
-                         FROM c GROUP BY {m})""")
+        steps.append(f"""g_{m}_0 AS (SELECT {m}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share,
+                         sum(tokens) / sum(sum(tokens)) OVER () / {raking.KEEP} AS cap FROM c GROUP BY {m})""")
+        for i in range(raking.ROUNDS):
+            name = f"g_{m}_{i + 1}" if i + 1 < raking.ROUNDS else f"g_{m}"
+            steps.append(f"""{name} AS MATERIALIZED (SELECT {m}, cap, CASE WHEN share >= cap THEN cap ELSE share * coalesce(
+                             (1 - coalesce(sum(cap) FILTER (share >= cap) OVER (), 0)) / nullif(sum(share) FILTER (share < cap) OVER (), 0), 1) END AS share
+                             FROM g_{m}_{i})""")
     steps.append("w0 AS (SELECT c.*, tokens AS weight FROM c)")
     k = 0
     for _ in range(raking.PASSES):
         for m in margins:
-            steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (weight), weight * coalesce(share * total
-                             / nullif(sum(weight) OVER (PARTITION BY w.{m}), 0), 0) AS weight FROM w{k} w JOIN g_{m} USING ({m}), t)""")
+            steps.append(f"""w{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight, most, goal, full_, all_, held, free), CASE WHEN goal / nullif(all_, 0) <= 1
+                             THEN weight * (goal / all_) WHEN full_ THEN most ELSE coalesce(least(most, weight * (goal - coalesce(held, 0)) / nullif(free, 0)), 0) END AS weight
+                             FROM (SELECT *, sum(weight) OVER (PARTITION BY {m}) AS all_, sum(weight) FILTER (full_) OVER (PARTITION BY {m}) AS held,
+                             sum(weight) FILTER (NOT full_) OVER (PARTITION BY {m}) AS free FROM (SELECT w.*, tokens / {raking.KEEP} AS most, share * total AS goal,
+                             weight >= tokens / {raking.KEEP} * (1 - 1e-9) AS full_ FROM w{k} w JOIN g_{m} USING ({m}), t)))""")
             k += 1
     steps.append("f0 AS (SELECT 0.0::DOUBLE AS factor)")
     for i in range(12):

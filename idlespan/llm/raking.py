@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted into cells (one per combination of the margins).  The cells' token weights are raked: scaled in turn so that each
-margin's sums meet its target shares.  Then one factor turns weights into inclusion probabilities that never exceed 1 and whose
+margin's sums meet its target shares, and no cell above what it holds at the budget.  A value that has too few tokens for its share gives all, and the
+others of its margin share the rest.  Then one factor turns weights into inclusion probabilities that never exceed 1 and whose
 expected tokens are the budget, and every document is drawn by a hash of its id.  Only the cells are iterated over.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .store import ascii_lower, saved, whole_text, without_ids
 
 PASSES, PER_PLAN = 20, 5
+ROUNDS = 4
 SEED = 42
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -43,23 +45,43 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES) -> DataFrame:
+def reachable(goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``_goal`` (shares that sum to 1) where none exceeds its ``_cap``: what a value cannot take goes to the others, in proportion."""
+    for _ in range(rounds):
+        fixed = F.col("_goal") >= F.col("_cap")
+        held, rest = goal.agg(F.coalesce(F.sum(F.when(fixed, F.col("_cap"))), F.lit(0.0)),
+                              F.coalesce(F.sum(F.when(~fixed, F.col("_goal"))), F.lit(0.0))).first()
+        if not rest:
+            break
+        goal = goal.withColumn("_goal", F.when(fixed, F.col("_cap")).otherwise(F.col("_goal") * F.lit((1 - held) / rest)))
+    return goal
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES, keep: float | None = None) -> DataFrame:
     """Cells with ``weight``: the tokens each should have, so that every margin meets its ``share`` (relative to its sum).
 
     A value of a margin that its targets do not name is given its present share of tokens beside theirs.  Cells without tokens
-    stay without.  Targets that contradict each other leave the last margin met.
+    stay without.  Targets that contradict each other leave the last margin met.  With ``keep``, the share of tokens that will be drawn, no cell is given
+    more than it holds (``tokens`` / ``keep``), and targets are those that can be reached.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     for margin, shares in targets.items():
         sums = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("_own"))
         asked = shares.agg(F.sum("share")).first()[0] or 1.0
         goal = sums.join(shares.select(margin, (F.col("share") / asked).alias("_share")), margin, "left")
-        cells = cells.join(goal.select(margin, F.coalesce("_share", "_own").alias(f"_goal_{margin}")), margin)
+        goal = goal.select(margin, F.coalesce("_share", "_own").alias("_goal"), (F.col("_own") / F.lit(keep or 1.0)).alias("_cap"))
+        if keep:
+            whole = goal.agg(F.sum("_goal")).first()[0] or 1.0
+            goal = reachable(goal.withColumn("_goal", F.col("_goal") / whole))
+        cells = cells.join(goal.select(margin, F.col("_goal").alias(f"_goal_{margin}")), margin)
     now = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for done in range(0, passes, PER_PLAN):
         for _ in range(min(PER_PLAN, passes - done)):
             for margin in targets:
                 own = Window.partitionBy(margin)
+                if keep:
+                    now = now.withColumn("weight", _bounded(F.col(f"_goal_{margin}") * F.lit(total), F.col("tokens") / F.lit(keep), own))
+                    continue
                 # shares of one margin may not sum to 1 over the values present; scaling by the weight of all cells mends that
                 now = now.withColumn("weight", F.col("weight") * F.coalesce(
                     F.col(f"_goal_{margin}") * F.lit(total) / F.nullif(F.sum("weight").over(own), F.lit(0.0)), F.lit(0.0)))
@@ -67,6 +89,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES)
     return now.drop(*[f"_goal_{m}" for m in targets])
 
 
+def _bounded(goal: Column, most: Column, own: Window) -> Column:
+    """Weights of one margin scaled to its goal; on the way up, cells that hold all they can stay and the others take their part."""
+    weight = F.col("weight")
+    full = weight >= most * (1 - 1e-9)
+    held = F.coalesce(F.sum(F.when(full, weight)).over(own), F.lit(0.0))
+    free = F.sum(F.when(~full, weight)).over(own)
+    down = goal / F.nullif(F.sum(weight).over(own), F.lit(0.0))
+    up = F.least(most, weight * (goal - held) / F.nullif(free, F.lit(0.0)))
+    return F.when(down <= 1, weight * down).when(full, most).otherwise(F.coalesce(up, F.lit(0.0)))
+
+
+def reached_shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``margin``, ``value``, ``target`` and ``reached`` shares of the tokens to expect, of cells with ``probability``."""
+    out = None
+    for margin, shares in targets.items():
+        expected = cells.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("probability")).alias("_kept"))
+        whole = expected.agg(F.sum("_kept")).first()[0] or 1.0
+        asked = shares.agg(F.sum("share")).first()[0] or 1.0
+        rows = expected.join(shares, margin, "left").select(
+            F.lit(margin).alias("margin"), F.col(margin).alias("value"), (F.col("share") / asked).alias("target"), (F.col("_kept") / whole).alias("reached"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def probabilities(cells: DataFrame, keep: float) -> DataFrame:
     """Cells with ``probability``: min(1, factor x weight / tokens), the factor such that ``keep`` of the tokens are expected.
 
@@ -116,7 +162,7 @@ def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] | None =
     margins = list(powers or targets or MARGINS)
     cells = saved(counted(rows, margins, "tokens"), "cells")
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or MARGINS).items()}
-    cells = probabilities(rake(cells, targets, passes), keep)
+    cells = probabilities(rake(cells, targets, passes, keep), keep)
     per_token = F.coalesce(F.col("weight") / F.nullif(F.col("cell_tokens").cast("double"), F.lit(0.0)), F.lit(0.0))
     found = rows.join(cells.withColumnRenamed("tokens", "cell_tokens").drop("docs"), margins)
     return found.select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", per_token.alias("weight"), "probability",

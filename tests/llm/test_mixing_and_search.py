@@ -35,6 +35,35 @@ def test_margins_meet_their_targets(spark):
             assert weight[v] / sum(weight.values()) == pytest.approx(asked[v] / sum(asked.values()), rel=1e-3)
 
 
+@pytest.mark.parametrize("keep", [0.3, 0.6])
+def test_shares_of_what_is_drawn(spark, keep):
+    """After the bound on every cell: values that can reach their share do, the others give all, and the rest is shared in proportion."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice("aaaaaaaabbbc"), rng.choice(["en"] * 6 + ["fr", "de"]), *[None] * 4) for i in range(3000)]
+    goal = {"source": {"a": 1.0, "b": 1.0, "c": 1.0}, "lang": {"en": 2.0, "fr": 1.0, "de": 1.0}}
+    targets = {m: spark.createDataFrame(list(g.items()), f"{m} string, share double") for m, g in goal.items()}
+    found = raking.mixed(spark.createDataFrame(rows, DOCS), keep, targets=targets, passes=60).collect()
+    total = sum(r.tokens for r in found)
+    for m, asked in goal.items():
+        held, kept = defaultdict(float), defaultdict(float)
+        for r in found:
+            held[r[m]] += r.tokens / total
+            kept[r[m]] += r.tokens * r.probability / (keep * total)
+        want = {v: s / sum(asked.values()) for v, s in asked.items()}
+        for _ in want:
+            full = {v for v in want if want[v] >= held[v] / keep}
+            rest = (1 - sum(held[v] / keep for v in full)) / sum(want[v] for v in want if v not in full)
+            want = {v: held[v] / keep if v in full else want[v] * rest for v in want}
+        assert dict(kept) == pytest.approx(want, rel=0.02)
+
+
+def test_reached_shares(spark):
+    cells = spark.createDataFrame([("a", 10, 1.0), ("b", 30, 0.5), ("b", 10, 0.5)], "source string, tokens long, probability double")
+    shares = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
+    got = {r.value: (r.target, r.reached) for r in raking.reached_shares(cells, {"source": shares}).collect()}
+    assert got == {"a": (0.75, pytest.approx(1 / 3)), "b": (0.25, pytest.approx(2 / 3))}
+
+
 @pytest.mark.parametrize("keep", [0.3, 0.8, 1.0])
 def test_probabilities_expect_the_budget(spark, keep):
     docs = spark.createDataFrame(corpus(random.Random(2), 400), DOCS)
