@@ -175,8 +175,9 @@ def feature_table(spark, sf):
     rows = training_set(tl.gaps, tl.busy, PATH, [A.HORIZONS[5]], splits=tl.splits)
     cut = 1_705_363_200_000_000_000                                        # 2024-01-16
     path = new_folder(spark, "features")
-    tables.write_features(rows.withColumn("pass", F.when(F.col("start_ns") < cut, 1).otherwise(2)), path)
-    return tables.read_features(spark, path, 2).select("path", "gap_idx", "duration_ns", "y_500000000000")
+    rows = rows.withColumn("pass", F.when(F.col("start_ns") < cut, 1).otherwise(2))
+    tables.write_features(rows, path)
+    return tables.read_features(spark, path, 2, schema=rows.schema).select("path", "gap_idx", "duration_ns", "y_500000000000")
 
 
 @query("write_trace_csv", with_(TX, """SELECT CAST(event_id AS VARCHAR) AS tid, printf('%.2f', size / 1048576.0) AS

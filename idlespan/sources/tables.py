@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as K
 from .. import schemas
@@ -67,8 +68,9 @@ def write_features(df: DataFrame, path: str, mode: str = "error", by: str = "pas
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, only: object = None, by: str = "pass") -> DataFrame:
-    df = spark.read.parquet(path)
+def read_features(spark: SparkSession, path: str, only: object = None, by: str = "pass", schema: StructType | None = None) -> DataFrame:
+    """The table, or one pass of it.  A table without rows has no file to take its columns from: give its ``schema`` where it may be empty."""
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df if only is None else df.filter(F.col(by) == only)
 
 

@@ -154,6 +154,13 @@ def test_feature_table_prunes_by_pass(spark, frame, tmp_path):
         tables.write_report_tables({"m": df}, str(tmp_path / "x"), "xml")
 
 
+def test_feature_table_without_rows(spark, frame, tmp_path):
+    df = frame([], "pass int, x int")
+    tables.write_features(df, str(tmp_path / "f"))
+    read = tables.read_features(spark, str(tmp_path / "f"), 2, schema=df.schema)
+    assert sorted(read.columns) == ["pass", "x"] and read.count() == 0
+
+
 def test_probe_cost_and_detection(frame):
     probes = frame([("LAT", 40.0, 0.1), ("BW", 6000.0, 20.0), ("BW", 8000.0, 10.0)], "type string, latency_us double, bandwidth_gbps double")
     c = G.probe_cost(probes, 100.0).first()
