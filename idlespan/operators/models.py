@@ -178,7 +178,7 @@ def _stack(frames: list[DataFrame], held: DataFrame | None = None) -> DataFrame:
 def time_series_cv(df: DataFrame, horizons: Sequence[int], n_splits: int = 5,
                    order: Sequence[str] = ("start_ns",), fit: Fit = fit_survival, splits=AUTO,
                    **options) -> DataFrame:
-    """Train on a chronological prefix, test on the next block; metrics per fold and horizon."""
+    """Train on a chronological prefix, test on the next block; metrics per fold and horizon.  Too few rows for any fold give no metrics."""
     rows = numbered(df, [], list(order), "_row", resolve(splits, df, order[0], []))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = rows.count()
@@ -190,6 +190,9 @@ def time_series_cv(df: DataFrame, horizons: Sequence[int], n_splits: int = 5,
         fitted = fit(rows.filter(F.col("_row") < a), horizons, **options)
         block = rows.filter((F.col("_row") >= a) & (F.col("_row") < b)).drop("_row")
         folds.append(classification_metrics(labelled_scores(block, fitted, horizons)).withColumn("fold", F.lit(s)))
+    if not folds:
+        none = horizon_labels(rows.drop("_row").limit(0), horizons).withColumn("p", F.lit(0.5))
+        folds.append(classification_metrics(none).withColumn("fold", F.lit(0)))
     return _stack(folds, rows)
 
 

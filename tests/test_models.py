@@ -221,6 +221,17 @@ def test_model_evaluations(frame):
     assert M.evaluate_windows(train, test, [600], params=small).first().precision > 0.9
 
 
+def test_time_series_cv_of_too_few_rows(frame):
+    """A table of no rows or one has no fold, and its metrics have the columns that they have otherwise."""
+    names = "start_ns long, duration_ns long, " + ", ".join(f"{c} double" for c in K.FEATURE_NAMES)
+    some = [(i, 900 * (i % 2), *[float(i)] * len(K.FEATURE_NAMES)) for i in range(12)]
+    full = M.time_series_cv(frame(some, names), [600], 2, params={"maxIter": 1, "maxDepth": 1})
+    for rows in ([], some[:1]):
+        cv = M.time_series_cv(frame(rows, names), [600], 2)
+        assert cv.dtypes == full.dtypes and cv.count() == 0
+        assert G.mean_over_folds(cv).count() == 0
+
+
 def test_baselines(frame):
     train, test = gaps_of(frame, [100, 200, 900]), gaps_of(frame, [500, 50])
     p = dict(rows_of(L.base_rate_baseline(train, test, [150]), "gap_idx", "p"))
