@@ -30,6 +30,15 @@ CLOSED_GAPS_MANY = f"{TU}, {merged()}, {OPEN_CUT}, {gapped(busy='closed')}"
 SLICES = 4
 
 
+def polled(parts, write, follow, out):
+    """The table of a stage that polls a folder each time a part has come: a part is written by as many tasks as it has, and all its
+    files are one micro-batch.  ``write`` appends a part to the folder, ``follow`` makes the stage over it."""
+    for part in parts:
+        write(part)
+        table = S.run_to_table(follow(), out)
+    return table
+
+
 def stream_events(spark, sf, path="event_type"):
     """The events as a stream; by user they come in several files, one per micro-batch, in order of time."""
     events = A.read_events(spark, sf)
@@ -218,14 +227,14 @@ def stream_late_ledger(spark, sf):
     rows = with_slice(extended_rows(spark, sf))
     planted = (F.col("event_id") % 97 == 0) & (F.col("slice") < SLICES - 1)
     folder = new_folder(spark, "late-trace")
-    for i in range(SLICES):
-        part = rows.filter(((F.col("slice") == i) & ~planted) | (planted & F.lit(i == SLICES - 1)))
-        broken = trace_csv_rows(part.filter("k % 7 = 0"))
-        text = trace_csv_rows(part.filter("k % 7 <> 0")).unionByName(broken.withColumn("size_mb", F.concat(F.lit("x"), "size_mb")))
-        text.coalesce(1).write.mode("append").option("header", True).csv(folder)
-    stage = S.stream_busy(S.stream_trace(spark, folder, EXTENDED, 1), NODES, TOL_US, DELAY, layout=EXTENDED)
+    text = trace_csv_rows(rows.withColumn("_with", F.when(planted, SLICES - 1).otherwise(F.col("slice"))), ["k", "_with"])
+    text = text.withColumn("size_mb", F.when(F.col("k") % 7 == 0, F.concat(F.lit("x"), "size_mb")).otherwise(F.col("size_mb"))).drop("k")
+    table = polled([text.filter(F.col("_with") == i).drop("_with") for i in range(SLICES)],
+                   lambda part: part.write.mode("append").option("header", True).csv(folder),
+                   lambda: S.stream_busy(S.stream_trace(spark, folder, EXTENDED), NODES, TOL_US, DELAY, layout=EXTENDED),
+                   new_folder(spark, "late-busy"))
     kinds = {"good": "good", "late": "late", "rejected": "rejected", "read": "rows_in"}
-    sums = S.run_to_table(stage, new_folder(spark, "late-busy")).ledger().agg(*[F.sum(c).alias(k) for k, c in kinds.items()])
+    sums = table.ledger().agg(*[F.sum(c).alias(k) for k, c in kinds.items()])
     return sums.unpivot([], list(kinds), "kind", "events").filter("events > 0")
 
 

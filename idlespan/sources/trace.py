@@ -125,13 +125,13 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return split_rejects(read_text_columns(spark, path))[1]
 
 
-def trace_csv_rows(df: DataFrame) -> DataFrame:
-    """Extended layout with two-decimal size, latency and bandwidth, as text columns ready to write."""
+def trace_csv_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Extended layout with two-decimal size, latency and bandwidth, as text columns ready to write, and the columns ``keep``."""
     m = with_transfer_metrics(df)
     two = {c: fixed_text(c).alias(c) for c in ("size_mb", "latency_us", "bw_gbps")}
     start = F.col("wall_start_ns")
     return m.select(*[two.get(f.name, start.alias(f.name) if f.name == "wall_end_ns" else F.col(f.name))
-                      for f in schemas.EXTENDED_TRACE])
+                      for f in schemas.EXTENDED_TRACE], *keep)
 
 
 def write_trace_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -12,6 +12,7 @@ from idlespan.operators import windows as W
 from idlespan.streaming import live as S
 from idlespan.streaming import stages
 
+SF_DIR = "/root/testdata/sf0.001"
 NAMES = ["path", "start_ns", "end_ns", "bytes_total", "event_count"]
 
 
@@ -112,3 +113,19 @@ def test_alarms_in_order_of_time(spark, tmp_path, most):
     # Released in one go: everything up to the last reading.
     again = S.run_to_table(S.stream_alarm(stream, 3, ["path"], "1 second", most_rows=most), str(tmp_path / "again"))
     assert rows_of(again.side("late"), "t")[:2] == [(0.5,), (0.5,)] and again.ledger().agg(F.sum("late")).first()[0] == 101
+
+
+@pytest.mark.parametrize("job, name", [(lambda Q, spark: Q.stream_late_ledger(spark, SF_DIR), "late-trace")])
+def test_slices_are_written_by_all_tasks(spark, monkeypatch, job, name):
+    """A slice of time is as many files as its rows have tasks, and still one micro-batch."""
+    from idlespan.plans import adapter, q_streaming
+    folders, read, new = {}, adapter.read_events, q_streaming.new_folder
+
+    def noted(session, kind):
+        return folders.setdefault(kind, new(session, kind))
+    monkeypatch.setattr(adapter, "read_events", lambda session, sf: read(session, sf).repartition(3))
+    monkeypatch.setattr(q_streaming, "new_folder", noted)
+    job(q_streaming, spark)
+    assert len(spark.read.text(folders[name]).inputFiles()) == 3 * q_streaming.SLICES
+    busy = {"events": "busy", "slices": "one-busy", "late-trace": "late-busy"}[name]
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{folders[busy]}/ledger").count() == q_streaming.SLICES
