@@ -39,20 +39,19 @@ def polled(parts, write, follow, out):
     return table
 
 
-def stream_events(spark, sf, path="event_type"):
-    """The events as a stream; by user they come in several files, one per micro-batch, in order of time."""
-    events = A.read_events(spark, sf)
+def events_table(spark, sf, path, make, name):
+    """The table of the stage that ``make`` builds over the streamed events; by user they come in slices of time, one per micro-batch, in order."""
+    events, out = A.read_events(spark, sf), new_folder(spark, name)
     if path == "event_type":
-        return A.as_transfers(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+        raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        return S.run_to_table(make(A.as_transfers(raw)), out)
     folder = new_folder(spark, "events")
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
     edges = [lo + (hi - lo) * i / SLICES for i in range(SLICES)]
-    for i, edge in enumerate(edges):                                   # files are followed in the order they were written
-        part = events.filter(F.col("ts") >= F.lit(edge))
-        part = part.filter(F.col("ts") < F.lit(edges[i + 1])) if i + 1 < SLICES else part
-        part.coalesce(1).write.mode("append").parquet(folder)
-    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return A.as_transfers(raw, path)
+    parts = [events.filter(F.col("ts") >= F.lit(edge)) for edge in edges]
+    parts = [part.filter(F.col("ts") < F.lit(edge)) for part, edge in zip(parts, edges[1:])] + parts[-1:]
+    return polled(parts, lambda part: part.write.mode("append").parquet(folder),
+                  lambda: make(A.as_transfers(spark.readStream.schema(events.schema).parquet(folder), path)), out)
 
 
 SLICE_SQL = f"""sl AS (SELECT *, start_ns // 1000 AS us, (start_ns // 1000 - lo) * {SLICES} // (hi - lo + 1) AS slice FROM t,
@@ -66,20 +65,19 @@ def with_slice(rows):
     return rows.withColumn("slice", F.floor((us - lo) * SLICES / (hi - lo + 1)).cast("int"))
 
 
-def stream_slices(spark, sf, order=range(SLICES), path=None, folder=None):
-    """The events as one path or by ``path``, a slice of time per file and micro-batch, delivered in the given order of slices."""
+def slices_table(spark, sf, make, out, order=range(SLICES), path=None, folder=None):
+    """The table of the stage that ``make`` builds over the events as one path or by ``path``, a slice of time per micro-batch, delivered in
+    the given order of slices."""
     rows = with_slice(A.transfers(spark, sf, path or "event_type"))
     rows = rows if path else rows.withColumn("path", F.lit("all"))
     folder = folder or new_folder(spark, "slices")
-    for i in order:                                                    # files are followed in the order they were written
-        rows.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return polled([rows.filter(F.col("slice") == i).drop("slice") for i in order], lambda part: part.write.mode("append").parquet(folder),
+                  lambda: make(spark.readStream.schema(rows.drop("slice").schema).parquet(folder)), out)
 
 
 def busy_table(spark, sf, path="event_type"):
     """Closed busy intervals, streamed to a table."""
-    out = S.stream_busy(stream_events(spark, sf, path), PATH, TOL_US, DELAY)
-    return S.run_to_table(out, new_folder(spark, "busy"))
+    return events_table(spark, sf, path, lambda t: S.stream_busy(t, PATH, TOL_US, DELAY), "busy")
 
 
 def gap_table(spark, sf, path="event_type"):
@@ -197,10 +195,14 @@ def dedup(spark, sf, path):
 
 def alarm(spark, sf, path):
     """Three readings in a row below the limit; the reading is the k of the event."""
-    t = stream_events(spark, sf, path).select("path", "event_id", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
-    flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
-    out = S.run_to_table(S.stream_alarm(flagged, 3, PATH, tie=["event_id"]), new_folder(spark, "alarm"))
-    return out.rows.select("path", "t", "streak")
+    def stage(t):
+        return S.stream_alarm(flagged(t), 3, PATH, tie=["event_id"])
+    return events_table(spark, sf, path, stage, "alarm").rows.select("path", "t", "streak")
+
+
+def flagged(t):
+    readings = t.select("path", "event_id", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
+    return flag_degraded(readings, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
 
 
 for _name, _job, _one, _many in (("stream_rate_limit", rate_limit, with_(DECIDED, RATE_LIMIT), with_(DECIDED_MANY, RATE_LIMIT)),
@@ -243,8 +245,7 @@ PART = 1500
 
 
 def one_path_busy(spark, sf):
-    stage = S.stream_busy(stream_slices(spark, sf), PATH, TOL_US, DELAY, most_rows=PART)
-    return S.run_to_table(stage, new_folder(spark, "one-busy"))
+    return slices_table(spark, sf, lambda t: S.stream_busy(t, PATH, TOL_US, DELAY, most_rows=PART), new_folder(spark, "one-busy"))
 
 
 @query("stream_busy_one_path", with_(ONE, "SELECT path, start_ns, end_ns, bytes_total, event_count FROM closed"))
@@ -266,10 +267,9 @@ def stream_gaps_one_path(spark, sf):
 t * 1e6 <= (SELECT max(t) * 1e6 - 16 * 86400000000 FROM s)"""))
 def stream_alarm_shuffled(spark, sf):
     """Slices arrive out of order, and the alarms are those of the order of time, as far as the watermark has come."""
-    t = stream_slices(spark, sf, (1, 0, 3, 2)).select("path", "event_id", (F.col("start_ns") / 1e9).alias("t"), F.col("k").alias("bandwidth_gbps"))
-    flagged = flag_degraded(t, 30.0, 1.0).select("path", "t", "is_degraded", "event_id")
-    stage = S.stream_alarm(flagged, 3, PATH, "16 days", ["event_id"], PART)
-    return S.run_to_table(stage, new_folder(spark, "shuffled-alarm")).rows.select("path", "t", "streak")
+    def stage(t):
+        return S.stream_alarm(flagged(t), 3, PATH, "16 days", ["event_id"], PART)
+    return slices_table(spark, sf, stage, new_folder(spark, "shuffled-alarm"), (1, 0, 3, 2)).rows.select("path", "t", "streak")
 
 
 @query("incremental_polls", with_(f"{CLOSED_GAPS}, {GAP_STATS_SQL}", "SELECT stats.*, (SELECT count(*) FROM t) AS rows_read FROM stats"))
@@ -277,7 +277,7 @@ def incremental_polls(spark, sf):
     """Two polls of a growing folder: the second reads only the files of its own, and the statistics are those of one batch over all."""
     source, busy, gaps, counts = (new_folder(spark, n) for n in ("polled", "polled-busy", "polled-gaps", "polled-counts"))
     for new in (range(SLICES // 2), range(SLICES // 2, SLICES)):
-        closed = S.run_to_table(S.stream_busy(stream_slices(spark, sf, new, "event_type", source), PATH, TOL_US, DELAY), busy)
+        closed = slices_table(spark, sf, lambda t: S.stream_busy(t, PATH, TOL_US, DELAY), busy, new, "event_type", source)
         found = S.run_to_table(S.stream_gaps(closed.follow(), PATH), gaps)
         stage = S.stream_histogram(found.follow(), PATH)
         table = S.run_to_table(stage, counts)

@@ -115,7 +115,9 @@ def test_alarms_in_order_of_time(spark, tmp_path, most):
     assert rows_of(again.side("late"), "t")[:2] == [(0.5,), (0.5,)] and again.ledger().agg(F.sum("late")).first()[0] == 101
 
 
-@pytest.mark.parametrize("job, name", [(lambda Q, spark: Q.stream_late_ledger(spark, SF_DIR), "late-trace")])
+@pytest.mark.parametrize("job, name", [(lambda Q, spark: Q.busy_table(spark, SF_DIR, "user_id"), "events"),
+                                       (lambda Q, spark: Q.one_path_busy(spark, SF_DIR), "slices"),
+                                       (lambda Q, spark: Q.stream_late_ledger(spark, SF_DIR), "late-trace")])
 def test_slices_are_written_by_all_tasks(spark, monkeypatch, job, name):
     """A slice of time is as many files as its rows have tasks, and still one micro-batch."""
     from idlespan.plans import adapter, q_streaming
