@@ -4,6 +4,9 @@ Documents are counted into cells (one per combination of the margins).  The cell
 margin's sums meet its target shares, and no cell above what it holds at the budget.  A value that has too few tokens for its share gives all, and the
 others of its margin share the rest.  Then one factor turns weights into inclusion probabilities that never exceed 1 and whose
 expected tokens are the budget, and every document is drawn by a hash of its id.  Only the cells are iterated over.
+
+Every exchange and every broadcast holds threads and memory of the driver for a minute, however few its rows.  So goals are written before they are
+bounded round by round, and up to ``ONE_TASK`` cells are raked by one task, which needs no exchange; more are dealt out margin by margin.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from .store import ascii_lower, saved, whole_text, without_ids
 
 PASSES, PER_PLAN = 20, 5
 ROUNDS = 4
+ONE_TASK = 1 << 16
 SEED = 42
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -45,6 +49,11 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("share"))
 
 
+def together(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` in one task if it has ``few`` rows: no exchange stands before its windows and sums then."""
+    return df.coalesce(1) if few else df
+
+
 def reachable(goal: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``_goal`` (shares that sum to 1) where none exceeds its ``_cap``: what a value cannot take goes to the others, in proportion."""
     for _ in range(rounds):
@@ -64,17 +73,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES,
     stay without.  Targets that contradict each other leave the last margin met.  With ``keep``, the share of tokens that will be drawn, no cell is given
     more than it holds (``tokens`` / ``keep``), and targets are those that can be reached.
     """
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
+    total, n = cells.agg(F.sum("tokens").cast("double"), F.count(F.lit(1))).first()
+    total, few = total or 0.0, n <= ONE_TASK
+    cells = together(cells, few)
     for margin, shares in targets.items():
         sums = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("_own"))
         asked = shares.agg(F.sum("share")).first()[0] or 1.0
         goal = sums.join(shares.select(margin, (F.col("share") / asked).alias("_share")), margin, "left")
         goal = goal.select(margin, F.coalesce("_share", "_own").alias("_goal"), (F.col("_own") / F.lit(keep or 1.0)).alias("_cap"))
+        goal = together(saved(goal, "goal"), few)
         if keep:
             whole = goal.agg(F.sum("_goal")).first()[0] or 1.0
             goal = reachable(goal.withColumn("_goal", F.col("_goal") / whole))
-        cells = cells.join(goal.select(margin, F.col("_goal").alias(f"_goal_{margin}")), margin)
-    now = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+        cells = together(saved(cells.join(goal.select(margin, F.col("_goal").alias(f"_goal_{margin}")), margin), "cells"), few)
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for done in range(0, passes, PER_PLAN):
         for _ in range(min(PER_PLAN, passes - done)):
             for margin in targets:
@@ -85,7 +97,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], passes: int = PASSES,
                 # shares of one margin may not sum to 1 over the values present; scaling by the weight of all cells mends that
                 now = now.withColumn("weight", F.col("weight") * F.coalesce(
                     F.col(f"_goal_{margin}") * F.lit(total) / F.nullif(F.sum("weight").over(own), F.lit(0.0)), F.lit(0.0)))
-        now = saved(now, "cells")
+        now = together(saved(now, "cells"), few)
     return now.drop(*[f"_goal_{m}" for m in targets])
 
 
@@ -161,6 +173,7 @@ def mixed(docs: DataFrame, keep: float = KEEP, powers: dict[str, float] | None =
     rows = saved(described(docs, id_col, text_col), "described")
     margins = list(powers or targets or MARGINS)
     cells = saved(counted(rows, margins, "tokens"), "cells")
+    cells = together(cells, cells.count() <= ONE_TASK)
     targets = targets or {m: tempered(cells, m, p) for m, p in (powers or MARGINS).items()}
     cells = probabilities(rake(cells, targets, passes, keep), keep)
     per_token = F.coalesce(F.col("weight") / F.nullif(F.col("cell_tokens").cast("double"), F.lit(0.0)), F.lit(0.0))

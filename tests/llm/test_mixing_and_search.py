@@ -57,6 +57,20 @@ def test_shares_of_what_is_drawn(spark, keep):
         assert dict(kept) == pytest.approx(want, rel=0.02)
 
 
+def test_few_cells_are_raked_by_few_jobs(spark, monkeypatch):
+    """A job per exchange and broadcast costs the driver memory; more cells than one task takes are raked alike."""
+    docs, context, found = spark.createDataFrame(corpus(random.Random(4), 300), DOCS), spark.sparkContext, []
+    for most in (raking.ONE_TASK, 0):
+        monkeypatch.setattr(raking, "ONE_TASK", most)
+        context.setJobGroup(f"raking-{most}", "")
+        rows = raking.mixed(docs).collect()
+        found.append(({r.doc_id: r.selected for r in rows}, {r.doc_id: r.probability for r in rows}))
+        if most:
+            assert len(context.statusTracker().getJobIdsForGroup(f"raking-{most}")) <= 60
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1], rel=1e-9)
+
+
 def test_reached_shares(spark):
     cells = spark.createDataFrame([("a", 10, 1.0), ("b", 30, 0.5), ("b", 10, 0.5)], "source string, tokens long, probability double")
     shares = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
