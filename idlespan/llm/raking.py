@@ -5,7 +5,7 @@ margin's sums meet its target shares, and no cell above what it holds at the bud
 others of its margin share the rest.  Then one factor turns weights into inclusion probabilities that never exceed 1 and whose
 expected tokens are the budget, and every document is drawn by a hash of its id.  Only the cells are iterated over.
 
-Every exchange and every broadcast holds threads and memory of the driver for a minute, however few its rows.  So goals are written before they are
+Every exchange and every broadcast costs the driver a thread and memory, however few its rows.  So goals are written before they are
 bounded round by round, and up to ``ONE_TASK`` cells are raked by one task, which needs no exchange; more are dealt out margin by margin.
 """
 
