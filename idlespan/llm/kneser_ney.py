@@ -25,6 +25,7 @@ from .store import parts_for, saved, whole_text, without_ids
 CHUNK_BYTES = 16 << 20
 OTHER = 65535
 DENSE = 1 << 25
+SLICE = 1 << 20
 QUANTILE, SHORT = 0.995, 4.0
 
 
@@ -39,28 +40,51 @@ class Coded:
     def key(self, gram: np.ndarray) -> np.ndarray:
         """Three 16-bit characters in one integer, the last in the low bits."""
         s = len(self.symbols)
+        gram = gram.astype(np.int64)
         a, b, c = (self.symbols[x] for x in (gram // (s * s), gram // s % s, gram % s))
         return a << 32 | b << 16 | c
 
     def different(self) -> np.ndarray:
         cube = len(self.symbols) ** 3
-        return np.flatnonzero(np.bincount(self.gram, minlength=cube)) if cube <= DENSE else np.unique(self.gram)
+        if cube > DENSE:
+            return np.unique(self.gram)
+        there = np.zeros(cube, bool)
+        for i in range(0, len(self.gram), SLICE):
+            there[self.gram[i:i + SLICE]] = True
+        return np.flatnonzero(there).astype(self.gram.dtype)
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Texts from one to another, with some ``SLICE`` trigrams together."""
+        ends, at = self.start + self.length, 0
+        while at < len(ends):
+            to = min(int(np.searchsorted(ends, self.start[at] + SLICE)) + 1, len(ends))
+            yield at, to
+            at = to
 
 
 def coded(texts: list[str]) -> Coded:
+    """Codes are held as 16-bit integers and trigrams as 32-bit ones, if these are enough; what is wider lives for one run of texts."""
     length = np.fromiter(map(len, texts), np.int64, len(texts))
-    joined = "".join("\0\0" + t.replace("\0", chr(OTHER)) for t in texts)
-    code = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), OTHER)
-    symbols = np.flatnonzero(np.bincount(code, minlength=OTHER + 1))
+    start = np.r_[0, np.cumsum(length)[:-1]].astype(np.int64)
+    c = Coded(np.zeros(0, np.int64), np.zeros(0, np.int64), start, length)
+    codes, seen = [], np.zeros(OTHER + 1, bool)
+    for at, to in c.runs():
+        joined = "".join("\0\0" + t.replace("\0", chr(OTHER)) for t in texts[at:to])
+        codes.append(np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), OTHER).astype(np.uint16))
+        seen[codes[-1]] = True
+    c.symbols = np.flatnonzero(seen)
+    n = len(c.symbols)
     place = np.zeros(OTHER + 1, np.int64)
-    place[symbols] = np.arange(len(symbols))
-    code = place[code]
-    gram = (code[:-2] * len(symbols) + code[1:-1]) * len(symbols) + code[2:]
-    head = np.r_[0, np.cumsum(length + 2)[:-1]]                     # where the two symbols before each text stand
-    real = np.ones(len(gram), bool)
-    inner = np.concatenate([head[1:] - 2, head[1:] - 1]) if len(texts) > 1 else np.zeros(0, np.int64)
-    real[inner] = False                                             # windows that reach into the next text
-    return Coded(gram[real], symbols, np.r_[0, np.cumsum(length)[:-1]], length)
+    place[c.symbols] = np.arange(n)
+    c.gram = np.empty(int(length.sum()), np.int32 if n ** 3 < 1 << 31 else np.int64)
+    for i, (at, to) in enumerate(c.runs()):
+        code, codes[i] = place[codes[i]], None
+        gram = (code[:-2] * n + code[1:-1]) * n + code[2:]
+        head = (np.cumsum(length[at:to] + 2) - 2 - length[at:to])[1:]   # where the two symbols before each further text stand
+        real = np.ones(len(gram), bool)
+        real[head - 2] = real[head - 1] = False                         # windows that reach into the next text
+        c.gram[start[at]:start[to - 1] + length[to - 1]] = gram[real]
+    return c
 
 
 def _languages(table: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]]]:
@@ -86,10 +110,12 @@ def _ask(key: tuple, docs: pa.Table, trusted: pa.Table) -> pa.Table:
         if not len(c.gram):
             continue
         grams = c.different()
-        train = np.repeat(np.array([i in good for i in ids]), c.length)
-        found, times = np.unique(np.searchsorted(grams, c.gram[train]), return_counts=True) if train.any() else ([], [])
-        seen = np.zeros(len(grams), np.int64)
-        seen[found] = times
+        train, seen = np.array([i in good for i in ids]), np.zeros(len(grams), np.int64)
+        for at, to in c.runs():
+            own = c.gram[c.start[at]:c.start[to - 1] + c.length[to - 1]][np.repeat(train[at:to], c.length[at:to])]
+            if len(own):
+                found, times = np.unique(own, return_counts=True)
+                seen[np.searchsorted(grams, found)] += times
         out.append(pa.table([pa.array([chunk] * len(grams), pa.int32()), pa.array([lang] * len(grams)),
                              pa.array(c.key(grams)), pa.array(seen)], schema=GRAMS))
     return pa.concat_tables(out) if out else GRAMS.empty_table()
@@ -115,8 +141,11 @@ def _score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
             told = (keys[own][order], bits[own][order])
             grams = c.different()
             each = told[1][np.searchsorted(told[0], c.key(grams))]
-            some = c.length > 0
-            total[some] = np.add.reduceat(each[np.searchsorted(grams, c.gram)], c.start[some])
+            for at, to in c.runs():
+                some, first = c.length[at:to] > 0, c.start[at]
+                if some.any():
+                    bits_of_all = each[np.searchsorted(grams, c.gram[first:c.start[to - 1] + c.length[to - 1]])]
+                    total[at:to][some] = np.add.reduceat(bits_of_all, c.start[at:to][some] - first)
         out.append(pa.table([pa.array(ids, pa.int64()), pa.array([lang] * len(ids)), pa.array(c.length), pa.array(total)], schema=SCORES))
     return pa.concat_tables(out) if out else SCORES.empty_table()
 

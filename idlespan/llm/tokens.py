@@ -8,6 +8,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
 #: The characters with the Unicode property White_Space, which the tokenizers' patterns call \\s.
@@ -93,9 +95,20 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str, keeps_space: bool) -> Encoder:
+def shared_encoder(path: str, keeps_space: bool, memory: int = MEMORY_WORDS) -> Encoder:
     """The encoder of this worker: its tasks share one tokenizer and one memory of words."""
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, memory)
+
+
+def slices_of(batch: pa.RecordBatch, text_col: str, size: int = 1 << 20):
+    """Runs of rows of ``batch`` with about ``size`` bytes of text each, so that few texts at a time are Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, before + size)) + 1, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def batches_of(texts: list[str | None], chars: int = 3 << 20):

@@ -10,7 +10,7 @@ waste is at most a few unfilled sequences per block.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,30 +19,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import parts_for, saved
-from .tokens import batches_of, shared_encoder
+from .tokens import shared_encoder, slices_of
 
 TOKENS = 2048
 WEIGHTS = (1.0, 0.05, 0.05)
 BLOCK_PIECES = 8192
+#: Words whose ids a worker keeps, some 35 MB; in a pipeline it stands beside what the stages before have left in its executor.
+REMEMBERED = 200_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, tokens: int = TOKENS, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``tokens`` ids: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``.  A null text is empty (the end id alone)."""
+def _cut(tokenizer: str, keeps_space: bool, tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of the texts of each batch; few texts at a time leave Arrow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or shared_encoder(tokenizer, keeps_space)
-            names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in batches_of(texts):
+            encoder = encoder or shared_encoder(tokenizer, keeps_space, REMEMBERED)
+            for some in slices_of(batch, "text"):
+                found = zip(some.column("id").to_pylist(), encoder.encode(some.column("text").to_pylist()))
                 rows = [(name, at // tokens, at, len(cut := ids[at:at + tokens]), zlib.crc32(cut.tobytes()))
-                        for name, ids in zip(names[lo:hi], encoder.encode(texts[lo:hi])) for at in range(0, len(ids), tokens)]
+                        for name, ids in found for at in range(0, len(ids), tokens)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))],
                     names=["id", "piece", "start", "length", "ids_crc32"])
+    return run
+
 
+def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, tokens: int = TOKENS, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """Pieces of at most ``tokens`` ids: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``.  A null text is empty (the end id alone)."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, piece int, start long, length long, ids_crc32 long")
+        _cut(tokenizer, keeps_space, tokens), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple[float, float, float],

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,16 @@ def test_empty(spark):
     assert KN.classify(none, no_labels).count() == 0
     some = spark.createDataFrame([(1, "abc", "en", None, None, None)], DOCS)
     assert KN.classify(some, no_labels).first().accepted
+
+
+def test_coding_a_chunk_takes_few_bytes_a_character():
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(32, 150, 4000))) for _ in range(2000)]
+    tracemalloc.start()
+    try:
+        c = KN.coded(texts)
+        n = len(c.different())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 1_000_000 and len(c.gram) == 8_000_000 and peak < 16 * len(c.gram)

@@ -1,16 +1,18 @@
 """Encoding by words, token files and packing against the plain ways."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from idlespan.llm import elias_fano, vector_fit
-from idlespan.llm.tokens import Encoder
+from idlespan.llm.tokens import Encoder, slices_of
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, piece string, start int, sequence_id string, block string"
@@ -103,3 +105,28 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert elias_fano.read_documents(elias_fano.write_parts(none, P.path("byte_bpe_50k.json"), 2, True)).count() == 0
     assert vector_fit.pack_documents(none, P.path("word_bpe_49k.json"), False).count() == 0
+
+
+def test_slices_hold_every_row_once_and_in_order():
+    rng = random.Random(6)
+    texts = [rng.choice([None, "", "é" * rng.randrange(30), "z" * 500]) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    for part, want in ((batch, texts), (batch.slice(37, 200), texts[37:237]), (batch.slice(0, 0), [])):
+        some = list(slices_of(part, "text", 100))
+        assert [t for s in some for t in s.column("text").to_pylist()] == want
+        assert [i for s in some for i in s.column("id").to_pylist()] == part.column("id").to_pylist()
+        assert all(sum(len((t or "").encode()) for t in s.column("text").to_pylist()[:-1]) < 100 for s in some)
+
+
+def test_memory_of_packing_does_not_follow_the_words():
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(600)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["id", "text"])
+    del texts
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in vector_fit._cut(P.path("word_bpe_49k.json"), False, 2048)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 3000 and peak < 100e6
