@@ -19,21 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import parts_for, saved
-from .tokens import shared_encoder, slices_of
+from .tokens import MEMORY_WORDS, shared_encoder, slices_of
 
 TOKENS = 2048
 WEIGHTS = (1.0, 0.05, 0.05)
 BLOCK_PIECES = 8192
-#: Words whose ids a worker keeps, some 35 MB; in a pipeline it stands beside what the stages before have left in its executor.
-REMEMBERED = 200_000
 
 
-def _cut(tokenizer: str, keeps_space: bool, tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(tokenizer: str, keeps_space: bool, tokens: int, memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pieces of the texts of each batch; few texts at a time leave Arrow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or shared_encoder(tokenizer, keeps_space, REMEMBERED)
+            encoder = encoder or shared_encoder(tokenizer, keeps_space, memory)
             for some in slices_of(batch, "text"):
                 found = zip(some.column("id").to_pylist(), encoder.encode(some.column("text").to_pylist()))
                 rows = [(name, at // tokens, at, len(cut := ids[at:at + tokens]), zlib.crc32(cut.tobytes()))
@@ -45,10 +43,12 @@ def _cut(tokenizer: str, keeps_space: bool, tokens: int) -> Callable[[Iterator[p
 
 
 def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, tokens: int = TOKENS, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``tokens`` ids: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``.  A null text is empty (the end id alone)."""
+           text_col: str = "text", memory: int = MEMORY_WORDS) -> DataFrame:
+    """Pieces of at most ``tokens`` ids: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``.  A null text is empty (the end id alone).
+
+    A worker keeps the ids of ``memory`` different words, some 150 bytes each; the others are encoded anew, which gives the same ids."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _cut(tokenizer, keeps_space, tokens), "id long, piece int, start long, length long, ids_crc32 long")
+        _cut(tokenizer, keeps_space, tokens, memory), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple[float, float, float],
@@ -107,11 +107,11 @@ def pack(items: DataFrame, tokens: int = TOKENS, documents: int | None = None, a
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, keeps_space: bool, tokens: int = TOKENS, id_col: str = "doc_id",
-                   text_col: str = "text", **capacities) -> DataFrame:
+                   text_col: str = "text", memory: int = MEMORY_WORDS, **capacities) -> DataFrame:
     """One row per piece of every document: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     Only documents longer than ``tokens`` are cut.  A null or empty text is one piece with the end id.  Rows with a null id or a repeated
     id are packed like any other, other columns are ignored, an empty table gives no piece.
     """
-    cut = saved(pieces(docs, tokenizer, keeps_space, tokens, id_col, text_col), "pieces")
+    cut = saved(pieces(docs, tokenizer, keeps_space, tokens, id_col, text_col, memory), "pieces")
     return pack(cut, tokens, **capacities).withColumnRenamed("id", id_col)

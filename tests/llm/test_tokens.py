@@ -125,7 +125,7 @@ def test_memory_of_packing_does_not_follow_the_words():
     del texts
     tracemalloc.start()
     try:
-        rows = sum(b.num_rows for b in vector_fit._cut(P.path("word_bpe_49k.json"), False, 2048)(iter([batch])))
+        rows = sum(b.num_rows for b in vector_fit._cut(P.path("word_bpe_49k.json"), False, 2048, 200_000)(iter([batch])))
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
