@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from idlespan.llm import elias_fano, exact_dedup, kneser_ney, raking, simhash, vector_fit
 from idlespan.llm.store import saved, table
 
+#: Words whose ids a packing worker keeps: it stands beside what the stages before have left in its executor.
+WORDS = 200_000
 
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under a model of the trusted ones passes their language's threshold."""
@@ -35,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
-    return vector_fit.pack_documents(docs, elias_fano.tokenizer_path("word_bpe_49k.json"), False)
+    return vector_fit.pack_documents(docs, elias_fano.tokenizer_path("word_bpe_49k.json"), False, memory=WORDS)
 
 
 STAGES = [("quality", keep_good_text), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),
