@@ -123,3 +123,38 @@ def test_a_frequent_phrase_is_dealt_over_the_shards():
     for m in B._send_contexts(50, 16)(key, docs, notes).to_pylist():
         size[m["shard"]] += len(m["data"])
     assert size.max() < 2 * size.mean()
+
+
+def test_what_shares_only_an_anchor_is_not_sent():
+    """Texts of few syllables share most of their 16-byte strings and hardly a window: what leaves a chunk does not grow with the others."""
+    import pyarrow as pa
+    rng = random.Random(5)
+    syllables = "the er ing on".split()
+    common = "a line that stands in every text and is a good deal longer than fifty bytes, "
+    texts = [("".join(rng.choice(syllables) for _ in range(400)) + common * (i % 10 == 0)).encode() for i in range(2000)]
+    docs, key = pa.table({"id": range(2000), "data": texts}), (pa.scalar(0, pa.int32()),)
+    sent = B._send_buckets(50, 8)(key, docs, B.NOTE.empty_table()).to_pylist()
+    notes = pa.concat_tables([B._shared_buckets(10_000)(None, pa.Table.from_pylist([m], schema=B.MAIL)) for m in sent])
+    grams = [t[i:i + 16] for t in texts for i in range(0, len(t) - 15, 50)]
+    assert len(set(grams)) < 0.7 * len(grams)
+    assert sum(len(m["data"]) for m in B._send_contexts(50, 8)(key, docs, notes).to_pylist()) < 0.05 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("length", [32, 40, 50, 64, 97])
+def test_equal_windows_have_equal_buckets(length):
+    rng = random.Random(length)
+    shared = bytes(rng.choices(b"abcd", k=3 * length))
+    data = np.frombuffer(b"".join(bytes(rng.choices(b"abcd", k=rng.randrange(60))) + shared for _ in range(20)), np.uint8)
+    _, first, last, bucket, _ = B.anchors(data, np.arange(len(data) - length + 1), length)
+    assert first[0] == 0 and last[-1] == len(data) - length and (first[1:] == last[:-1] + 1).all()
+    text, by = data.tobytes(), {}
+    for a, b, k in zip(first.tolist(), last.tolist(), bucket.tolist()):
+        for w in range(a, b + 1):
+            by.setdefault(text[w:w + length], set()).add(k)
+    assert all(len(k) == 1 for k in by.values())
+
+
+def test_a_frequent_line_is_one_context():
+    """Crowds are of different contexts, not of documents that hold the same one."""
+    contents = np.array([5, 5, 5, 7, 9, 9, 8, 9, 1], np.uint64)
+    assert B._different(contents, np.array([3, 1, 4, 1])).tolist() == [1, 1, 2, 1]
