@@ -201,7 +201,8 @@ def _answers(blobs: list[bytes]) -> np.ndarray:
     for blob in blobs:
         body = open_.decompress(blob)
         n = len(body) // 14
-        out.append(np.stack([np.frombuffer(body, "<u4", n), np.frombuffer(body, "<u2", n, 4 * n), np.frombuffer(body, "<i8", n, 6 * n)], dtype=np.int64, casting="unsafe"))
+        parts = [("<u4", 0), ("<u2", 4 * n), ("<i8", 6 * n)]
+        out.append(np.stack([np.frombuffer(body, kind, n, at).astype(np.int64) for kind, at in parts]))
     return np.concatenate(out, axis=1)
 
 
